@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lengths, media, mixing, packing
+from . import bagminhash, lengths, media, mixing, packing, projections
 from .common import read
 
 
@@ -23,10 +23,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store_texts(read(spark, sf_dir, "documents")))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -56,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
     "op6_mixing": op6_mixing,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_media": op9_media,
+    "op10_minhash_dedup": op10_minhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL}
