@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, lengths, media, mixing, packing, projections
+from . import bagminhash, lengths, media, mixing, packing, projections, toxicity
 from .common import read
 
 
@@ -23,6 +23,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projections.near_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_media": op9_media,
     "op10_minhash_dedup": op10_minhash_dedup,
