@@ -1,30 +1,58 @@
 """The corpus pipeline: documents through stages that each call one operator of ``tidemark.llm``.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; each result is written as Parquet
-in the shared folder and reread as the next stage's documents.
+in the shared folder and reread as the next stage's documents. All but the last return the columns
+of documents.
+
+1. toxicity: documents that the classifier rejects go.
+2. near_duplicates: of each group of near duplicates the smallest doc_id stays.
+3. substrings: long word spans that a document with a smaller doc_id also has leave the texts.
+4. mixing: documents repeat or go, so that sources come near their target weights.
+5. packing: what is left as pieces of training sequences.
+
+Defined results: null and empty texts pass stages 1 to 3 unchanged and have no words to take in 4;
+an empty table passes through; extra columns are not carried.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, packing
+from tidemark.llm import bagminhash, debruijn, mixing, packing, toxicity
 from tidemark.llm.common import read, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs.select(*COLUMNS), read(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bagminhash.without_near_duplicates(docs.select(*COLUMNS))
+
+
+def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return debruijn.without_repeats(docs.select(*COLUMNS))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*COLUMNS)
+    return mixing.mix(docs.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("substrings", drop_repeated_spans),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-#: Tokenising and the learned stage have no SQL form.
+#: Hashing, learning and tokenising have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -175,3 +175,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     found = written(_verified(written(more, "crossed"), items, threshold).select("u", "v"), "links")
     joined = components(labels.select(F.col("component").alias("u"), F.col("id").alias("v")).union(found)).withColumnsRenamed({"id": "class_id", "component": "_component"})
     return named.join(joined, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("_component", "class_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` but those whose component has a smaller doc_id; of rows with one doc_id
+    and text, all stay. Rows with a null doc_id stay."""
+    goes = near_duplicates(docs, k, threshold).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(goes, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
