@@ -8,10 +8,12 @@ signatures agree at a place with a probability of the weighted Jaccard similarit
 in rounds, for all documents of a slice at once, until none can lower a minimum.
 
 Documents with the same multiset form one class, represented by its smallest doc_id. Bands of the
-signatures make buckets of representatives; each bucket's members are compared with its head, and
-then members of a bucket that are still apart with one another, always on the exact multisets.
-Verified links give components. No link between classes goes unfound except where no band agrees
-(below 1e-7 at a similarity of 0.8).
+signatures make buckets of representatives. In a bucket, signatures tell which members may be
+similar; a spanning set of these pairs, over all buckets, gives candidate groups. Inside a candidate
+group exact multisets are compared, block against block where it is large, and a spanning set of the
+verified links gives the components. So neither buckets nor groups are ever expanded into pairs, and
+no link between classes is lost except where no band agrees or the signature errs by five standard
+errors (together below 1e-6 at a similarity of 0.8).
 
 Defined results: texts without words, null ones included, link with nothing and are kept; texts of
 fewer than ``k`` words have one shingle of all their words; rows with the same doc_id count as one
@@ -34,6 +36,8 @@ from .components import components
 #: Signature places, bands and places per band.
 BANDS, ROWS = 32, 4
 PLACES = BANDS * ROWS
+#: Documents that one task compares with one another or with as many others.
+BLOCK = 1024
 
 
 def bags(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +85,8 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
 
 
 def describe(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, bag binary(16), bands array<long>); bag and bands null without words."""
+    """(doc_id, n_shingles, bag binary(16), bands array<long>, low binary(PLACES)): low holds a byte of each
+    place's value; bag, bands and low are null without words."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,6 +98,7 @@ def describe(docs: DataFrame, k: int = 5) -> DataFrame:
             band = mix64(np.arange(BANDS, dtype=np.uint64))[None, :].repeat(n, 0)
             for i in range(ROWS):
                 band = mix64(band ^ bits[:, :, i])
+            low = mix64(best.view(np.uint64)).astype(np.uint8)
             total = np.zeros(n, np.int64)
             np.add.at(total, doc, weight)
             bag = np.zeros((n, 2), np.uint64)
@@ -107,11 +113,12 @@ def describe(docs: DataFrame, k: int = 5) -> DataFrame:
                     pa.array(total),
                     pa.array([flat[16 * i : 16 * i + 16] if x else None for i, x in enumerate(some)], pa.binary()),
                     pa.array([x if y else None for x, y in zip(band.view(np.int64), some)], pa.list_(pa.int64())),
+                    pa.array([x.tobytes() if y else None for x, y in zip(low, some)], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "bag", "bands"],
+                ["doc_id", "n_shingles", "bag", "bands", "low"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, bag binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, bag binary, bands array<long>, low binary")
 
 
 def expanded(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -129,24 +136,139 @@ def expanded(docs: DataFrame, k: int = 5) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, items binary")
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if not len(x) or not len(y):
-        return 0.0
-    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-    both = int((x[at] == y).sum())
-    return both / (len(x) + len(y) - both)
+def overlaps(one: int, codes: np.ndarray, ends: np.ndarray, mark: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of document ``one`` with every document, by exact multisets."""
+    own = codes[ends[one] : ends[one + 1]]
+    mark[own] = True
+    total = np.r_[0, np.cumsum(mark[codes])]
+    mark[own] = False
+    both = total[ends[1:]] - total[ends[:-1]]
+    return both / np.maximum(lengths + lengths[one] - both, 1)
 
 
-def _verified(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    @F.pandas_udf("double")
-    def score(a, b):
-        import pandas as pd
+def links_within(ids: np.ndarray, items: list[np.ndarray], threshold: float, split: int | None = None) -> list[tuple[int, int]]:
+    """A spanning set of the links among documents; with ``split``, only between those before it and
+    the rest. A document is compared with all others, unless it is already joined to all of them."""
+    lengths = np.array([len(x) for x in items], np.int64)
+    codes = np.unique(np.concatenate(items), return_inverse=True)[1]
+    ends = np.r_[0, np.cumsum(lengths)]
+    mark = np.zeros(int(codes.max(initial=-1)) + 1, bool)
+    label = np.arange(len(ids))
+    out = []
+    for i in range(len(ids) if split is None else split):
+        begin = i + 1 if split is None else split
+        if begin >= len(ids) or (label[begin:] == label[i]).all():
+            continue
+        near = np.flatnonzero(overlaps(i, codes, ends, mark, lengths)[begin:] >= threshold) + begin
+        for j in near.tolist():
+            if label[j] != label[i]:
+                out.append((int(ids[i]), int(ids[j])))
+                label[label == label[j]] = label[i]
+    return out
 
-        return pd.Series([similarity(x, y) for x, y in zip(a, b)])
 
-    one, two = items.select(F.col("id").alias("u"), F.col("items").alias("x")), items.select(F.col("id").alias("v"), F.col("items").alias("y"))
-    return pairs.join(two, "v").join(one, "u").withColumn("similarity", score("x", "y")).where(F.col("similarity") >= threshold).select("u", "v", "similarity")
+def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows of equal keys, of rows that come sorted by them; small groups come several at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            x = batch.column(k).to_numpy()
+            change[1:] |= x[1:] != x[:-1]
+            if held:
+                change[0] |= x[0] != held[-1].column(k)[-1].as_py()
+        cut = np.flatnonzero(change)
+        if not len(cut):
+            held.append(batch)
+            continue
+        if cut[-1] > 0:
+            held.append(batch.slice(0, int(cut[-1])))
+        if held:
+            yield pa.Table.from_batches(held)
+        held = [batch.slice(int(cut[-1]))]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        x = table.column(k).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.r_[np.flatnonzero(new), table.num_rows]
+
+
+def _sorted_by(df: DataFrame, keys: list[str]) -> DataFrame:
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys)
+
+
+def candidates(keyed: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) of a spanning set, per bucket, of the pairs whose signatures agree well enough that their
+    similarity may reach the threshold (five standard errors below it); keyed has (bucket, id, n, low)."""
+    least = threshold - 5 * (threshold * (1 - threshold) / PLACES) ** 0.5
+    least += (1 - least) / 256
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches, ["bucket"]):
+            cut = _bounds(table, ["bucket"])
+            ids, sizes = table.column("id").to_numpy(), table.column("n").to_numpy()
+            low = np.frombuffer(b"".join(x.as_py() for x in table.column("low")), np.uint8).reshape(-1, PLACES)
+            u, v = [], []
+            size = np.diff(cut)
+            pairs = cut[:-1][size == 2]
+            if len(pairs):
+                ok = ((low[pairs] == low[pairs + 1]).mean(axis=1) >= least) & (np.minimum(sizes[pairs], sizes[pairs + 1]) >= threshold * np.maximum(sizes[pairs], sizes[pairs + 1]))
+                u += ids[pairs[ok]].tolist()
+                v += ids[pairs[ok] + 1].tolist()
+            for a, b in zip(cut[:-1][size > 2], cut[1:][size > 2]):
+                label = np.arange(b - a)
+                for i in range(b - a - 1):
+                    rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+                    if not len(rest):
+                        continue
+                    near = rest[(low[a + rest] == low[a + i]).mean(axis=1) >= least]
+                    near = near[np.minimum(sizes[a + near], sizes[a + i]) >= threshold * np.maximum(sizes[a + near], sizes[a + i])]
+                    for j in near.tolist():
+                        if label[j] != label[i]:
+                            u.append(int(ids[a + i]))
+                            v.append(int(ids[a + j]))
+                            label[label == label[j]] = label[i]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return _sorted_by(keyed, ["bucket"]).mapInArrow(run, "u long, v long")
+
+
+def verified(items: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) of a spanning set of the true links inside each group of ``labels`` (id, component).
+
+    Groups of over ``BLOCK`` documents are compared block against block, each pair of blocks a task's
+    work of its own; only links leave it, fewer than it has documents.
+    """
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    placed = labels.join(sizes, "component").withColumn("blocks", F.expr(f"cast(ceil(members / {BLOCK}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    others = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
+    sent = placed.withColumn("at", others).select("id", "component", "at.i", "at.j", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches, ["component", "i", "j"]):
+            cut = _bounds(table, ["component", "i", "j"])
+            found = []
+            for a, b in zip(cut[:-1], cut[1:]):
+                part = table.slice(int(a), int(b - a))
+                ids, own, i, j = (part.column(c).to_numpy() for c in ("id", "own", "i", "j"))
+                order = np.argsort(own, kind="stable")
+                bags_ = [np.frombuffer(x.as_py(), np.uint64) for x in part.column("items")]
+                split = None if i[0] == j[0] else int((own == i[0]).sum())
+                if split != 0 and split != len(ids):
+                    found += links_within(ids[order], [bags_[x] for x in order], threshold, split)
+            u, v = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return _sorted_by(sent.join(items, "id"), ["component", "i", "j"]).mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -155,25 +277,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     facts = written(describe(docs, k), "signatures")
     classes = facts.where("bag IS NOT NULL").groupBy("bag").agg(F.min("doc_id").alias("class_id"))
-    named = written(facts.drop("bands").join(classes, "bag", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), "bag"), "classes")
+    named = written(facts.select("doc_id", "n_shingles", "bag").join(classes, "bag", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
     heads = facts.where("bag IS NOT NULL").join(classes, "bag").where("doc_id = class_id").dropDuplicates(["bag"])
-    keyed = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    least = keyed.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = written(keyed.join(least.select("bucket", "head"), "bucket"), "buckets")
-    fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * threshold
-    stars = written(buckets.where((F.col("id") != F.col("head.id")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.id").alias("u"), F.col("id").alias("v")).distinct(), "stars")
-    wanted = buckets.select("id").distinct()
-    items = written(expanded(docs.join(wanted, docs["doc_id"] == wanted["id"]).select("id", "text").dropDuplicates(["id"]), k), "items")
-    links = written(_verified(stars, items, threshold).select("u", "v"), "links")
-    labels = components(links)
-    parted = buckets.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-    split = parted.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-    parted = written(parted.join(split, "bucket"), "parted")
-    left, right = (parted.select("bucket", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "n", "component")]) for p in "lr")
-    crossed = left.join(right, "bucket").where((F.col("l_component") != F.col("r_component")) & (F.col("l_id") < F.col("r_id")) & fits(F.col("l_n"), F.col("r_n")))
-    more = crossed.select(F.col("l_id").alias("u"), F.col("r_id").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    found = written(_verified(written(more, "crossed"), items, threshold).select("u", "v"), "links")
-    joined = components(labels.select(F.col("component").alias("u"), F.col("id").alias("v")).union(found)).withColumnsRenamed({"id": "class_id", "component": "_component"})
+    keyed = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "low", F.explode("bands").alias("bucket"))
+    shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
+    labels = written(components(candidates(keyed.join(shared, "bucket"), threshold)), "candidates")
+    items = expanded(docs.join(labels.select("id"), docs["doc_id"] == labels["id"]).select("id", "text").dropDuplicates(["id"]), k)
+    joined = components(verified(items, labels, threshold)).withColumnsRenamed({"id": "class_id", "component": "_component"})
     return named.join(joined, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("_component", "class_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
