@@ -90,7 +90,7 @@ def describe(docs: DataFrame, k: int = 5) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in text_slices(batches, limit=1 << 20):
+        for batch, data, offsets in text_slices(batches, limit=1 << 19):
             n = batch.num_rows
             doc, shingle, weight = bags(data, offsets, k)
             best = signatures(doc, shingle, weight, n)
@@ -126,7 +126,7 @@ def expanded(docs: DataFrame, k: int = 5) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in text_slices(batches, limit=1 << 20):
+        for batch, data, offsets in text_slices(batches, limit=1 << 19):
             doc, shingle, weight = bags(data, offsets, k)
             repeat = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
             items = (np.repeat(shingle, weight) << np.uint64(16)) + np.minimum(repeat, 65535).astype(np.uint64)

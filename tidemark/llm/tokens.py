@@ -19,7 +19,7 @@ from struct import pack
 import numpy as np
 
 #: Words held by one worker; beyond that the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 _END = b"\xff"
 _SPACES = re.compile("[\\x20\\x09-\\x0d]+")
 
