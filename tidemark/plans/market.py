@@ -397,12 +397,12 @@ def portfolio_turnover(spark, sf):
     return shown(portfolio.turnover(portfolio.select_portfolio(_scored(spark, sf))), ["turnover"], ("date",))
 
 
-_DAILY = f"""{_SEL}, dr AS (SELECT date, sum(weight * greatest(least(actual, 0.2), -0.2)) AS daily_return FROM sel GROUP BY date),
+_DAILY = f"""{_SEL}, dr AS (SELECT date, sum(weight * (greatest(least(actual, 0.2), -0.2) - 0.17)) AS daily_return FROM sel GROUP BY date),
 eq AS (SELECT *, exp(sum(ln(1 + daily_return)) OVER (ORDER BY date)) AS equity FROM dr), dd AS (SELECT *, max(equity) OVER (ORDER BY date) AS peak, equity / max(equity) OVER (ORDER BY date) - 1 AS drawdown FROM eq)"""
 
 
 def _daily(spark, sf) -> DataFrame:
-    positions = portfolio.select_portfolio(_scored(spark, sf)).withColumn("realised", F.greatest(F.least("actual", F.lit(0.2)), F.lit(-0.2)))
+    positions = portfolio.select_portfolio(_scored(spark, sf)).withColumn("realised", F.greatest(F.least("actual", F.lit(0.2)), F.lit(-0.2)) - 0.17)
     return portfolio.daily_returns(positions)
 
 
