@@ -105,9 +105,9 @@ def filing_context(spark, sf):
     return documents.company_context(documents.registry(r), snapshots, summaries, relations, market).select("corp_code", "latest_dt", "ceo_nm", "industry", "filings")
 
 
-@query("SELECT o_orderkey % 1000 AS event_id, max(o_totalprice)::BIGINT AS amount FROM orders GROUP BY 1")
+@query("SELECT o_orderkey % 1000 AS event_id, max(floor(o_totalprice))::BIGINT AS amount FROM orders GROUP BY 1")
 def merge_material_events(spark, sf):
     """A concrete merge with casts and an explicit order."""
-    o = table(spark, sf, "orders").select((F.col("o_orderkey") % 1000).alias("event_id"), F.format_string("%.0f", F.round("o_totalprice", 0)).alias("amount"), F.lit("1").alias("is_latest"), "o_totalprice")
+    o = table(spark, sf, "orders").select((F.col("o_orderkey") % 1000).alias("event_id"), F.floor("o_totalprice").cast("string").alias("amount"), F.lit("1").alias("is_latest"), "o_totalprice")
     target = o.where("event_id < 10").select("event_id", F.lit(0).cast("long").alias("amount"), F.lit(False).alias("is_latest")).dropDuplicates(["event_id"])
     return merge.merge_table("material_event", target, o, [F.desc("o_totalprice")]).select("event_id", "amount")
