@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.merge import latest, merge
 
@@ -13,6 +14,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _as_text(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
+    """A partitioned table with its partition values as they are spelled: '01' stays '01'."""
+    schema = spark.read.parquet(path).schema
+    return spark.read.schema(StructType([StructField(f.name, StringType()) if f.name in parts else f for f in schema])).parquet(path)
+
+
 def write_partitioned(df: DataFrame, path: str, parts: list[str], mode: str = "append") -> None:
     """K1: blank partition values become NA; rows of a partition meet before the write, so that a
     partition gets few files, and AQE splits the large ones."""
@@ -27,7 +34,7 @@ def rewrite_months(spark: SparkSession, path: str, source: DataFrame, keys: list
     overwritten at once."""
     touched = source.select(*parts).distinct()
     if _exists(spark, path):
-        target = spark.read.parquet(path)
+        target = _as_text(spark, path, parts)
         target = target.withColumns({c: F.col(c).cast(source.schema[c].dataType) for c in parts})
         merged = merge(target.join(touched, parts, "left_semi"), source, keys)
     else:
@@ -74,7 +81,7 @@ def log_run(df: DataFrame, path: str, run_id: str, table: str) -> None:
 
 def compact_partitions(spark: SparkSession, path: str, keys: list[str], parts: list[str]) -> None:
     """K8: of equal keys the row of the last file by name stays; partitions are rewritten in place."""
-    df = spark.read.parquet(path)
+    df = _as_text(spark, path, parts)
     named = df.withColumn("_file", F.col("_metadata.file_name"))
     kept = latest(named, [*parts, *keys], [F.desc("_file")]).drop("_file")
     staging = f"{path.rstrip('/')}__staging"
