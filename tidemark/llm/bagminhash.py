@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shingle_starts, prefix_hash, range_hash, ship, text_slices, word_bounds, word_hashes, written
+from .common import fresh, mix64, shingle_starts, prefix_hash, range_hash, ship, text_slices, word_bounds, word_hashes, written
 from .components import components
 
 #: Signature places, bands and places per band.
@@ -290,5 +290,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
 def without_near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` but those whose component has a smaller doc_id; of rows with one doc_id
     and text, all stay. Rows with a null doc_id stay."""
-    goes = near_duplicates(docs, k, threshold).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(goes, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "gone")
+    goes = near_duplicates(docs, k, threshold).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(goes, F.col("doc_id").cast("long") == F.col(name), "left_anti")

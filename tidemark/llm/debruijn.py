@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, prefix_hash, range_hash, shingle_starts, ship, text_slices, word_bounds, word_hashes
+from .common import fresh, mix64, prefix_hash, range_hash, shingle_starts, ship, text_slices, word_bounds, word_hashes
 
 SPAN, EDGE = 50, 25
 PARTITION_CHARS = 8_000_000
@@ -155,10 +155,11 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataF
     return packed.groupBy("part").applyInArrow(join, "doc_id long, mark long, start int, n int")
 
 
-def _with_spans(docs: DataFrame, span: int, edge: int) -> DataFrame:
-    """``docs`` with _spans, an array of (start, n)."""
-    spans = repeated_spans(docs, span, edge).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
-    return docs.join(spans, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left").drop("_id", "_mark")
+def _with_spans(docs: DataFrame, span: int, edge: int) -> tuple[DataFrame, str]:
+    """``docs`` with an array of (start, n), and that column's name."""
+    name, id_, mark = (fresh(docs, c) for c in ("spans", "span_id", "span_mark"))
+    spans = repeated_spans(docs, span, edge).groupBy(F.col("doc_id").alias(id_), F.col("mark").alias(mark)).agg(F.collect_list(F.struct("start", "n")).alias(name))
+    return docs.join(spans, (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64("text") == F.col(mark)), "left").drop(id_, mark), name
 
 
 def _taken_out(words: list[bytes], spans, span: int) -> list[bytes]:
@@ -168,9 +169,9 @@ def _taken_out(words: list[bytes], spans, span: int) -> list[bytes]:
     return [w for w, k in zip(words, np.cumsum(keep[:-1]).tolist()) if not k]
 
 
-def _each(batch: pa.RecordBatch, span: int) -> Iterator[tuple[list[bytes], list[bytes]]]:
+def _each(batch: pa.RecordBatch, name: str, span: int) -> Iterator[tuple[list[bytes], list[bytes]]]:
     """(words, kept words) of each row."""
-    lists = batch.column("_spans")
+    lists = batch.column(name)
     flat = lists.flatten()
     pairs = np.column_stack([flat.field("start").to_numpy(), flat.field("n").to_numpy()]) if len(flat) else np.zeros((0, 2), np.int32)
     size = np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
@@ -186,14 +187,15 @@ def digest(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in text_slices(batches):
             n, gone, sha = [], [], []
-            for words, kept in _each(batch, span):
+            for words, kept in _each(batch, name, span):
                 n.append(len(words))
                 gone.append(len(words) - len(kept))
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_spans(slim, span, edge).select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    joined, name = _with_spans(slim, span, edge)
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataFrame:
@@ -204,7 +206,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in text_slices(batches):
-            texts = [text if len(words) == len(kept) else b" ".join(kept).decode() for text, (words, kept) in zip(batch.column("text").to_pylist(), _each(batch, span))]
+            texts = [text if len(words) == len(kept) else b" ".join(kept).decode() for text, (words, kept) in zip(batch.column("text").to_pylist(), _each(batch, name, span))]
             changed = pa.array(texts, batch.column("text").type)
             columns = {c: batch.column(c) for c in own} | {"text": changed}
             if has_count:
@@ -213,4 +215,5 @@ def without_repeats(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> Data
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     types = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return _with_spans(docs, span, edge).mapInArrow(run, types)
+    joined, name = _with_spans(docs, span, edge)
+    return joined.mapInArrow(run, types)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 BROADCAST_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,13 +55,14 @@ def _draw(seed: str):
 
 
 def _joined(left: DataFrame, table: DataFrame) -> DataFrame:
-    table = written(table.withColumnRenamed("source", "_source"), "sources")
+    name = fresh(left, "source_key")
+    table = written(table.withColumnRenamed("source", name), "sources")
     small = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    return left.join(F.broadcast(table) if small else table, left["source"].eqNullSafe(table["_source"])).drop("_source")
+    return left.join(F.broadcast(table) if small else table, F.col("source").eqNullSafe(F.col(name))).drop(name)
 
 
-def _copies(seed: str):
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+def _copies(seed: str, size: str = "source_size", target: str = "target"):
+    rate = F.when(F.col(size) > 0, F.col(target) / F.col(size)).otherwise(F.lit(0.0))
     return (F.floor(rate) + (_draw(seed) < rate - F.floor(rate)).cast("long")).cast("long")
 
 
@@ -74,8 +75,7 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: str = "mix") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     own = docs.columns
-    table = targets(sized(docs), weights, cap).withColumnsRenamed({"source_size": "_size", "target": "_target"})
-    joined = _joined(docs, table)
-    rate = F.when(F.col("_size") > 0, F.col("_target") / F.col("_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + (_draw(seed) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)).cast("int")))).where(copies >= F.col("_copy")).select(*own)
+    size, target, copy = (fresh(docs, c) for c in ("source_size", "target", "copy"))
+    joined = _joined(docs, targets(sized(docs), weights, cap).withColumnsRenamed({"source_size": size, "target": target}))
+    copies = _copies(seed, size, target)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)).cast("int")))).where(copies >= F.col(copy)).select(*own)

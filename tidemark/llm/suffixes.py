@@ -223,11 +223,6 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataF
     return packed.groupBy("part").applyInArrow(join, "doc_id long, mark long, start int, n int")
 
 
-def _with_spans(docs: DataFrame, span: int, edge: int) -> DataFrame:
-    spans = repeated_spans(docs, span, edge).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
-    return docs.join(spans, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left").drop("_id", "_mark")
-
-
 def kept_bytes(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every row."""
 
@@ -261,7 +256,9 @@ def kept_bytes(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataFrame
             )
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_spans(slim, span, edge).select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    spans = repeated_spans(slim, span, edge).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "n")).alias("_spans")).withColumnRenamed("doc_id", "_id")
+    joined = slim.join(spans, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("mark")), "left")
+    return joined.select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataFrame:

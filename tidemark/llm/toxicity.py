@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, prefix_hash, range_hash, ship, text_slices, written
+from .common import _LOWER, fresh, prefix_hash, range_hash, ship, text_slices, written
 
 BUCKETS = 20  # bits
 PREFIXES = (4, 5, 6, 7, 8)
@@ -133,9 +133,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         return weights, -np.inf
     kept = rows.select("positive", F.array_intersect("features", F.array(*[F.lit(int(x)) for x in chosen])).alias("features"))
     found = kept.toArrow()
-    sides = dict.fromkeys((True, False), ())
+    sides = dict.fromkeys((True, False), ())  # in a fixed order, so that reruns agree to the last bit
     for flag in sides:
-        sides[flag] = found.filter(pa.compute.equal(found.column("positive"), flag)).column("features").to_pylist()
+        sides[flag] = sorted(map(sorted, found.filter(pa.compute.equal(found.column("positive"), flag)).column("features").to_pylist()))
     number = {x: i for i, x in enumerate(chosen)}
     w, bias = fit(_sparse(sides[True], number), _sparse(sides[False], number), rates, len(chosen))
     weights[chosen] = w
@@ -171,5 +171,7 @@ def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic."""
     own = docs.columns
-    tagged = docs.withColumn("_text", F.col("text"))
-    return score(tagged, train(docs, labels)).where("predicted = 0").select(*[F.col("_text").alias("text") if c == "text" else c for c in own])
+    name, aside = fresh(docs, "whole_text"), {c: fresh(docs, f"own_{c}") for c in own if c.lower() in ("score", "predicted")}
+    tagged = docs.withColumn(name, F.col("text")).withColumnsRenamed(aside)
+    kept = score(tagged, train(docs, labels)).where("predicted = 0")
+    return kept.select(*[F.col(name).alias("text") if c == "text" else F.col(aside.get(c, c)).alias(c) for c in own])
