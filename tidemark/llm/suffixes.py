@@ -29,14 +29,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, prefix_hash, range_hash, shingle_starts, ship, text_slices
 from .debruijn import _local, _runs, sliding_least
 
 SPAN, EDGE = 100, 16
-PARTITION_BYTES = 8_000_000
+PARTITION_BYTES = 4_000_000
+#: Bytes of text whose contexts a task gathers, by partition, before it compresses and sends them.
+GATHER_BYTES = 12 << 20
 #: Contexts in one batch of a family.
 BATCH = 1 << 15
 _SEEN = 1 << 18
@@ -141,22 +143,41 @@ def repeats(doc: np.ndarray, place: np.ndarray, suffix: np.ndarray, size: np.nda
     return np.r_[more, context], np.r_[np.arange(len(more)) - np.repeat(np.cumsum(n) - n, n), window]
 
 
-_COLUMNS = ["part", "docs", "marks", "places", "suffixes", "sizes", "n_open", "packed"]
-_TYPES = [pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.binary()]
-_KINDS = dict(zip(_COLUMNS[1:6], (np.int64, np.int64, np.int32, np.uint8, np.uint8)))
+#: What travels of each context, in this order, before the contents of the open ones.
+_KINDS = {"docs": np.int64, "marks": np.uint16, "places": np.int32, "suffixes": np.uint8, "sizes": np.uint8}
+
+
+def _packed(parts: list[tuple[dict[str, np.ndarray], int, bytes]], squeeze) -> tuple[int, int, bytes]:
+    """(contexts, open ones, bytes) of one partition's share, the open contexts first."""
+    halves = ([{c: f[c][:n] for c in _KINDS} for f, n, _ in parts], [{c: f[c][n:] for c in _KINDS} for f, n, _ in parts])
+    columns = b"".join(np.concatenate([f[c] for half in halves for f in half]).astype(t).tobytes() for c, t in _KINDS.items())
+    return sum(len(f["docs"]) for f, _, _ in parts), sum(n for _, n, _ in parts), squeeze(columns + b"".join(x for _, _, x in parts))
+
+
+def _mark(text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).cast("int")
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataFrame:
-    """(doc_id, mark, start, n): windows start .. start + n - 1, in bytes, that also start earlier."""
+    """(doc_id, mark, start, n): windows start .. start + n - 1, in bytes, that also start earlier;
+    ``mark`` is 16 bits of the text's hash, which tell rows with one doc_id apart."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("mark", F.xxhash64("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("mark", _mark(F.col("text")))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + total // PARTITION_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        held: dict[int, list] = {}
+        size_held = 0
+
+        def out() -> pa.RecordBatch:
+            rows = [(p, *_packed(x, squeeze)) for p, x in sorted(held.items())]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["part", "n", "n_open", "packed"])
+
         seen: dict[str, np.ndarray] = {"key": np.zeros(0, np.uint64), "doc": np.zeros(0, np.int64)}
         for batch, data, offsets in text_slices(batches):
             ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
@@ -182,25 +203,39 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataF
             seen = {"key": key[new], "doc": both[new]}
             part = ((mix64(first) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             order = np.lexsort((settled, part))
-            of, rows = part[order], []
+            of = part[order]
             for lo, hi in zip(b := np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), np.r_[b[1:], len(of)]):
                 c = order[lo:hi]
                 n_open = int((~settled[c]).sum())
                 o = c[:n_open]
                 n = size[o] + span - 1
                 content = data[np.repeat(begin[o] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                rows.append((int(of[lo]), doc[c].tobytes(), marks[row[c]].tobytes(), place[c].astype(np.int32).tobytes(), (suffix - begin)[c].astype(np.uint8).tobytes(), size[c].astype(np.uint8).tobytes(), n_open, squeeze(content.tobytes())))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _TYPES)], _COLUMNS)
+                fields = {"docs": doc[c], "marks": marks[row[c]], "places": place[c], "suffixes": (suffix - begin)[c], "sizes": size[c]}
+                held.setdefault(int(of[lo]), []).append(({k: v.astype(_KINDS[k]) for k, v in fields.items()}, n_open, content.tobytes()))
+            size_held += len(data)
+            if size_held >= GATHER_BYTES:
+                yield out()
+                size_held = 0
+        yield out()
 
     def join(name, table):
         import zstandard
 
         opened = zstandard.ZstdDecompressor().decompress
-        n_open = table.column("n_open").to_pylist()
-        raw = {c: [np.frombuffer(x.as_py(), t) for x in table.column(c)] for c, t in _KINDS.items()}
-        still = {c: np.concatenate([x[:n] for x, n in zip(v, n_open)]) for c, v in raw.items()}
-        done = {c: np.concatenate([x[n:] for x, n in zip(v, n_open)]) for c, v in raw.items()}
-        data = np.frombuffer(b"".join(opened(x.as_py()) for x in table.column("packed")), np.uint8)
+        still: dict[str, list] = {c: [] for c in _KINDS}
+        done: dict[str, list] = {c: [] for c in _KINDS}
+        contents = []
+        for n, n_open, packed_ in zip(*(table.column(c).to_pylist() for c in ("n", "n_open", "packed"))):
+            raw, at = opened(packed_), 0
+            for c, t in _KINDS.items():
+                x = np.frombuffer(raw, t, n, at)
+                still[c].append(x[:n_open])
+                done[c].append(x[n_open:])
+                at += x.nbytes
+            contents.append(raw[at:])
+        still, done = ({c: np.concatenate(x) for c, x in side.items()} for side in (still, done))
+        data = np.frombuffer(b"".join(contents), np.uint8)
+        del contents
         size = still["sizes"].astype(np.int64)
         if len(size):
             context, window = repeats(still["docs"], still["places"].astype(np.int64), still["suffixes"].astype(np.int64), size, data, span, edge)
@@ -213,14 +248,14 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataF
         return pa.table(
             {
                 "doc_id": np.r_[still["docs"][at], done["docs"]],
-                "mark": np.r_[still["marks"][at], done["marks"]],
+                "mark": np.r_[still["marks"][at], done["marks"]].astype(np.int32),
                 "start": np.r_[still["places"][at] + window[cut], done["places"]].astype(np.int32),
                 "n": np.r_[np.diff(np.r_[cut, len(context)]), done["sizes"].astype(np.int64)].astype(np.int32),
             }
         )
 
-    packed = docs.mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in _COLUMNS[1:6]) + ", n_open long, packed binary")
-    return packed.groupBy("part").applyInArrow(join, "doc_id long, mark long, start int, n int")
+    packed = docs.mapInArrow(run, "part int, n long, n_open long, packed binary")
+    return packed.groupBy("part").applyInArrow(join, "doc_id long, mark int, start int, n int")
 
 
 def kept_bytes(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataFrame:
@@ -257,7 +292,7 @@ def kept_bytes(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataFrame
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = repeated_spans(slim, span, edge).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "n")).alias("_spans")).withColumnRenamed("doc_id", "_id")
-    joined = slim.join(spans, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("mark")), "left")
+    joined = slim.join(spans, (F.col("doc_id") == F.col("_id")) & (_mark(F.col("text")) == F.col("mark")), "left")
     return joined.select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
