@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, mix64, shingle_starts, prefix_hash, range_hash, ship, text_slices, word_bounds, word_hashes, written
@@ -279,10 +279,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     classes = facts.where("bag IS NOT NULL").groupBy("bag").agg(F.min("doc_id").alias("class_id"))
     named = written(facts.select("doc_id", "n_shingles", "bag").join(classes, "bag", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
     heads = facts.where("bag IS NOT NULL").join(classes, "bag").where("doc_id = class_id").dropDuplicates(["bag"])
-    keyed = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "low", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
-    labels = written(components(candidates(keyed.join(shared, "bucket"), threshold)), "candidates")
-    items = expanded(docs.join(labels.select("id"), docs["doc_id"] == labels["id"]).select("id", "text").dropDuplicates(["id"]), k)
+    heads = written(heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "low", "bands"), "heads")
+    # buckets are found without the signatures' bytes, which then join the rows of shared buckets only
+    bucketed = heads.select("id", F.explode("bands").alias("bucket")).withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("members > 1")
+    keyed = bucketed.select("id", "bucket").join(heads.select("id", "n", "low"), "id")
+    labels = written(components(candidates(keyed, threshold)), "candidates")
+    wanted = labels.select("id").hint("merge")
+    items = expanded(docs.join(wanted, docs["doc_id"] == wanted["id"]).select("id", "text").dropDuplicates(["id"]), k)
     joined = components(verified(items, labels, threshold)).withColumnsRenamed({"id": "class_id", "component": "_component"})
     return named.join(joined, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("_component", "class_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
