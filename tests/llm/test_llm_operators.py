@@ -134,6 +134,27 @@ def test_lm_scores(docs, texts, none, monkeypatch, small):
     assert bloomlm.score_texts(none).count() == 0
 
 
+def test_lm_context_counts_do_not_depend_on_the_head(spark, monkeypatch):
+    # "often" is common, "seldom" is a context seen 30 times and followed 4 times by "seen"
+    train = ["often " * 400 + " ".join(f"r{i} r{i}" for i in range(200)), "seldom often " * 26 + "seldom seen " * 4]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    test = "seldom seen r1 r1 often seldom unseen unseen"
+    rows = [*zip(ids, train), (held, test)]
+    tokens_ = [[*t.split(), None] for t in train]
+    c = Counter(w for x in tokens_ for w in x)
+    pairs = Counter(p for x in tokens_ for p in zip([None, *x], x))
+    floor = sum(c.values()) + 0.5 * (len(c) + 1)
+    quantised = lambda n: bloomlm.LOG_BASE ** round(math.log(n) / math.log(bloomlm.LOG_BASE)) if n else 0
+    x = [*test.split(), None]
+    want = sum(math.log10(bloomlm.WEIGHT * quantised(pairs[h, w]) / max(c[h], quantised(pairs[h, w]), 1) + (1 - bloomlm.WEIGHT) * (c[w] + 0.5) / floor) for h, w in zip([None, *x], x))
+    monkeypatch.setattr(bloomlm, "BITS", 64)
+    for head in (1 << 20, 20, 1, 0):
+        monkeypatch.setattr(bloomlm, "HEAD", head)
+        got = {r.doc_id: r.score for r in bloomlm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert abs(got[held] - want) < 1e-6, head
+
+
 def test_filter_counts():
     key = common.mix64(np.arange(20000, dtype=np.uint64))
     n = np.arange(20000) % 40 + 1

@@ -8,12 +8,12 @@ the input; each has its own bit array of ``BITS`` per insertion.
 
 Scoring: shards are broadcast in groups of at most ``MAX_BROADCAST`` bytes, and each group scores the
 tokens whose bigram it holds, over all documents; more input means more groups, never a filter that
-is fuller or cut. Exact counts of the at most ``HEAD`` commonest words are broadcast too; other words
-are joined with the count table, and their probability is finished there. Words are known by 64-bit
-hashes.
+is fuller or cut. Exact counts of the at most ``HEAD`` commonest words are broadcast too; where a
+token or its context is another word, the counts are joined from the count table, and the probability
+is finished there. So ``HEAD`` alters no score. Words are known by 64-bit hashes.
 
-p(w | h) = weight * c(h, w) / c(h) + (1 - weight) * (c(w) + 0.5) / (N + 0.5 * (V + 1)), where a
-context that is not among the common words counts as the mean of the rest, at least c(h, w).
+p(w | h) = weight * c(h, w) / c(h) + (1 - weight) * (c(w) + 0.5) / (N + 0.5 * (V + 1)), where c(h)
+counts as at least the quantised c(h, w), and as at least 1.
 
 Defined results: null and empty texts are the end token alone; repeated rows are scored each by
 itself; a null doc_id is trained on (its crc32 is taken as not 1 modulo 5); without training texts
@@ -188,18 +188,17 @@ def _counts(train: DataFrame, shards: int) -> DataFrame:
     return packed.groupBy("shard").applyInArrow(add, "shard int, word long, n long, bits binary")
 
 
-def _head(words: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """(word, count) of the commonest words, sorted by word, and the mean count of all others."""
+def _head(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(word, count) of the commonest words, sorted by word."""
     by_count = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toArrow()
     n, much = (by_count.column(c).to_numpy() for c in ("n", "words"))
     fit = int(np.searchsorted(np.cumsum(much), HEAD, "right"))
-    rest = float((n[fit:] * much[fit:]).sum() / max(1, much[fit:].sum())) if fit < len(n) else 1.0
     if not fit:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), max(1.0, rest)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     table = words.where(F.col("n") >= int(n[fit - 1])).select("word", "n").toArrow()
     word, count = table.column("word").to_numpy().view(np.uint64), table.column("n").to_numpy()
     order = np.argsort(word)
-    return word[order], count[order], max(1.0, rest)
+    return word[order], count[order]
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -214,7 +213,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     words = counts.where("word IS NOT NULL").select("word", "n")
     total, distinct = (x or 0 for x in words.agg(F.sum("n"), F.count(F.lit(1))).first())
     floor = total + 0.5 * (distinct + 1)
-    head_word, head_n, rest = _head(words)
+    head_word, head_n = _head(words)
     head = spark.sparkContext.broadcast((head_word, head_n))  # HEAD pairs of 16 bytes at most
     sizes = {r[0]: r[1] for r in counts.where("bits IS NOT NULL").select("shard", F.octet_length("bits")).collect()}
     groups: list[list[int]] = [[]]
@@ -248,11 +247,15 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
                 common, c = known(token)
                 context_common, ch = known(context)
-                ratio = WEIGHT * both / np.maximum(np.where(context_common, ch, rest), np.maximum(both, 1))
-                base = np.log10((c[common] + 0.5) / floor) if total else np.zeros(int(common.sum()))
-                score = np.log10(ratio[common] + (1 - WEIGHT) * (c[common] + 0.5) / floor) if total else base
-                add = lambda x: np.bincount(doc[common], x, minlength=size)
-                later = np.flatnonzero(~common)
+                sure = common & context_common
+                ratio = WEIGHT * both[sure] / np.maximum(ch[sure], np.maximum(both[sure], 1))
+                base = np.log10((c[sure] + 0.5) / floor) if total else np.zeros(int(sure.sum()))
+                score = np.log10(ratio + (1 - WEIGHT) * (c[sure] + 0.5) / floor) if total else base
+                add = lambda x: np.bincount(doc[sure], x, minlength=size)
+                later = np.flatnonzero(~sure)
+                # a known count needs no partner: its join key is the bigram's, which spreads common words
+                ask = lambda x, ok: np.where(ok, key, x)[later].view(np.int64)
+                have = lambda x, ok: pa.array(np.r_[np.zeros(size, np.int64), x[later]], mask=np.r_[np.ones(size, bool), ~ok[later]])
                 ids = row + np.arange(size)
                 row += size
                 nothing = len(later)
@@ -262,16 +265,19 @@ def score_texts(docs: DataFrame) -> DataFrame:
                         pa.concat_arrays([batch.column("doc_id"), pa.nulls(nothing, pa.int64())]),
                         pa.concat_arrays([batch.column("held_out"), pa.nulls(nothing, pa.bool_())]),
                         pa.array(np.r_[np.bincount(doc, minlength=size), np.ones(nothing, np.int64)]),
-                        pa.array(np.r_[np.bincount(doc[common], minlength=size), np.zeros(nothing, np.int64)]),
+                        pa.array(np.r_[np.bincount(doc[sure], minlength=size), np.zeros(nothing, np.int64)]),
                         pa.array(np.r_[add(base), np.zeros(nothing)]),
                         pa.array(np.r_[add(score), np.zeros(nothing)]),
-                        pa.array(np.r_[np.zeros(size, np.int64), token[later].view(np.int64)], mask=np.arange(size + nothing) < size),
-                        pa.array(np.r_[np.zeros(size), ratio[later]]),
+                        pa.array(np.r_[np.zeros(size, np.int64), ask(token, common)], mask=np.arange(size + nothing) < size),
+                        have(c, common),
+                        pa.array(np.r_[np.zeros(size, np.int64), ask(context, context_common)], mask=np.arange(size + nothing) < size),
+                        have(ch, context_common),
+                        pa.array(np.r_[np.zeros(size), both[later]]),
                     ],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "ratio"],
+                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "c", "context", "ch", "pair"],
                 )
 
-        out = written(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word long, ratio double"), "scored")
+        out = written(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word long, c long, context long, ch long, pair double"), "scored")
         table.destroy()
         return out
 
@@ -280,10 +286,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
     for t in tables[1:]:
         whole = whole.union(t)
     done = whole.where("word IS NULL")
-    late = whole.where("word IS NOT NULL").join(words, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
+    late = whole.where("word IS NOT NULL").join(words, "word", "left").withColumn("c", F.coalesce("c", "n", F.lit(0))).drop("n", "word")
+    late = late.join(words.withColumnRenamed("word", "context"), "context", "left").withColumn("ch", F.coalesce("ch", "n", F.lit(0)))
     share = (F.col("c") + 0.5) / F.lit(floor)
+    ratio = WEIGHT * F.col("pair") / F.greatest("ch", "pair", F.lit(1.0))
     late = late.groupBy("row").agg(
-        F.count_if(F.col("c") > 0).alias("more"), F.sum(F.log10(share)).alias("more_base"), F.sum(F.log10(F.col("ratio") + (1 - WEIGHT) * share)).alias("more_score")
+        F.count_if(F.col("c") > 0).alias("more"), F.sum(F.log10(share)).alias("more_base"), F.sum(F.log10(ratio + (1 - WEIGHT) * share)).alias("more_score")
     )
     if len(tables) > 1:
         done = done.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
