@@ -310,6 +310,31 @@ def test_embedding_links(spark):
     assert projections.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("exact", [True, False])
+def test_embedding_links_in_a_crowd(spark, monkeypatch, exact):
+    # a crowd of mean cosine 0.85 without links but those planted
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    middle = unit(rng.standard_normal((1, 128)))
+    v = unit(0.85**0.5 * middle + 0.15**0.5 * unit(rng.standard_normal((6000, 128))))
+    v = np.concatenate([v, unit(v[:500] + 0.42 * unit(rng.standard_normal((500, 128))))])
+    link = v @ v.T >= 0.9
+    if not exact:
+        monkeypatch.setattr(projections, "EXACT", 100)
+        assert projections.settings(len(v), 0.9, projections.WINDOW) == (7, 2)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in projections.near_vectors(df).collect()}
+    assert link.sum() > len(v) + 900
+    assert [got[i] for i in range(len(v))] == (link.sum(axis=1) - 1).tolist()
+
+
+def test_projection_passes_grow_with_the_input():
+    passes = [projections.settings(n, 0.9, projections.WINDOW) for n in (10, 1 << 14, 10**5, 10**6, 10**8)]
+    assert passes[:2] == [(1, 0), (1, 0)] and passes == sorted(passes)
+    for n, (p, bits) in zip((10**5, 10**6, 10**8), passes[2:]):
+        assert n / 2**bits <= projections.WINDOW and (1 - (1 - math.acos(0.9) / math.pi) ** bits) ** p <= projections.MISS
+
+
 def test_media_round_trip(docs, none, texts):
     got = {r.doc_id: r for r in media.features(media.store_texts(docs)).collect()}
     for i, t in texts:

@@ -1,10 +1,16 @@
 """Near duplicates among vectors by sorted projection passes.
 
-Each pass hashes every distinct vector to the signs of ``bits`` random projections and sorts all of
-them by those bits read as one number. Each vector is compared with the ``window`` vectors before it
-in that order, also across partition borders, in double precision; of the pairs found, a spanning
-set enters the union over all passes. Inside the components that result every pair is compared, in
-blocks, so link counts are exact there however large a component is, and only counts leave a block.
+Each pass hashes every distinct vector to the signs of ``bits`` random projections and brings equal
+keys together. All vectors of one key are compared with one another in double precision, in blocks
+however many they are, so a crowded region costs more but loses nothing; of the pairs found, a
+spanning set enters the union over all passes. Inside the components that result every pair is
+compared, in blocks, so link counts are exact there however large a component is, and only counts
+leave a block.
+
+Up to ``EXACT`` distinct vectors the key has no bits, so every pair is compared. Beyond, the bits let
+about ``window`` evenly spread vectors share a key. A pair at the threshold shares a key with the
+probability (1 - arccos(threshold) / pi) ** bits in each pass, whatever other vectors there are; there
+are as many passes as make it miss all of them with a probability of at most ``MISS``.
 
 Equal vectors form one class, compared once. Defined results: vectors that are null, empty, zero or
 hold null or non-finite components link with nothing; vectors of different dimensions are never
@@ -14,18 +20,18 @@ their own in counts and share a component.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, written
 from .components import components
 
-PASSES, BITS, WINDOW, BLOCK = 32, 48, 64, 1024
+EXACT, WINDOW, BLOCK, MISS = 1 << 14, 2048, 1024, 1e-4
 
 
 def _unit(batch: pa.RecordBatch, dim: int) -> np.ndarray:
@@ -33,40 +39,33 @@ def _unit(batch: pa.RecordBatch, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _spanning(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Of the pairs (a, b) of places, those that join what earlier ones have not."""
-    root = np.arange(len(ids))
+def settings(n: int, threshold: float, window: int) -> tuple[int, int]:
+    """(passes, bits) for ``n`` distinct vectors."""
+    if n <= EXACT:
+        return 1, 0
+    bits = min(62, max(1, math.ceil(math.log2(n / max(1, window)))))
+    share = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
+    return (1 if share >= 1 - MISS else math.ceil(math.log(MISS) / math.log1p(-share))), bits
 
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
+def _spanning(ids: np.ndarray, x: np.ndarray, threshold: float, split: int | None = None) -> list[tuple[int, int]]:
+    """A spanning set of the links among unit vectors; with ``split``, only between those before it and the rest."""
+    label = np.arange(len(ids))
     out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = top(x), top(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((int(ids[x]), int(ids[y])))
+    for at in range(0, len(ids) if split is None else split, 256):
+        till, start = min(at + 256, len(ids) if split is None else split), at if split is None else split
+        near = x[at:till] @ x[start:].T >= threshold
+        for i in np.flatnonzero(near.any(axis=1)) + at:
+            to = np.flatnonzero(near[i - at]) + start
+            for j in to[label[to] != label[i]].tolist():
+                if label[j] != label[i]:
+                    out.append((int(ids[i]), int(ids[j])))
+                    label[label == label[j]] = label[i]
     return out
 
 
-def _compared(ids: np.ndarray, group: np.ndarray, vectors: list[np.ndarray] | np.ndarray, window: int, threshold: float, border: int | None = None) -> list[tuple[int, int]]:
-    """Spanning pairs of neighbours at most ``window`` apart in one group; with ``border``, those across it."""
-    a, b = [], []
-    for gap in range(1, min(window, len(ids) - 1) + 1):
-        at = np.arange(len(ids) - gap) if border is None else np.arange(max(0, border - gap), min(border, len(ids) - gap))
-        at = at[group[at] == group[at + gap]]
-        if len(at):
-            near = at[np.einsum("ij,ij->i", vectors[at], vectors[at + gap]) >= threshold]
-            a.append(near)
-            b.append(near + gap)
-    return _spanning(ids, np.concatenate(a), np.concatenate(b)) if a else []
-
-
-def neighbour_links(heads: DataFrame, passes: int, bits: int, window: int, threshold: float, seed: int) -> DataFrame:
-    """(u, v) of a spanning set of the pairs that the passes find; ``heads`` has (id, vec)."""
+def neighbour_links(heads: DataFrame, passes: int, bits: int, threshold: float, seed: int) -> DataFrame:
+    """(u, v) of a spanning set, per block, of the pairs that share a key; ``heads`` has (id, vec)."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -78,59 +77,28 @@ def neighbour_links(heads: DataFrame, passes: int, bits: int, window: int, thres
                     planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, passes * bits)).astype(np.float32)
                 for at in range(0, part.num_rows, 2048):
                     piece = part.slice(at, 2048)
-                    sign = (_unit(piece, dim).astype(np.float32) @ planes[dim] > 0).reshape(-1, passes, bits)
+                    sign = (_unit(piece, dim).astype(np.float32) @ planes[dim] > 0).reshape(piece.num_rows, passes, bits)
                     key = sign @ (np.int64(1) << np.arange(bits, dtype=np.int64)[::-1])
                     for p in range(passes):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(piece.num_rows, p * 100_000 + dim, np.int64)), pa.array(key[:, p]), piece.column("id"), piece.column("vec")], ["part", "key", "id", "vec"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me, sent = TaskContext.get().partitionId(), 0
-
-        def out(kind, u, v, part, border, vec):
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(u), pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(part, pa.int64()), pa.array(border, pa.int64()), vec], ["kind", "u", "v", "part", "border", "vec"])
-
-        # blocks of rows with the window's rows before them
-        tail: tuple[np.ndarray, np.ndarray, list] = (np.zeros(0, np.int64), np.zeros(0, np.int64), [])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                piece = batch.slice(at, 4096)
-                ids, part = piece.column("id").to_numpy(), piece.column("part").to_numpy()
-                size = np.diff(piece.column("vec").offsets.to_numpy())
-                flat, begin = piece.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.r_[0, np.cumsum(size)]
-                vectors = [flat[x:y] / np.linalg.norm(flat[x:y]) for x, y in zip(begin[:-1], begin[1:])]
-                ids, part, vectors = np.r_[tail[0], ids], np.r_[tail[1], part], tail[2] + vectors
-                if not sent:
-                    first = range(min(window, len(ids)))
-                    yield out(1, [int(ids[i]) for i in first], [i for i in first], [int(part[i]) for i in first], [me] * len(first), pa.array([vectors[i] for i in first], pa.list_(pa.float64())))
-                    sent = len(first)
-                for dim in {len(x) for x in vectors}:
-                    own = np.array([i for i, x in enumerate(vectors) if len(x) == dim])
-                    found = _compared(ids[own], part[own], np.stack([vectors[i] for i in own]), window, threshold)
-                    if found:
-                        u, v = zip(*found)
-                        yield out(0, u, v, [0] * len(u), [0] * len(u), pa.array([None] * len(u), pa.list_(pa.float64())))
-                tail = ids[-window:], part[-window:], vectors[-window:]
-        if len(tail[0]):
-            n = len(tail[0])
-            yield out(1, tail[0].tolist(), [i - n for i in range(n)], tail[1].tolist(), [me + 1] * n, pa.array(tail[2], pa.list_(pa.float64())))
-
-    def across(key, table):
-        t = table.sort_by([("v", "ascending")])
-        u, v = [], []
-        ids, part, vectors = t.column("u").to_numpy(), t.column("part").to_numpy(), [np.array(x) for x in t.column("vec").to_pylist()]
-        before = t.column("v").to_numpy() < 0
-        for dim in {len(x) for x in vectors}:
-            own = np.array([i for i, x in enumerate(vectors) if len(x) == dim])
-            for x, y in _compared(ids[own], part[own], np.stack([vectors[i] for i in own]), window, threshold, int(before[own].sum())):
-                u.append(x)
-                v.append(y)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(piece.num_rows, p << 32 | dim, np.int64)), pa.array(key[:, p]), piece.column("id")], ["part", "key", "id"])
+
+    def compare(key, table):
+        i, j = key[2].as_py(), key[3].as_py()
+        own = table.column("own").to_numpy()
+        order = np.argsort(own, kind="stable")
+        x = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        found = _spanning(table.column("id").to_numpy()[order], x[order], threshold, None if i == j else int((own == i).sum()))
+        u, v = zip(*found) if found else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    spark = heads.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = heads.mapInArrow(keys, "part long, key long, id long, vec array<double>").repartitionByRange(n, "part", "key", "id").sortWithinPartitions("part", "key", "id")
-    seen = written(ordered.mapInArrow(scan, "kind int, u long, v long, part long, border long, vec array<double>"), "neighbours")
-    return seen.where("kind = 0").select("u", "v").union(seen.where("kind = 1").groupBy("border").applyInArrow(across, "u long, v long"))
+    # keys travel without the vectors, which then join the rows of shared keys only
+    keyed = written(heads.select("id", "vec").mapInArrow(keys, "part long, key long, id long"), "keys")
+    sizes = keyed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = keyed.join(sizes, ["part", "key"]).withColumn("blocks", F.expr(f"cast(ceil(n / {2 * BLOCK}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    others = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
+    sent = placed.withColumn("at", others).select("part", "key", "at.i", "at.j", "own", "id").join(heads.select("id", "vec"), "id")
+    return sent.groupBy("part", "key", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def link_counts(heads: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
@@ -153,8 +121,9 @@ def link_counts(heads: DataFrame, labels: DataFrame, threshold: float) -> DataFr
     return from_side.union(to_side).groupBy("component", "i", "j").applyInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, seed: int = 7) -> DataFrame:
-    """(vec_id, n_links, component_id, kept, class_id) of every row of ``vectors`` (vec_id, embedding)."""
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, passes: int | None = None, bits: int | None = None, window: int = WINDOW, seed: int = 7) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, class_id) of every row of ``vectors`` (vec_id, embedding);
+    passes and bits that are not given follow from the number of distinct vectors."""
     ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
     sound = F.expr("vec IS NOT NULL AND size(vec) > 0 AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(vec, x -> x <> 0)")
@@ -162,7 +131,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, passes: int = PASSE
     classes = good.groupBy("vec").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("rows"))
     named = written(good.join(classes, "vec").select("vec_id", "class_id", "rows"), "vectors")
     heads = written(classes.select(F.col("class_id").alias("id"), "vec", "rows").dropDuplicates(["id"]), "heads")
-    labels = written(components(neighbour_links(heads, passes, bits, window, threshold, seed)), "labels")
+    derived = settings(heads.count(), threshold, window)
+    passes, bits = derived[0] if passes is None else passes, derived[1] if bits is None else bits
+    labels = written(components(neighbour_links(heads, passes, bits, threshold, seed)), "labels")
     linked = labels.join(link_counts(heads, labels, threshold), "id", "left").withColumnRenamed("id", "class_id")
     out = named.join(linked, "class_id", "left").select(
         "vec_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"), "class_id"
