@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
 from tidemark.operators import asof, filters, learn, merge, panel, portfolio, stats
-from tidemark.plans import market
+from tidemark.plans import market, registry
 from tidemark.sources import readers, writers
 from tidemark.streaming import incremental
 
@@ -155,3 +155,10 @@ def test_training_and_prediction(spark):
     with pytest.raises(ValueError):
         learn.predict(models, rows.drop("y"), ["x", "y"])
     assert stats.redundant(rows.withColumn("z", F.col("x") * 2), ["x", "y", "z"]) == ["z"]
+
+
+def test_walk_forward_query_predicts_every_fold(spark, sf):
+    got = registry.queries()["model_walk_forward"](spark, sf).groupBy("fold_id").agg(F.min("feature_date"), F.max("feature_date")).collect()
+    found = {r[0]: (str(r[1]), str(r[2])) for r in got}
+    assert set(found) == {f[0] for f in market.FOLDS}
+    assert all(f[5] <= found[f[0]][0] <= found[f[0]][1] <= f[6] for f in market.FOLDS)

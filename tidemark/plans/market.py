@@ -492,9 +492,9 @@ def source_completeness(spark, sf):
 def model_walk_forward(spark, sf):
     """Boosted trees per fold; rows only."""
     rows = _predictions(spark, sf).withColumnsRenamed({"date": "feature_date", "actual": "target_ranking"}).withColumn("x", F.greatest(F.least("predicted", F.lit(10.0)), F.lit(-10.0)))
-    folds = spark.createDataFrame([(1, "2024-01-01", "2024-01-12", "2024-01-13", "2024-01-14", "2024-01-15", "2024-01-16")], "fold_id int, train_start string, train_end string, valid_start string, valid_end string, test_start string, test_end string")
+    folds = spark.createDataFrame(FOLDS, "fold_id int, train_start string, train_end string, valid_start string, valid_end string, test_start string, test_end string")
     folds = folds.select("fold_id", *[F.col(c).cast("date").alias(c) for c in folds.columns[1:]])
-    out = learn.walk_forward(rows, folds, ["x"], iterations=2, depth=2)
+    out = learn.walk_forward(rows, folds, ["x"])
     return out.select("feature_date", "ticker", "fold_id", "ranking_score", "pred_gap", "pred_intraday")
 
 
