@@ -425,6 +425,24 @@ def test_near_duplicates(spark, docs, none, texts, monkeypatch):
     assert bagminhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_each_text_under_one_id(spark):
+    rng = random.Random(4)
+    texts_ = [words(rng, 100, 10**6) for _ in range(4)]
+    rows = [(1, t) for t in texts_] + [(2 + i, t + " more") for i, t in enumerate(texts_)] + [(1, None), (9, words(rng, 100, 10**6))]
+    got = {(r.doc_id, r.component_id) for r in bagminhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {(i, 1) for i in range(1, 6)} | {(9, 9)}
+
+
+def test_repeats_beyond_16_bits(spark):
+    rng = random.Random(4)
+    rows = [(0, "x " * 90_004 + words(rng, 20_000, 10**9)), (1, "x " * 100_004)]
+    items = {r.id: np.frombuffer(r["items"], np.uint64) for r in bagminhash.expanded(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert all(len(np.unique(x)) == len(x) for x in items.values()) and len(items[1]) == 100_000
+    both = len(np.intersect1d(items[0], items[1]))
+    assert both == 90_000
+    assert bagminhash.links_within(np.array([0, 1]), [items[0], items[1]], 0.8) == []
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(300, 305), (305, 310), (7, 7), (0, 1)] + [(500, x) for x in range(501, 560)]
     got = dict(components.components(spark.createDataFrame(edges, "u long, v long")).collect())

@@ -122,14 +122,17 @@ def describe(docs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def expanded(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(id, items binary): the multiset as sorted 64-bit items, shingle and number of the repeat."""
+    """(id, items binary): the multiset as 64-bit items, shingle and number of the repeat; the two
+    are hashed where the number is over 16 bits."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_slices(batches, limit=1 << 19):
             doc, shingle, weight = bags(data, offsets, k)
             repeat = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
-            items = (np.repeat(shingle, weight) << np.uint64(16)) + np.minimum(repeat, 65535).astype(np.uint64)
+            items = (np.repeat(shingle, weight) << np.uint64(16)) + (repeat & 65535).astype(np.uint64)
+            far = np.flatnonzero(repeat > 65535)
+            items[far] = mix64(items[far] ^ mix64((repeat[far] >> 16).astype(np.uint64)))
             cut = np.searchsorted(np.repeat(doc, weight), np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([items[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["id", "items"])
 
@@ -285,7 +288,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     keyed = bucketed.select("id", "bucket").join(heads.select("id", "n", "low"), "id")
     labels = written(components(candidates(keyed, threshold)), "candidates")
     wanted = labels.select("id").hint("merge")
-    items = expanded(docs.join(wanted, docs["doc_id"] == wanted["id"]).select("id", "text").dropDuplicates(["id"]), k)
+    items = expanded(docs.join(wanted, docs["doc_id"] == wanted["id"]).select("id", "text").dropDuplicates(["id", "text"]), k)
+    items = items.where("octet_length(items) > 0")  # an id may have several texts, some without words
     joined = components(verified(items, labels, threshold)).withColumnsRenamed({"id": "class_id", "component": "_component"})
     return named.join(joined, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("_component", "class_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
