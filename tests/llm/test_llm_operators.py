@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bagminhash, bloomlm, common, components, debruijn, lengths, media, mixing, packing, projections, suffixes, tokens, toxicity
+from tidemark.llm import bagminhash, bloomlm, common, components, debruijn, lengths, media, mixing, packing, projections, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sequence_id string, part string, word string, mark string, _id string, score string"
 
@@ -186,34 +186,6 @@ def test_word_spans(docs, none, texts, monkeypatch, slice_bytes):
     assert set(kept[0].asDict()) == set(docs.columns)
 
 
-@pytest.mark.parametrize("slice_bytes", [1 << 20, 3000])
-def test_byte_spans(docs, none, texts, monkeypatch, slice_bytes):
-    monkeypatch.setattr(common.text_slices, "__defaults__", ("text", slice_bytes))
-    monkeypatch.setattr(suffixes, "BATCH", 40)
-    seen, expected = set(), {}
-    for i, t in texts:
-        b = (t or "").encode()
-        gone = bytearray(len(b))
-        for a in range(len(b) - 99):
-            if b[a : a + 100] in seen:
-                gone[a : a + 100] = b"\1" * 100
-            seen.add(b[a : a + 100])
-        expected[i] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
-    assert {r[0]: tuple(r[1:]) for r in suffixes.digest(docs).collect()} == expected
-    assert suffixes.digest(none).count() == 0
-
-
-def test_suffix_family_keeps_the_earliest():
-    f = suffixes.SuffixFamily()
-    rng = np.random.default_rng(0)
-    key, rank = rng.integers(0, 50, 1000).astype("S4"), rng.permutation(1000)
-    for i in range(0, 1000, 64):
-        f.add(key[i : i + 64], rank[i : i + 64])
-    assert len(f.levels) <= 11
-    got = dict(zip(*f.merged()))
-    assert got == {k: rank[key == k].min() for k in set(key)}
-
-
 def test_mixing(spark, docs, none, texts):
     got = mixing.taken(docs).collect()
     sizes, source = {i: len(split(t)) for i, t in texts}, {i: None if i % 7 == 0 else f"src{i % 4}" for i, _ in texts}

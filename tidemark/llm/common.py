@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship  # noqa: F401
+
 #: Bytes of text that one step of a vectorised kernel works on; a longer text is a step of its own.
 SLICE_BYTES = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 512
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,13 +25,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one in local
+    mode; on a cluster, where executors do not see the driver's folders, an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     held = sc._jsc.sc().getCheckpointDir()
     if not found and held.isDefined():
         found = held.get()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     if held.isEmpty():
         sc.setCheckpointDir(found)
@@ -46,15 +54,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers find this package where the driver found it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+def discard(*frames: DataFrame) -> None:
+    """Remove what ``written`` wrote for frames that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -73,6 +82,18 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             at = to
 
 
+def text_pieces(batches: Iterator[pa.RecordBatch], overlap: int, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, first byte, bytes, offsets) like ``text_slices``, but a text of over twice ``limit`` bytes
+    comes in pieces that share ``overlap`` bytes with the next, so a step's memory is bounded."""
+    for batch, data, offsets in text_slices(batches, limit=limit):
+        if batch.num_rows > 1 or len(data) <= 2 * limit:
+            yield batch, np.zeros(batch.num_rows, np.int64), data, offsets
+            continue
+        for at in range(0, max(1, len(data) - overlap), limit):
+            piece = data[at : at + limit + overlap]
+            yield batch, np.array([at], np.int64), piece, np.array([0, len(piece)], np.int64)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on unsigned 64-bit integers."""
     x = x + np.uint64(0x9E3779B97F4A7C15)
@@ -141,8 +162,22 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    s, inverse = prefix_hash(_LOWER[data] if lower else data)
-    return range_hash(s, inverse, start, end)
+    """A hash of each word; long words, of which two could be made to collide, get xxhash's. Memory is
+    bounded by steps of ``SLICE_BYTES``, whatever the length of the text."""
+    out = np.empty(len(start), np.uint64)
+    size = end - start
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + 2 * SLICE_BYTES, "right")))
+        if to > at + 1 or size[at] <= LONG_WORD:
+            piece = data[start[at] : end[to - 1]]
+            s, inverse = prefix_hash(_LOWER[piece] if lower else piece)
+            out[at:to] = range_hash(s, inverse, start[at:to] - start[at], end[at:to] - start[at])
+        at = to
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        word = data[start[i] : end[i]]
+        out[i] = xxhash.xxh64_intdigest((_LOWER[word] if lower else word).tobytes())
+    return out
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

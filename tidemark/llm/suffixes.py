@@ -6,20 +6,23 @@ least hash (leftmost on ties) of some window of ``span`` bytes; equal windows ch
 in themselves, so every repeated window is seen from such a suffix. The consecutive windows of one
 suffix travel together as its context, to a partition named by those first bytes.
 
-A partition keeps a logarithmic family: each batch of contexts becomes a suffix array (suffix first,
-then what precedes it, backwards), is merge-scanned against the levels, where equal contexts keep
-their earliest coordinates, and levels of like size merge. A context whose equal stands earlier is
-repeated as a whole. Among contexts that share their first bytes but differ, windows are compared
-one by one against the earliest of each context. Repeated windows become spans in document
-coordinates; a document's spans meet in a join with its text.
-
-A task settles contexts that it has itself seen earlier, so very common passages and long runs of
-one byte travel about once per task. Partitions grow in number with the input; nothing is collected
-or broadcast.
+A partition keeps a logarithmic family. Each batch of contexts, in order of place, becomes a suffix
+array (suffix first, then what precedes it, backwards) and is merge-scanned against itself and every
+level: a context whose equal stands earlier is repeated as a whole; elsewhere the longest prefix that
+a suffix shares with its neighbours there tells which of its windows may be repeated, and these are
+looked up among those of the level by hash and compared byte by byte. Then the batch becomes a level,
+and levels of like size merge. Matches are spans in document coordinates; a document's spans meet in
+a join with its text.
+
+A task settles contexts that it has itself seen earlier, by 64-bit hash; they go straight to their
+documents, so very common passages and long runs of one byte reach a partition about once per task.
+Partitions grow in number with the input; nothing is collected or broadcast. Long texts are indexed
+in overlapping pieces.
 
 Defined results: null, empty and short texts have no window and stay; rows with a null doc_id stay
-and are no source; rows with one doc_id are ordered by place alone; an empty table gives no rows;
-other columns are ignored.
+and are no source; rows with one doc_id are one document with two texts, so equal places are never
+each other's source and of equal rows both stay; ties in hash go to the leftmost place; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,15 +35,17 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, prefix_hash, range_hash, shingle_starts, ship, text_slices
+from .common import mix64, prefix_hash, range_hash, shingle_starts, ship, text_pieces, text_slices
 from .debruijn import _local, _runs, sliding_least
 
 SPAN, EDGE = 100, 16
 PARTITION_BYTES = 4_000_000
 #: Bytes of text whose contexts a task gathers, by partition, before it compresses and sends them.
 GATHER_BYTES = 12 << 20
-#: Contexts in one batch of a family.
-BATCH = 1 << 15
+#: Contexts in one batch of a family, unless that makes over ``MOST_BATCHES`` batches.
+BATCH, MOST_BATCHES = 1 << 15, 8
+#: Of zstandard, for contexts on their way.
+LEVEL = 6
 _SEEN = 1 << 18
 
 
@@ -63,104 +68,263 @@ def contexts(data: np.ndarray, offsets: np.ndarray, span: int, edge: int) -> tup
     return begin, size, suffix, row[cut], first[suffix], whole
 
 
-class SuffixFamily:
-    """Levels of distinct contexts, each a suffix array with the earliest rank of every context."""
+class Contexts:
+    """Contexts of one partition: ``data`` holds them one after the other; ``left`` bytes of each
+    precede its suffix, ``size`` windows begin in it, and ``rank`` orders them by where their suffix
+    stands, equal places alike."""
+
+    def __init__(self, data: np.ndarray, left: np.ndarray, size: np.ndarray, rank: np.ndarray, span: int, edge: int) -> None:
+        self.data, self.left, self.size, self.rank, self.span, self.edge = data, left, size, rank, span, edge
+        length = size + span - 1
+        self.base, self.right = np.cumsum(length) - length, length - left  # first byte, and bytes from the suffix on
+
+    def keys(self, of: np.ndarray) -> np.ndarray:
+        """Fixed-width keys: the suffix, then what precedes it backwards, then both lengths."""
+        span, wide = self.span, self.span - self.edge
+        out = np.zeros((len(of), span + wide + 2), np.uint8)
+        for start in range(0, len(of), 1 << 14):
+            i = slice(start, start + (1 << 14))
+            c = of[i]
+            middle = self.base[c] + self.left[c]
+            step = np.arange(span)
+            out[i, :span] = np.where(step < self.right[c][:, None], self.data[np.minimum(middle[:, None] + step, len(self.data) - 1)], 0)
+            step = np.arange(wide)
+            out[i, span : span + wide] = np.where(step < self.left[c][:, None], self.data[np.maximum(middle[:, None] - 1 - step, 0)], 0)
+        out[:, -2], out[:, -1] = self.left[of], self.right[of]
+        return out.reshape(-1).view(f"S{out.shape[1]}")
+
+    def heads(self, of: np.ndarray) -> np.ndarray:
+        """The first bytes of the suffixes."""
+        return self.data[(self.base[of] + self.left[of])[:, None] + np.arange(self.edge)].reshape(-1).view(f"S{self.edge}")
+
+    def windows(self, of: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(context, window, hash) of the first ``many`` windows of each context."""
+        context = np.repeat(of, many)
+        window = np.arange(len(context)) - np.repeat(np.cumsum(many) - many, many)
+        mark = np.empty(len(context), np.uint64)
+        take = many + self.span - 1
+        ends, done = np.cumsum(take), np.cumsum(many)
+        at = 0
+        while at < len(of):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - take[at] + (1 << 20), "right")))
+            n, c = take[at:to], of[at:to]
+            first = np.cumsum(n) - n
+            piece = self.data[np.repeat(self.base[c] - first, n) + np.arange(n.sum())]
+            s, inverse = prefix_hash(piece)
+            i = slice(done[at] - many[at], done[to - 1])
+            place = np.repeat(first, many[at:to]) + window[i]
+            mark[i] = range_hash(s, inverse, place, place + self.span)
+            at = to
+        return context, window, mark
+
+    def equal(self, a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether window i of context a has the bytes of window j of context b."""
+        out = np.empty(len(a), bool)
+        step = np.arange(self.span)
+        for start in range(0, len(a), 1 << 14):
+            x = slice(start, start + (1 << 14))
+            out[x] = (self.data[(self.base[a[x]] + i[x])[:, None] + step] == self.data[(self.base[b[x]] + j[x])[:, None] + step]).all(axis=1)
+        return out
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
-    @staticmethod
-    def _array(key: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class SuffixFamily:
+    """A logarithmic family of suffix arrays over distinct contexts, each with its earliest one.
+
+    ``add`` sorts a batch into a suffix array, scans it against itself and against every level, as
+    two sorted runs are merged, and returns the windows that stand earlier; then the batch becomes a
+    level, and levels of like size are merged run into run. Batches come in order of rank.
+    """
+
+    def __init__(self, contexts: Contexts) -> None:
+        self.contexts = contexts
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # keys in order, and the context of each
+        self.twins: list[tuple[np.ndarray, np.ndarray]] = []  # contexts at one place in equal rows
+
+    def add(self, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(contexts that are repeated whole, and context and window of other repeats)."""
+        c = self.contexts
+        key = c.keys(batch)
         order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        return key[new], np.minimum.reduceat(rank[order], new)
-
-    def add(self, key: np.ndarray, rank: np.ndarray) -> None:
-        level = self._array(key, rank)
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
-            other = self.levels.pop()
-            level = self._array(np.concatenate([other[0], level[0]]), np.concatenate([other[1], level[1]]))
-        self.levels.append(level)
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.levels) > 1:
-            a, b = self.levels.pop(), self.levels.pop()
-            self.levels.append(self._array(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])))
-        return self.levels[0]
-
-
-def _keys(data: np.ndarray, base: np.ndarray, suffix: np.ndarray, length: np.ndarray, span: int, edge: int) -> np.ndarray:
-    """Fixed-width keys of contexts at ``base`` in ``data``: the suffix, then what precedes it backwards, then both lengths."""
-    left, right = suffix, length - suffix
-    wide = span - edge
-    out = np.zeros((len(base), span + wide + 2), np.uint8)
-    for start in range(0, len(base), 1 << 14):
-        i = slice(start, start + (1 << 14))
-        step = np.arange(span)
-        at = (base[i] + left[i])[:, None] + step
-        out[i, :span] = np.where(step < right[i][:, None], data[np.minimum(at, len(data) - 1)], 0)
-        step = np.arange(wide)
-        at = (base[i] + left[i] - 1)[:, None] - step
-        out[i, span : span + wide] = np.where(step < left[i][:, None], data[np.maximum(at, 0)], 0)
-    out[:, -2], out[:, -1] = left, right
-    return out.reshape(-1).view(f"S{out.shape[1]}")
-
-
-def repeats(doc: np.ndarray, place: np.ndarray, suffix: np.ndarray, size: np.ndarray, data: np.ndarray, span: int, edge: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, window) of every repeated window among contexts, by index and place in the context;
-    ``data`` holds the contexts one after the other."""
-    length = size + span - 1
-    base = np.cumsum(length) - length
+        key, of = key[order], batch[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        first = np.repeat(of[new], np.diff(np.r_[np.flatnonzero(new), len(of)]))
+        whole = [of[c.rank[of] > c.rank[first]]]
+        twin = ~new & (c.rank[of] == c.rank[first])
+        self.twins.append((of[twin], first[twin]))
+        key, of = key[new], of[new]
+        merged = []
+        for level, owner in self.levels:
+            at = np.minimum(np.searchsorted(level, key), len(level) - 1)
+            same = level[at] == key
+            later = same & (c.rank[owner[at]] < c.rank[of])
+            whole.append(of[later])
+            self.twins.append((of[same & ~later], owner[at][same & ~later]))
+            key, of = key[~same], of[~same]
+        parts = [self._scan(key, of, None, None), *(self._scan(key, of, *level) for level in self.levels)]
+        if len(key):
+            while self.levels and len(self.levels[-1][0]) <= 2 * len(key):
+                key, of = self._merged(*self.levels.pop(), key, of)
+            self.levels.append((key, of))
+        context, window = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        return np.concatenate(whole), context, window
+
+    @staticmethod
+    def _merged(a: np.ndarray, a_of: np.ndarray, b: np.ndarray, b_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two sorted runs without a common key as one."""
+        at = np.searchsorted(a, b) + np.arange(len(b))
+        rest = np.ones(len(a) + len(b), bool)
+        rest[at] = False
+        key, of = np.empty(len(rest), a.dtype), np.empty(len(rest), np.int64)
+        key[at], of[at], key[rest], of[rest] = b, b_of, a, a_of
+        return key, of
+
+    def _common(self, key: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Bytes that each suffix shares with that of its neighbour in another array."""
+        span = self.contexts.span
+        out = np.empty(len(key), np.int64)
+        for i in range(0, len(key), 1 << 14):
+            x = slice(i, i + (1 << 14))
+            mine, theirs = (k.view(np.uint8).reshape(len(k), -1)[:, :span] for k in (key[x], other[x]))
+            differs = mine != theirs
+            out[x] = np.where(differs.any(axis=1), differs.argmax(axis=1), span)
+        return out
+
+    def _reach(self, key: np.ndarray, level: np.ndarray | None) -> np.ndarray:
+        """The longest prefix that each suffix shares with one of a level, or another of its own array:
+        in sorted order that is one of the two neighbours."""
+        reach = np.zeros(len(key), np.int64)
+        if level is None:
+            if len(key) > 1:
+                common = self._common(key[:-1], key[1:])
+                reach[:-1] = common
+                reach[1:] = np.maximum(reach[1:], common)
+            return reach
+        at = np.searchsorted(level, key)
+        for x in (at - 1, at):
+            ok = np.flatnonzero((x >= 0) & (x < len(level)))
+            reach[ok] = np.maximum(reach[ok], self._common(key[ok], level[x[ok]]))
+        return reach
+
+    def _open(self, of: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(contexts, number of windows) that may match given how far their suffixes do."""
+        c = self.contexts
+        many = np.minimum(c.size[of], c.left[of] - (c.span - reach) + 1)
+        return of[many > 0], many[many > 0]
+
+    def _scan(self, key: np.ndarray, of: np.ndarray, level: np.ndarray | None, owner: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(context, window) of windows of the batch that stand earlier in the level (in itself if that is None)."""
+        c, none = self.contexts, np.zeros(0, np.int64)
+        mine = self._open(of, self._reach(key, level))
+        if not len(mine[0]):
+            return none, none
+        context, window, mark = c.windows(*mine)
+        if level is None:
+            source, place, known = context, window, mark
+        else:
+            wanted = np.unique(c.heads(mine[0]))
+            head = np.ascontiguousarray(level.view(np.uint8).reshape(len(level), -1)[:, : c.edge]).reshape(-1).view(f"S{c.edge}")
+            near = np.minimum(np.searchsorted(wanted, head), len(wanted) - 1)
+            near = np.flatnonzero(wanted[near] == head)
+            source, place, known = c.windows(*self._open(owner[near], self._reach(level[near], key)))
+            if not len(source):
+                return none, none
+        order = np.lexsort((c.rank[source], known))
+        source, place, known = source[order], place[order], known[order]
+        new = np.r_[True, known[1:] != known[:-1]]
+        source, place, known = source[new], place[new], known[new]
+        at = np.minimum(np.searchsorted(known, mark), len(known) - 1)
+        hit = np.flatnonzero((known[at] == mark) & (c.rank[source[at]] < c.rank[context]))
+        at = at[hit]
+        hit = hit[c.equal(context[hit], window[hit], source[at], place[at])]
+        return context[hit], window[hit]
+
+    def settled(self, context: np.ndarray, window: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All repeats as (context, window), each once, with those of twins."""
+        c = self.contexts
+        of, first = (np.concatenate([t[i] for t in self.twins]) for i in (0, 1))
+        root = np.arange(len(c.size))
+        while len(of) and (root[of] != root[first]).any():
+            root[of] = root[first]
+        gone = np.zeros(len(c.size), bool)
+        gone[whole] = True
+        gone[of] |= gone[root[of]]
+        own = np.flatnonzero(gone)
+        n = c.size[own]
+        pairs = [context * 256 + window, np.repeat(own, n) * 256 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        if len(of):
+            by = np.argsort(context, kind="stable")
+            lo, hi = np.searchsorted(context[by], root[of]), np.searchsorted(context[by], root[of], "right")
+            n = hi - lo
+            pairs.append(np.repeat(of, n) * 256 + window[by[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]])
+        pairs = np.unique(np.concatenate(pairs))
+        return pairs >> 8, pairs & 255
+
+
+def _ranked(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The order of places: by document, then within it; equal ones alike."""
+    order = np.lexsort((at, doc))
     rank = np.empty(len(doc), np.int64)
-    rank[np.lexsort((place + suffix, doc))] = np.arange(len(doc))
-    key = _keys(data, base, suffix, length, span, edge)
-    family = SuffixFamily()
-    for i in range(0, len(doc), BATCH):
-        family.add(key[i : i + BATCH], rank[i : i + BATCH])
-    array, earliest = family.merged()
-    late = earliest[np.searchsorted(array, key)] < rank
-    whole = np.flatnonzero(late)
-    # contexts with the same first bytes that differ elsewhere
-    head = array.view(np.uint8).reshape(len(array), -1)[:, :edge]
-    group = np.cumsum(np.r_[True, (head[1:] != head[:-1]).any(axis=1)]) - 1
-    several = np.bincount(group)[group] > 1
-    by_rank = np.empty(len(doc), np.int64)
-    by_rank[rank] = np.arange(len(doc))
-    open_ = by_rank[earliest[several]]
-    bunch = group[several]
-    n = size[open_]
-    context, bunch = np.repeat(open_, n), np.repeat(bunch, n)
-    window = np.arange(len(context)) - np.repeat(np.cumsum(n) - n, n)
-    if len(context):
-        s, inverse = prefix_hash(data)
-        at = base[context] + window
-        mark = range_hash(s, inverse, at, at + span) + mix64((bunch.astype(np.uint64) << np.uint64(8)) + (suffix[context] - window).astype(np.uint64))
-        again = rank[context] > _local(mark, rank[context])
-        context, window = context[again], window[again]
-    n = size[whole]
-    more = np.repeat(whole, n)
-    return np.r_[more, context], np.r_[np.arange(len(more)) - np.repeat(np.cumsum(n) - n, n), window]
-
-
-#: What travels of each context, in this order, before the contents of the open ones.
-_KINDS = {"docs": np.int64, "marks": np.uint16, "places": np.int32, "suffixes": np.uint8, "sizes": np.uint8}
-
-
-def _packed(parts: list[tuple[dict[str, np.ndarray], int, bytes]], squeeze) -> tuple[int, int, bytes]:
-    """(contexts, open ones, bytes) of one partition's share, the open contexts first."""
-    halves = ([{c: f[c][:n] for c in _KINDS} for f, n, _ in parts], [{c: f[c][n:] for c in _KINDS} for f, n, _ in parts])
-    columns = b"".join(np.concatenate([f[c] for half in halves for f in half]).astype(t).tobytes() for c, t in _KINDS.items())
-    return sum(len(f["docs"]) for f, _, _ in parts), sum(n for _, n, _ in parts), squeeze(columns + b"".join(x for _, _, x in parts))
+    rank[order] = np.cumsum(np.r_[False, (doc[order][1:] != doc[order][:-1]) | (at[order][1:] != at[order][:-1])])[: len(doc)]
+    return rank
+
+
+def repeats(doc: np.ndarray, place: np.ndarray, suffix: np.ndarray, size: np.ndarray, data: np.ndarray, span: int, edge: int, batch: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
+    """(context, window), in order, of every repeated window among contexts, by index and place in the
+    context; ``data`` holds the contexts one after the other."""
+    rank = _ranked(doc, place + suffix)
+    order = np.argsort(rank, kind="stable")
+    family = SuffixFamily(Contexts(data, suffix, size, rank, span, edge))
+    batch = max(batch, -(-len(doc) // MOST_BATCHES))
+    found = [family.add(order[i : i + batch]) for i in range(0, len(doc), batch)]
+    whole, context, window = (np.concatenate([f[i] for f in found]) for i in range(3))
+    return family.settled(context, window, whole)
+
+
+#: What travels of each context, in this order, before all their contents.
+_KINDS = {"docs": np.int64, "marks": np.uint32, "places": np.int32, "suffixes": np.uint8, "sizes": np.uint8}
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on, which compress better."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _of_planes(raw: bytes, at: int, kind: type, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(kind)
+
+
+#: What travels of spans that a task has settled.
+_SPANS = {"docs": np.int64, "marks": np.uint32, "starts": np.int32, "counts": np.int32}
+
+
+def _packed(parts: list[tuple[dict[str, np.ndarray], bytes]], kinds: dict[str, type]) -> tuple[int, bytes]:
+    """(rows, bytes) of one partition's share; ids as differences."""
+    fields = {c: np.concatenate([f[c] for f, _ in parts]).astype(t) for c, t in kinds.items()}
+    fields["docs"] = np.diff(fields["docs"], prepend=np.int64(0))
+    return len(fields["docs"]), b"".join(map(_planes, fields.values())) + b"".join(x for _, x in parts)
+
+
+def _unpacked(rows: list[tuple[int, bytes]], kinds: dict[str, type]) -> tuple[dict[str, np.ndarray], bytes]:
+    parts: dict[str, list] = {c: [] for c in kinds}
+    rest = []
+    for n, raw in rows:
+        at = 0
+        for c, t in kinds.items():
+            x = _of_planes(raw, at, t, n)
+            parts[c].append(np.cumsum(x) if c == "docs" else x)
+            at += n * np.dtype(t).itemsize
+        rest.append(raw[at:])
+    return {c: np.concatenate(x) for c, x in parts.items()}, b"".join(rest)
 
 
 def _mark(text: Column) -> Column:
-    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataFrame:
     """(doc_id, mark, start, n): windows start .. start + n - 1, in bytes, that also start earlier;
-    ``mark`` is 16 bits of the text's hash, which tell rows with one doc_id apart."""
+    ``mark`` is 32 bits of the text's hash, which tell rows with one doc_id apart."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("mark", _mark(F.col("text")))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -169,24 +333,26 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
         held: dict[int, list] = {}
         size_held = 0
 
         def out() -> pa.RecordBatch:
-            rows = [(p, *_packed(x, squeeze)) for p, x in sorted(held.items())]
+            rows = []
+            for part, share in sorted(held.items()):
+                n, raw = _packed(share, _SPANS if part < 0 else _KINDS)
+                rows.append((part, n, squeeze(raw)))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["part", "n", "n_open", "packed"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 3, (pa.int32(), pa.int64(), pa.binary()))], ["part", "n", "packed"])
 
         seen: dict[str, np.ndarray] = {"key": np.zeros(0, np.uint64), "doc": np.zeros(0, np.int64)}
-        for batch, data, offsets in text_slices(batches):
+        for batch, start, data, offsets in text_pieces(batches, span - 1):
             ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
             begin, size, suffix, row, first, whole = contexts(data, offsets, span, edge)
             if not len(begin):
                 continue
-            doc, place = ids[row], begin - offsets[row]
-            rank = np.empty(len(doc), np.int64)
-            rank[np.lexsort((begin, place, doc))] = np.arange(len(doc))
+            doc, place = ids[row], begin - offsets[row] + start[row]
+            rank = _ranked(doc, place + suffix - begin)
             settled = rank > _local(whole, rank)
             if len(seen["key"]):
                 found = np.minimum(np.searchsorted(seen["key"], whole), len(seen["key"]) - 1)
@@ -201,17 +367,24 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataF
             key, both = key[order], both[order]
             new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
             seen = {"key": key[new], "doc": both[new]}
+            # settled contexts that follow one another are one span, which need not pass its partition
+            c = np.flatnonzero(settled)
+            if len(c):
+                cut = np.flatnonzero(np.r_[True, (row[c][1:] != row[c][:-1]) | (begin[c][1:] != (begin + size)[c][:-1])])
+                total_ = np.add.reduceat(size[c], cut)
+                c = c[cut]
+                spans = {"docs": doc[c], "marks": marks[row[c]], "starts": place[c], "counts": total_}
+                held.setdefault(-1 - int(mix64(doc[c[:1]].astype(np.uint64))[0] % np.uint64(parts)), []).append(({k: v.astype(_SPANS[k]) for k, v in spans.items()}, b""))
             part = ((mix64(first) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((settled, part))
+            order = np.flatnonzero(~settled)
+            order = order[np.argsort(part[order], kind="stable")]
             of = part[order]
-            for lo, hi in zip(b := np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), np.r_[b[1:], len(of)]):
+            for lo, hi in zip(b := np.flatnonzero(np.r_[len(of) > 0, of[1:] != of[:-1]]), np.r_[b[1:], len(of)]):
                 c = order[lo:hi]
-                n_open = int((~settled[c]).sum())
-                o = c[:n_open]
-                n = size[o] + span - 1
-                content = data[np.repeat(begin[o] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                n = size[c] + span - 1
+                content = data[np.repeat(begin[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 fields = {"docs": doc[c], "marks": marks[row[c]], "places": place[c], "suffixes": (suffix - begin)[c], "sizes": size[c]}
-                held.setdefault(int(of[lo]), []).append(({k: v.astype(_KINDS[k]) for k, v in fields.items()}, n_open, content.tobytes()))
+                held.setdefault(int(of[lo]), []).append(({k: v.astype(_KINDS[k]) for k, v in fields.items()}, content.tobytes()))
             size_held += len(data)
             if size_held >= GATHER_BYTES:
                 yield out()
@@ -222,40 +395,27 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataF
         import zstandard
 
         opened = zstandard.ZstdDecompressor().decompress
-        still: dict[str, list] = {c: [] for c in _KINDS}
-        done: dict[str, list] = {c: [] for c in _KINDS}
-        contents = []
-        for n, n_open, packed_ in zip(*(table.column(c).to_pylist() for c in ("n", "n_open", "packed"))):
-            raw, at = opened(packed_), 0
-            for c, t in _KINDS.items():
-                x = np.frombuffer(raw, t, n, at)
-                still[c].append(x[:n_open])
-                done[c].append(x[n_open:])
-                at += x.nbytes
-            contents.append(raw[at:])
-        still, done = ({c: np.concatenate(x) for c, x in side.items()} for side in (still, done))
-        data = np.frombuffer(b"".join(contents), np.uint8)
-        del contents
-        size = still["sizes"].astype(np.int64)
-        if len(size):
-            context, window = repeats(still["docs"], still["places"].astype(np.int64), still["suffixes"].astype(np.int64), size, data, span, edge)
-        else:
-            context = window = np.zeros(0, np.int64)
-        order = np.lexsort((window, context))
-        context, window = context[order], window[order]
+        rows = ((n, opened(x)) for n, x in zip(table.column("n").to_pylist(), table.column("packed").to_pylist()))
+        if name[0].as_py() < 0:
+            spans, _ = _unpacked(rows, _SPANS)
+            return pa.table({"doc_id": spans["docs"], "mark": spans["marks"].astype(np.int64), "start": spans["starts"], "n": spans["counts"]})
+        c, contents = _unpacked(rows, _KINDS)
+        context, window = repeats(c["docs"], c["places"].astype(np.int64), c["suffixes"].astype(np.int64), c["sizes"].astype(np.int64), np.frombuffer(contents, np.uint8), span, edge)
         cut = _runs(window, context)
         at = context[cut]
-        return pa.table(
-            {
-                "doc_id": np.r_[still["docs"][at], done["docs"]],
-                "mark": np.r_[still["marks"][at], done["marks"]].astype(np.int32),
-                "start": np.r_[still["places"][at] + window[cut], done["places"]].astype(np.int32),
-                "n": np.r_[np.diff(np.r_[cut, len(context)]), done["sizes"].astype(np.int64)].astype(np.int32),
-            }
-        )
+        return pa.table({"doc_id": c["docs"][at], "mark": c["marks"][at].astype(np.int64), "start": (c["places"][at] + window[cut]).astype(np.int32), "n": np.diff(np.r_[cut, len(context)]).astype(np.int32)})
+
+    packed = docs.mapInArrow(run, "part int, n long, packed binary")
+    return packed.groupBy("part").applyInArrow(join, "doc_id long, mark long, start int, n int")
+
 
-    packed = docs.mapInArrow(run, "part int, n long, n_open long, packed binary")
-    return packed.groupBy("part").applyInArrow(join, "doc_id long, mark int, start int, n int")
+def _without(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, int]:
+    """(bytes outside all spans, number of maximal removed runs); spans that touch are one run."""
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
+    start, reach = start[new], reach[np.r_[new[1:] - 1, len(reach) - 1]]
+    return b"".join(data[a:b].tobytes() for a, b in zip(np.r_[0, reach].tolist(), np.r_[start, len(data)].tolist())), len(start)
 
 
 def kept_bytes(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataFrame:
@@ -266,29 +426,16 @@ def kept_bytes(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataFrame
             lists = batch.column("_spans")
             flat = lists.flatten()
             count = np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
-            gone = np.zeros(len(data) + 1, np.int32)
-            if len(flat):
-                start = flat.field("start").to_numpy() + np.repeat(offsets[:-1], count)
-                np.add.at(gone, start, 1)
-                np.add.at(gone, start + flat.field("n").to_numpy() + span - 1, -1)
-            out = np.cumsum(gone[:-1]) > 0
-            new = out.copy()
-            new[1:] &= ~out[:-1]
-            inside = offsets[:-1][offsets[:-1] < len(data)]
-            new[inside] = out[inside]
-            total, spans = np.r_[0, np.cumsum(out)], np.r_[0, np.cumsum(new)]
-            keep = data[~out].tobytes()
-            left = offsets - total[offsets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(np.diff(offsets)),
-                    pa.array(np.diff(total[offsets])),
-                    pa.array(np.diff(spans[offsets])),
-                    pa.array([keep[a:b] for a, b in zip(left[:-1], left[1:])], pa.binary()),
-                ],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
-            )
+            start, n = (flat.field(c).to_numpy() for c in ("start", "n")) if len(flat) else (np.zeros(0, np.int64),) * 2
+            kept, runs, at = [], [], 0
+            for a, b, m in zip(offsets[:-1].tolist(), offsets[1:].tolist(), count.tolist()):
+                left, many = _without(data[a:b], start[at : at + m], start[at : at + m] + n[at : at + m] + span - 1) if m else (data[a:b].tobytes(), 0)
+                kept.append(left)
+                runs.append(many)
+                at += m
+            size = np.diff(offsets)
+            gone = size - np.array([len(x) for x in kept], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(gone), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = repeated_spans(slim, span, edge).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "n")).alias("_spans")).withColumnRenamed("doc_id", "_id")
