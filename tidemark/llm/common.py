@@ -199,3 +199,33 @@ def shingle_starts(first: np.ndarray, k: int) -> np.ndarray:
     np.add.at(ok, low, 1)
     np.add.at(ok, high, -1)
     return np.flatnonzero(np.cumsum(ok[:-1]) > 0)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on, which compress better."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _of_planes(raw: bytes, at: int, kind: type, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(kind)
+
+
+def packed(parts: list[tuple[dict[str, np.ndarray], bytes]], kinds: dict[str, type]) -> tuple[int, bytes]:
+    """(rows, bytes) of one partition's share: the numbers of each kind, ids as differences, then the rest."""
+    fields = {c: np.concatenate([f[c] for f, _ in parts]).astype(t) for c, t in kinds.items()}
+    fields["docs"] = np.diff(fields["docs"], prepend=np.int64(0))
+    return len(fields["docs"]), b"".join(map(_planes, fields.values())) + b"".join(x for _, x in parts)
+
+
+def unpacked(rows: list[tuple[int, bytes]], kinds: dict[str, type]) -> tuple[dict[str, np.ndarray], bytes]:
+    parts: dict[str, list] = {c: [] for c in kinds}
+    rest = []
+    for n, raw in rows:
+        at = 0
+        for c, t in kinds.items():
+            x = _of_planes(raw, at, t, n)
+            parts[c].append(np.cumsum(x) if c == "docs" else x)
+            at += n * np.dtype(t).itemsize
+        rest.append(raw[at:])
+    return {c: np.concatenate(x) for c, x in parts.items()}, b"".join(rest)

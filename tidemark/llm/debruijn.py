@@ -1,20 +1,32 @@
-"""Removal of long repeated word spans, on a partitioned de Bruijn graph of token k-mers.
-
-A window of ``span`` consecutive words is a path of k-mer edges. The edge with the least hash in a
-window (its minimiser, leftmost on ties) names the window's partition, so equal windows meet there
-wherever they stand, and the windows of a document that share an edge travel as one run. A
-partition joins equal windows, finds the smallest document among their sources, and compacts
-windows that follow one another into spans in source coordinates; the spans of a document meet in a
-join with its text, where those that touch merge and the words are taken out.
+"""Removal of long repeated word spans, by compaction of a de Bruijn graph of token k-mers.
+
+An edge of the graph is a window of ``span`` consecutive words, its nodes are the first and the last
+``span`` - 1 of them; a document is a walk. Edges meet in partitions named by the k-mer of ``edge``
+words with the least hash in a window (its minimiser, leftmost on ties), so equal windows meet
+wherever they stand, and windows of a document that share a minimiser travel as one run.
+
+1. A partition finds the edges that stand in several documents, the first place of each, and which of
+   them follow one another. Where an edge has a single successor that has it as its single
+   predecessor, over all their places, the two are on one nonbranching path; such paths end at
+   branches, at dead ends and at the borders of runs. A path is named by its first place.
+2. Paths that end at the border of a run are joined, on the node there, with those that begin there.
+   Where exactly one path enters a node and one leaves it, and the second goes on in the source where
+   the first ends, they are one path; chains of them are numbered along the source's coordinates,
+   which takes the place of a join per doubling.
+3. Every place that has an earlier source takes its path's number by a join on the source coordinates;
+   neighbours of one path become one span.
+4. A span and its source are verified: both documents give a digest of the words themselves at these
+   coordinates, and digests of one source span that differ make the whole run anew with another hash.
 
 Windows that repeat within a task are settled there against the smallest document that the task has
-seen, so a passage that very many documents share reaches its partition about once per task. The
-number of partitions follows the input, windows are matched by the hash of the window together with
-that of its edge, and nothing is collected or broadcast.
-
-Defined results: null, empty and short texts have no window and stay; rows with a null doc_id stay
-and are no source; rows with the same doc_id are never each other's source; an empty table gives no
-rows; other columns are kept by ``without_repeats`` and clash with none.
+seen, and their spans go straight to step 4, so a passage that very many documents share enters the
+graph about once per task. Partitions grow in number with the input; nothing is collected or
+broadcast.
+
+Defined results: null, empty and short texts have no window and stay, very long ones are treated whole;
+rows with a null doc_id stay and are no source; rows with the same doc_id, equal ones included, are
+never each other's source; ties among sources go to the first place; an empty table gives no rows;
+other columns are kept by ``without_repeats`` and clash with none.
 """
 
 from __future__ import annotations
@@ -25,14 +37,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, mix64, prefix_hash, range_hash, shingle_starts, ship, text_slices, word_bounds, word_hashes
+from .common import discard, fresh, mix64, packed, prefix_hash, range_hash, shingle_starts, ship, text_slices, unpacked, word_bounds, word_hashes, written
 
 SPAN, EDGE = 50, 25
 PARTITION_CHARS = 8_000_000
-_SEEN = 1 << 20
+_SEEN = 1 << 19
 
 
 def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
@@ -44,14 +56,13 @@ def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - done)], x[n - done :]) if n > done else x
 
 
-def windows(words: np.ndarray, first: np.ndarray, span: int, edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, document, hash, hash of the minimising edge) of every window of the documents."""
+def windows(s: np.ndarray, inverse: np.ndarray, first: np.ndarray, span: int, edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, document, hash, hash of the minimising k-mer) of every window, given the prefix hash of the words."""
     at = shingle_starts(first, span)
     if not len(at):
         none = np.zeros(0, np.uint64)
         return at, at, none, none
-    s, inverse = prefix_hash(words)
-    place = np.arange(len(words) - edge + 1)
+    place = np.arange(len(s) - edge)
     edges = range_hash(s, inverse, place, place + edge)
     ranked = (edges >> np.uint64(32) << np.uint64(32)) | place.astype(np.uint64)
     least = sliding_least(ranked, span - edge + 1)[at] & np.uint64(0xFFFFFFFF)
@@ -80,140 +91,286 @@ def _local(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return least
 
 
-_COLUMNS = ["part", "docs", "marks", "starts", "sizes", "edges", "hashes", "settled"]
-_TYPES = [pa.int32(), *[pa.binary()] * 7]
-
-
-def repeated_spans(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataFrame:
-    """(doc_id, mark, start, n): windows start .. start + n - 1, in words of the document, that also
-    start in a document with a smaller doc_id. ``mark`` is xxhash64 of the text."""
-    ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("mark", F.xxhash64("text"))
+def _first_of(key: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by key, begin of each group there, index of each one's first in ``order``, by default as they are)."""
+    by = np.argsort(key if order is None else key[order], kind="stable")
+    by = by if order is None else order[by]
+    k = key[by]
+    new = np.flatnonzero(np.r_[len(k) > 0, k[1:] != k[:-1]])
+    first = np.empty(len(k), np.int64)
+    first[by] = np.repeat(by[new], np.diff(np.r_[new, len(k)]))
+    return by, new, first
+
+
+#: What travels of each run of windows before the windows' hashes, and of each span that a task has settled.
+_RUNS = {"docs": np.int64, "marks": np.uint32, "starts": np.int32, "sizes": np.int32, "edges": np.uint64, "heads": np.uint64, "tails": np.uint64}
+_SPANS = {"docs": np.int64, "marks": np.uint32, "starts": np.int32, "counts": np.int32, "src_docs": np.int64, "src_marks": np.uint32, "src_starts": np.int32}
+_PIECE = "doc_id long, mark long, start int, n int, src_doc long, src_mark long, src_start int, head long, tail long, is_path boolean"
+_SPAN_KEY = ["src_doc", "src_mark", "src_start", "n"]
+
+
+def _mark(text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _pieces(of: dict[str, np.ndarray], head=None, tail=None) -> pa.Table:
+    n = len(of["doc_id"])
+    out = {c: pa.array(x.astype(np.int32 if c in ("start", "n", "src_start") else np.int64)) for c, x in of.items()}
+    for c, x in (("head", head), ("tail", tail)):
+        out[c] = pa.nulls(n, pa.int64()) if x is None else pa.array(x.view(np.int64), mask=x == 0)
+    return pa.table(out | {"is_path": pa.array(np.full(n, head is not None))})
+
+
+def graph_pieces(docs: np.ndarray, marks: np.ndarray, starts: np.ndarray, sizes: np.ndarray, heads: np.ndarray, tails: np.ndarray, key: np.ndarray) -> tuple[pa.Table, pa.Table]:
+    """(places that have an earlier source, paths) of runs whose windows have the ``key`` one after the other."""
+    runs = np.lexsort((starts, docs))
+    base = (np.cumsum(sizes) - sizes)[runs]
+    docs, marks, starts, sizes, heads, tails = (x[runs] for x in (docs, marks, starts, sizes, heads, tails))
+    begin = np.cumsum(sizes) - sizes
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    step = np.arange(len(run)) - begin[run]
+    key, doc, place = key[base[run] + step], docs[run], starts[run] + step
+    by, new, source = _first_of(key)
+    size = np.diff(np.r_[new, len(key)])
+    edge = np.empty(len(key), np.int64)
+    edge[by] = np.repeat(np.arange(len(new)), size)
+    shared = (doc[by[np.r_[new[1:], len(key)] - 1]] != doc[by[new]])[edge]
+    # what follows and precedes each edge: an edge, -1 for nothing repeated, -2 for the border of a run
+    after, before = np.full(len(key), -1), np.full(len(key), -1)
+    near = (run[1:] == run[:-1]) & shared[1:] & shared[:-1]
+    after[:-1][near], before[1:][near] = edge[1:][near], edge[:-1][near]
+    end = begin + sizes - 1
+    after[end[tails != 0]] = -2
+    before[begin[heads != 0]] = -2
+
+    def single(x):
+        return (np.minimum.reduceat(x[by], new) == np.maximum.reduceat(x[by], new))[edge]
+
+    one_after, one_before = single(after), single(before)
+    through = near & one_after[:-1] & one_before[1:]
+    is_first = shared & ~np.r_[False, through]
+    at = np.flatnonzero(is_first)
+    n = np.bincount(np.cumsum(is_first)[shared] - 1, minlength=len(at))
+    src = source[at]
+    late = doc[at] > doc[src]
+
+    def rows(i, j, n):
+        return {"doc_id": doc[i], "mark": marks[run[i]], "start": place[i], "n": n, "src_doc": doc[j], "src_mark": marks[run[j]], "src_start": place[j]}
+
+    own = src == at
+    i, last = at[own], (at + n - 1)[own]
+    none = np.uint64(0)
+    head = np.where((before[i] == -2) & one_before[i], heads[run[i]], none)
+    tail = np.where((after[last] == -2) & one_after[last], tails[run[last]], none)
+    return _pieces(rows(at[late], src[late], n[late])), _pieces(rows(i, i, n[own]), head, tail)
+
+
+def _graph(docs: DataFrame, span: int, edge: int, seed: int) -> DataFrame:
+    """Rows of ``_PIECE``: places with an earlier source, and the paths of each partition."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("mark", _mark(F.col("text")))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = 1 + chars // PARTITION_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen_key, seen_doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        seen = {"key": np.zeros(0, np.uint64), "doc": np.zeros(0, np.int64), "mark": np.zeros(0, np.int64), "place": np.zeros(0, np.int64)}
         for batch, data, offsets in text_slices(batches):
             ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
             start, end, first = word_bounds(data, offsets)
-            at, row, key, edge_hash = windows(word_hashes(data, start, end), first, span, edge)
+            words = word_hashes(data, start, end)
+            s, inverse = prefix_hash(mix64(words + np.uint64(seed)) if seed else words)
+            at, row, key, edges = windows(s, inverse, first, span, edge)
             if not len(at):
                 continue
-            doc = ids[row]
-            least = _local(key, doc)
-            if len(seen_key):
-                found = np.minimum(np.searchsorted(seen_key, key), len(seen_key) - 1)
-                least = np.where(seen_key[found] == key, np.minimum(least, seen_doc[found]), least)
-            settled = doc > least
+            doc, mark, place = ids[row], marks[row], at - first[row]
+            by_id = np.argsort(ids, kind="stable")
+            number = np.empty(len(ids), np.int64)
+            number[by_id] = np.arange(len(ids))
+            _, _, source = _first_of(key, np.argsort(number[row], kind="stable"))
+            src = {"doc": doc[source], "mark": mark[source], "place": place[source]}
+            if len(seen["key"]):
+                found = np.minimum(np.searchsorted(seen["key"], key), len(seen["key"]) - 1)
+                earlier = (seen["key"][found] == key) & (seen["doc"][found] < src["doc"])
+                src = {c: np.where(earlier, seen[c][found], x) for c, x in src.items()}
+            settled = doc > src["doc"]
             again, where = np.unique(key[settled], return_index=True)
-            doc_of = np.r_[least[settled][where], seen_doc][:_SEEN]
-            seen_key, where = np.unique(np.r_[again, seen_key][:_SEEN], return_index=True)
-            seen_doc = doc_of[where]
-            begin = at - first[row]
-            part = (mix64(edge_hash) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-            cut = _runs(begin, row, edge_hash, settled)
-            size = np.diff(np.r_[cut, len(at)])
-            order = np.argsort(part[cut], kind="stable")
-            cut, size = cut[order], size[order]
-            of = part[cut].astype(np.int64)
-            rows = []
+            both = {"key": np.r_[again, seen["key"]][:_SEEN]} | {c: np.r_[x[settled][where], seen[c]][:_SEEN] for c, x in src.items()}
+            key_, where = np.unique(both["key"], return_index=True)
+            seen = {c: x[where] for c, x in both.items()}
+            held: list[tuple[int, int, bytes]] = []
+            c = np.flatnonzero(settled)
+            if len(c):
+                cut = _runs(place[c], row[c], src["doc"][c], src["mark"][c], place[c] - src["place"][c])
+                n, c = np.diff(np.r_[cut, len(c)]), c[cut]
+                n, raw = packed([(dict(zip(_SPANS, (doc[c], mark[c], place[c], n, *(x[c] for x in src.values())))), b"")], _SPANS)
+                held.append((-1 - int(mix64(doc[c[:1]].astype(np.uint64))[0] % np.uint64(parts)), n, squeeze(raw)))
+            c = np.flatnonzero(~settled)
+            part = ((mix64(edges) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            cut = _runs(place[c], row[c], edges[c])
+            size, c = np.diff(np.r_[cut, len(c)]), c[cut]
+            order = np.argsort(part[c], kind="stable")
+            c, size = c[order], size[order]
+            last = c + size - 1
+            one, none = np.uint64(1), np.uint64(0)
+            heads = np.where(place[c] > 0, range_hash(s, inverse, at[c], at[c] + span - 1) | one, none)
+            tails = np.where(at[last] + span < first[1:][row[last]], range_hash(s, inverse, at[last] + 1, at[last] + span) | one, none)
             six = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :6])
-            for lo, hi in zip(b := np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), np.r_[b[1:], len(of)]):
-                c, z = cut[lo:hi], size[lo:hi]
-                done = settled[c]
-                c, z = np.r_[c[~done], c[done]], np.r_[z[~done], z[done]]
-                n_open = int((~done).sum())
-                inside = np.repeat(c[:n_open], z[:n_open]) + np.arange(z[:n_open].sum()) - np.repeat(np.cumsum(z[:n_open]) - z[:n_open], z[:n_open])
-                rows.append((int(of[lo]), doc[c].tobytes(), marks[row[c]].tobytes(), begin[c].astype(np.int32).tobytes(), z.astype(np.int32).tobytes(), edge_hash[c[:n_open]].tobytes(), six[inside].tobytes(), np.int64(n_open).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _TYPES)], _COLUMNS)
+            of = part[c]
+            for lo, hi in zip(b := np.flatnonzero(np.r_[len(of) > 0, of[1:] != of[:-1]]), np.r_[b[1:], len(of)]):
+                r, z = c[lo:hi], size[lo:hi]
+                inside = np.repeat(r - (np.cumsum(z) - z), z) + np.arange(z.sum())
+                n, raw = packed([(dict(zip(_RUNS, (doc[r], mark[r], place[r], z, edges[r], heads[lo:hi], tails[lo:hi]))), b"")], _RUNS)
+                held.append((int(of[lo]), n, squeeze(raw) + six[inside].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*held)) or [()] * 3, (pa.int32(), pa.int64(), pa.binary()))], ["part", "n", "packed"])
 
     def join(name, table):
-        fields = {c: [x.as_py() for x in table.column(c)] for c in _COLUMNS[1:]}
-        n_open = [int.from_bytes(x, "little") for x in fields["settled"]]
-
-        def gathered(column, kind, still):
-            return np.concatenate([np.frombuffer(x, kind)[slice(None, n) if still else slice(n, None)] for x, n in zip(fields[column], n_open)])
-
-        doc, mark, begin, size = (gathered(c, t, True) for c, t in zip(_COLUMNS[1:5], (np.int64, np.int64, np.int32, np.int32)))
-        edges = np.concatenate([np.frombuffer(x, np.uint64) for x in fields["edges"]])
-        six = np.frombuffer(b"".join(fields["hashes"]), np.uint8).reshape(-1, 6)
+        import zstandard
+
+        rows, hashes = [], []
+        for n, x in zip(table.column("n").to_pylist(), table.column("packed").to_pylist()):
+            opened = zstandard.ZstdDecompressor().decompressobj()
+            rows.append((n, opened.decompress(x)))
+            hashes.append(opened.unused_data)
+        if name[0].as_py() < 0:
+            c, _ = unpacked(rows, _SPANS)
+            return _pieces(dict(zip(("doc_id", "mark", "start", "n", "src_doc", "src_mark", "src_start"), c.values())))
+        c, _ = unpacked(rows, _RUNS)
+        six = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 6)
         wide = np.zeros((len(six), 8), np.uint8)
         wide[:, :6] = six
-        run_of = np.repeat(np.arange(len(size)), size)
-        key = mix64(edges)[run_of] + wide.view(np.uint64)[:, 0] * np.uint64(0x9E3779B97F4A7C15)
-        repeat = doc[run_of] > _local(key, doc[run_of])
-        place = begin[run_of] + np.arange(len(run_of)) - np.repeat(np.cumsum(size) - size, size)
-        run_of, place = run_of[repeat], place[repeat]
-        cut = _runs(place, run_of)
-        at = run_of[cut]
-        out = [np.r_[x[at], gathered(c, t, False)] for x, c, t in ((doc, "docs", np.int64), (mark, "marks", np.int64))]
-        out += [np.r_[place[cut], gathered("starts", np.int32, False)].astype(np.int32), np.r_[np.diff(np.r_[cut, len(place)]), gathered("sizes", np.int32, False)].astype(np.int32)]
-        return pa.table(dict(zip(("doc_id", "mark", "start", "n"), map(pa.array, out))))
-
-    packed = docs.mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in _COLUMNS[1:]))
-    return packed.groupBy("part").applyInArrow(join, "doc_id long, mark long, start int, n int")
-
-
-def _with_spans(docs: DataFrame, span: int, edge: int) -> tuple[DataFrame, str]:
-    """``docs`` with an array of (start, n), and that column's name."""
+        size = c["sizes"].astype(np.int64)
+        key = np.repeat(mix64(c["edges"]), size) + wide.view(np.uint64)[:, 0] * np.uint64(0x9E3779B97F4A7C15)
+        return pa.concat_tables(graph_pieces(c["docs"], c["marks"].astype(np.int64), c["starts"].astype(np.int64), size, c["heads"], c["tails"], key))
+
+    return docs.mapInArrow(run, "part int, n long, packed binary").groupBy("part").applyInArrow(join, _PIECE)
+
+
+def compacted(graph: DataFrame) -> DataFrame:
+    """(src_doc, src_mark, src_start, path): the paths of ``graph`` (rows of ``_PIECE``) with the first
+    place of the path that they are part of, once those are joined that meet in nonbranching nodes."""
+    paths = graph.where("is_path").select("src_doc", "src_mark", "src_start", "n", "head", "tail")
+    enter = paths.where("tail IS NOT NULL").groupBy("tail").agg(F.count(F.lit(1)).alias("entering"), F.min(F.expr("struct(src_doc, src_mark, src_start + n AS src_start)")).alias("end"))
+    leave = paths.where("head IS NOT NULL").groupBy("head").agg(F.count(F.lit(1)).alias("leaving"), F.min(F.struct("src_doc", "src_mark", "src_start")).alias("begin"))
+    links = enter.join(leave, F.col("tail") == F.col("head")).where("entering = 1 AND leaving = 1 AND end = begin").select("begin.*", F.lit(True).alias("goes_on"))
+    along = Window.partitionBy("src_doc", "src_mark").orderBy("src_start")
+    return (
+        paths.select("src_doc", "src_mark", "src_start")
+        .join(links, ["src_doc", "src_mark", "src_start"], "left")
+        .withColumn("path", F.last(F.when(F.col("goes_on").isNull(), F.col("src_start")), ignorenulls=True).over(along))
+        .drop("goes_on")
+    )
+
+
+def repeated_spans(docs: DataFrame, span: int = SPAN, edge: int = EDGE, seed: int = 0) -> DataFrame:
+    """(doc_id, mark, start, n, src_doc, src_mark, src_start): windows start .. start + n - 1, in words of
+    the document, that also start, there, in a source with a smaller doc_id; ``mark`` is of the text's hash."""
+    ship(docs.sparkSession)
+    graph = written(_graph(docs, span, edge, seed), "graph")
+    places = graph.where("NOT is_path").drop("head", "tail", "is_path").join(compacted(graph), ["src_doc", "src_mark", "src_start"], "left")
+    along = Window.partitionBy("doc_id", "mark").orderBy("start", "src_doc", "src_mark", "src_start")
+    same = [F.lag(c).over(along).eqNullSafe(F.col(c)) for c in ("src_doc", "src_mark", "path")]
+    follows = same[0] & same[1] & same[2] & F.expr("path IS NOT NULL") & (F.lag(F.expr("start + n")).over(along) == F.col("start")) & (F.lag(F.expr("src_start + n")).over(along) == F.col("src_start"))
+    spans = places.withColumn("new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).withColumn("number", F.sum("new").over(along))
+    firsts = [F.first(c).alias(c) for c in ("src_doc", "src_mark")]
+    out = spans.groupBy("doc_id", "mark", "number").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), *firsts, F.min("src_start").alias("src_start")).drop("number")
+    out = written(out, "spans")
+    discard(graph)
+    return out
+
+
+def _with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with an array of the spans to remove and of those that are their sources, and that column's name."""
     name, id_, mark = (fresh(docs, c) for c in ("spans", "span_id", "span_mark"))
-    spans = repeated_spans(docs, span, edge).groupBy(F.col("doc_id").alias(id_), F.col("mark").alias(mark)).agg(F.collect_list(F.struct("start", "n")).alias(name))
-    return docs.join(spans, (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64("text") == F.col(mark)), "left").drop(id_, mark), name
+    own = spans.select("doc_id", "mark", F.struct("start", "n", "src_doc", "src_mark", "src_start", F.lit(True).alias("goes")).alias("x"))
+    sources = spans.select(*_SPAN_KEY).distinct()
+    sources = sources.select("src_doc", "src_mark", F.struct(F.col("src_start").alias("start"), "n", "src_doc", "src_mark", "src_start", F.lit(False).alias("goes")).alias("x"))
+    every = own.union(sources).groupBy(F.col("doc_id").alias(id_), F.col("mark").alias(mark)).agg(F.collect_list("x").alias(name))
+    return docs.join(every, (F.col("doc_id").cast("long") == F.col(id_)) & (_mark(F.col("text")) == F.col(mark)), "left").drop(id_, mark), name
 
 
-def _taken_out(words: list[bytes], spans, span: int) -> list[bytes]:
-    keep = np.zeros(len(words) + 1, np.int32)
-    np.add.at(keep, spans[:, 0], 1)
-    np.add.at(keep, spans[:, 0] + spans[:, 1] + span - 1, -1)
-    return [w for w, k in zip(words, np.cumsum(keep[:-1]).tolist()) if not k]
-
-
-def _each(batch: pa.RecordBatch, name: str, span: int) -> Iterator[tuple[list[bytes], list[bytes]]]:
-    """(words, kept words) of each row."""
+def _each(batch: pa.RecordBatch, name: str, span: int) -> Iterator[tuple[list[bytes], list[bytes], list[dict]]]:
+    """(words, kept words, digests of source spans) of each row."""
     lists = batch.column(name)
     flat = lists.flatten()
-    pairs = np.column_stack([flat.field("start").to_numpy(), flat.field("n").to_numpy()]) if len(flat) else np.zeros((0, 2), np.int32)
+    some = len(flat) > 0
+    start, n, goes = (flat.field(c).to_numpy(zero_copy_only=False) if some else np.zeros(0, np.int64) for c in ("start", "n", "goes"))
+    keys = list(zip(*(flat.field(c).to_pylist() for c in _SPAN_KEY))) if some else []
     size = np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
     end = np.cumsum(size)
     for text, a, b in zip(batch.column("text").to_pylist(), end - size, end):
         words = (text or "").encode().split()
-        yield words, _taken_out(words, pairs[a:b], span) if b > a else words
+        if a == b:
+            yield words, words, []
+            continue
+        till = start[a:b] + n[a:b] + span - 1
+        checks = [dict(zip(_SPAN_KEY, key), digest=hashlib.blake2b(b" ".join(words[i:j]), digest_size=16).digest()) for key, i, j in zip(keys[a:b], start[a:b].tolist(), till.tolist())]
+        gone = np.zeros(len(words) + 1, np.int32)
+        np.add.at(gone, start[a:b], goes[a:b].astype(np.int32))
+        np.add.at(gone, np.minimum(till, len(words)), -goes[a:b].astype(np.int32))
+        yield words, [w for w, g in zip(words, np.cumsum(gone[:-1]).tolist()) if not g], checks
+
+
+_CHECK = pa.list_(pa.struct([("src_doc", pa.int64()), ("src_mark", pa.int64()), ("src_start", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))
+_CHECK_SQL = "array<struct<src_doc:long,src_mark:long,src_start:int,n:int,digest:binary>>"
+
+
+def _verified(docs: DataFrame, span: int, edge: int, applied, attempts: int = 3) -> DataFrame:
+    """The rows of ``applied`` (docs with spans, name of that column, name for the digests), written, once
+    no span's words differ from its source's; else all is done again with another hash."""
+    for seed in range(attempts):
+        spans = repeated_spans(docs, span, edge, seed)
+        checks = fresh(docs, "checks")
+        out = written(applied(*_with_spans(docs, spans), checks), "removed")
+        discard(spans)
+        said = out.where(F.size(checks) > 0).select(F.explode(checks).alias("c")).select("c.*").groupBy(*_SPAN_KEY).agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+        if said.where("a <> b").limit(1).count() == 0:
+            return out.drop(checks)
+        discard(out)
+    raise RuntimeError(f"spans differ from their sources under {attempts} hashes")
 
 
 def digest(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, _ in text_slices(batches):
-            n, gone, sha = [], [], []
-            for words, kept in _each(batch, name, span):
-                n.append(len(words))
-                gone.append(len(words) - len(kept))
-                sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+    def applied(joined: DataFrame, name: str, checks: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, _, _ in text_slices(batches):
+                n, gone, sha, said = [], [], [], []
+                for words, kept, own in _each(batch, name, span):
+                    n.append(len(words))
+                    gone.append(len(words) - len(kept))
+                    sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+                    said.append(own)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(said, _CHECK)], ["doc_id", "n_words", "n_removed", "kept_sha256", checks])
+
+        return joined.mapInArrow(run, f"doc_id long, n_words long, n_removed long, kept_sha256 string, {checks} {_CHECK_SQL}")
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined, name = _with_spans(slim, span, edge)
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _verified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), span, edge, applied)
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataFrame:
     """``docs`` with repeated spans out of the texts: where words went, those kept are joined by one
     space, and n_chars, if there is such a column, is counted anew. No row goes."""
     own = docs.columns
-    has_count = "n_chars" in own
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, _ in text_slices(batches):
-            texts = [text if len(words) == len(kept) else b" ".join(kept).decode() for text, (words, kept) in zip(batch.column("text").to_pylist(), _each(batch, name, span))]
-            changed = pa.array(texts, batch.column("text").type)
-            columns = {c: batch.column(c) for c in own} | {"text": changed}
-            if has_count:
-                same = pa.compute.fill_null(pa.compute.equal(changed, batch.column("text")), True)
-                columns["n_chars"] = pa.compute.if_else(same, batch.column("n_chars"), pa.compute.utf8_length(changed).cast(batch.column("n_chars").type))
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
     types = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    joined, name = _with_spans(docs, span, edge)
-    return joined.mapInArrow(run, types)
+
+    def applied(joined: DataFrame, name: str, checks: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, _, _ in text_slices(batches):
+                texts, said = [], []
+                for text, (words, kept, seen) in zip(batch.column("text").to_pylist(), _each(batch, name, span)):
+                    texts.append(text if len(words) == len(kept) else b" ".join(kept).decode())
+                    said.append(seen)
+                changed = pa.array(texts, batch.column("text").type)
+                columns = {c: batch.column(c) for c in own} | {"text": changed}
+                if "n_chars" in own:
+                    same = pa.compute.fill_null(pa.compute.equal(changed, batch.column("text")), True)
+                    columns["n_chars"] = pa.compute.if_else(same, batch.column("n_chars"), pa.compute.utf8_length(changed).cast(batch.column("n_chars").type))
+                columns[checks] = pa.array(said, _CHECK)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+        return joined.mapInArrow(run, f"{types}, `{checks}` {_CHECK_SQL}")
+
+    return _verified(docs, span, edge, applied)

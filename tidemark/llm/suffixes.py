@@ -35,7 +35,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, prefix_hash, range_hash, shingle_starts, ship, text_pieces, text_slices
+from .common import mix64, packed, prefix_hash, range_hash, shingle_starts, ship, text_pieces, text_slices, unpacked
 from .debruijn import _local, _runs, sliding_least
 
 SPAN, EDGE = 100, 16
@@ -284,40 +284,10 @@ def repeats(doc: np.ndarray, place: np.ndarray, suffix: np.ndarray, size: np.nda
 _KINDS = {"docs": np.int64, "marks": np.uint32, "places": np.int32, "suffixes": np.uint8, "sizes": np.uint8}
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The first bytes of all numbers, then the second ones, and so on, which compress better."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-
-
-def _of_planes(raw: bytes, at: int, kind: type, n: int) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(kind)
-
-
 #: What travels of spans that a task has settled.
 _SPANS = {"docs": np.int64, "marks": np.uint32, "starts": np.int32, "counts": np.int32}
 
 
-def _packed(parts: list[tuple[dict[str, np.ndarray], bytes]], kinds: dict[str, type]) -> tuple[int, bytes]:
-    """(rows, bytes) of one partition's share; ids as differences."""
-    fields = {c: np.concatenate([f[c] for f, _ in parts]).astype(t) for c, t in kinds.items()}
-    fields["docs"] = np.diff(fields["docs"], prepend=np.int64(0))
-    return len(fields["docs"]), b"".join(map(_planes, fields.values())) + b"".join(x for _, x in parts)
-
-
-def _unpacked(rows: list[tuple[int, bytes]], kinds: dict[str, type]) -> tuple[dict[str, np.ndarray], bytes]:
-    parts: dict[str, list] = {c: [] for c in kinds}
-    rest = []
-    for n, raw in rows:
-        at = 0
-        for c, t in kinds.items():
-            x = _of_planes(raw, at, t, n)
-            parts[c].append(np.cumsum(x) if c == "docs" else x)
-            at += n * np.dtype(t).itemsize
-        rest.append(raw[at:])
-    return {c: np.concatenate(x) for c, x in parts.items()}, b"".join(rest)
-
-
 def _mark(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
 
@@ -340,7 +310,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataF
         def out() -> pa.RecordBatch:
             rows = []
             for part, share in sorted(held.items()):
-                n, raw = _packed(share, _SPANS if part < 0 else _KINDS)
+                n, raw = packed(share, _SPANS if part < 0 else _KINDS)
                 rows.append((part, n, squeeze(raw)))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 3, (pa.int32(), pa.int64(), pa.binary()))], ["part", "n", "packed"])
@@ -397,16 +367,15 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataF
         opened = zstandard.ZstdDecompressor().decompress
         rows = ((n, opened(x)) for n, x in zip(table.column("n").to_pylist(), table.column("packed").to_pylist()))
         if name[0].as_py() < 0:
-            spans, _ = _unpacked(rows, _SPANS)
+            spans, _ = unpacked(rows, _SPANS)
             return pa.table({"doc_id": spans["docs"], "mark": spans["marks"].astype(np.int64), "start": spans["starts"], "n": spans["counts"]})
-        c, contents = _unpacked(rows, _KINDS)
+        c, contents = unpacked(rows, _KINDS)
         context, window = repeats(c["docs"], c["places"].astype(np.int64), c["suffixes"].astype(np.int64), c["sizes"].astype(np.int64), np.frombuffer(contents, np.uint8), span, edge)
         cut = _runs(window, context)
         at = context[cut]
         return pa.table({"doc_id": c["docs"][at], "mark": c["marks"][at].astype(np.int64), "start": (c["places"][at] + window[cut]).astype(np.int32), "n": np.diff(np.r_[cut, len(context)]).astype(np.int32)})
 
-    packed = docs.mapInArrow(run, "part int, n long, packed binary")
-    return packed.groupBy("part").applyInArrow(join, "doc_id long, mark long, start int, n int")
+    return docs.mapInArrow(run, "part int, n long, packed binary").groupBy("part").applyInArrow(join, "doc_id long, mark long, start int, n int")
 
 
 def _without(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, int]:
