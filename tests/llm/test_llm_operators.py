@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bagminhash, bloomlm, common, components, debruijn, lengths, media, mixing, packing, projections, tokens, toxicity
+from tidemark.llm import bagminhash, bloomlm, common, components, lengths, media, mixing, packing, projections, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sequence_id string, part string, word string, mark string, _id string, score string"
 
@@ -165,27 +166,6 @@ def test_filter_counts():
     assert (f.count(common.mix64(np.arange(20000, 40000, dtype=np.uint64))) > 0).mean() < 0.02
 
 
-@pytest.mark.parametrize("slice_bytes", [1 << 20, 3000])
-def test_word_spans(docs, none, texts, monkeypatch, slice_bytes):
-    monkeypatch.setattr(common.text_slices, "__defaults__", ("text", slice_bytes))
-    seen, expected = set(), {}
-    for i, t in texts:
-        w = split(t)
-        gone, own = [False] * len(w), set()
-        for a in range(len(w) - 49):
-            k = tuple(w[a : a + 50])
-            if k in seen:
-                gone[a : a + 50] = [True] * 50
-            own.add(k)
-        seen |= own
-        expected[i] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest())
-    assert {r[0]: tuple(r[1:]) for r in debruijn.digest(docs).collect()} == expected
-    assert debruijn.digest(none).count() == 0
-    kept = {r.doc_id: r for r in debruijn.without_repeats(docs).collect()}
-    assert kept[5].text is None and kept[7].text == "   \t\n" and kept[1].text == "" and kept[1].n_chars == 0 and kept[0].text == texts[0][1]
-    assert set(kept[0].asDict()) == set(docs.columns)
-
-
 def test_mixing(spark, docs, none, texts):
     got = mixing.taken(docs).collect()
     sizes, source = {i: len(split(t)) for i, t in texts}, {i: None if i % 7 == 0 else f"src{i % 4}" for i, _ in texts}
@@ -308,16 +288,25 @@ def test_projection_passes_grow_with_the_input():
 
 
 def test_media_round_trip(docs, none, texts):
-    got = {r.doc_id: r for r in media.features(media.store_texts(docs)).collect()}
+    def run(x):
+        return media.features(media.correct(media.store_texts(x)))
+
+    stored = {r.doc_id: r for r in media.correct(media.store_texts(docs)).collect()}
+    got = {r.doc_id: r for r in run(docs).collect()}
     for i, t in texts:
         raw = (t or "").encode()
         padded = raw + bytes(max(1, -(-len(raw) // 64)) * 64 - len(raw))
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
-        stored = media.to_wav(padded)
-        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and media.from_wav(stored) == padded
-    assert got[0].feature == got[1].feature
-    assert media.features(media.store_texts(none)).count() == 0
+        put, take = media.STORED[stored[i].detected_type]
+        value = put(padded)
+        assert (r.media_bytes, r.media_sha256) == (len(value), hashlib.sha256(value).hexdigest()) and take(value) == padded
+        mean = sum(padded) // len(padded)
+        inside = ",".join(f"{t}@{a}+{n}" for t, a, n in media.sniff(padded))
+        said = stored[i].media_type
+        assert r.feature == f"type={stored[i].detected_type};corrected={int(said is not None and said != stored[i].detected_type)};samples={len(padded)};mean={mean};embedded={inside}"
+    assert got[0].feature == got[1].feature and len({r.detected_type for r in stored.values()}) == 2 and any(r.corrected for r in stored.values())
+    assert run(none).count() == 0
 
 
 def png():
@@ -339,11 +328,29 @@ def test_sniffing(spark):
     assert media.sniff(b"junk" + image + b"--" + jpeg) == [("image/png", 4, len(image)), ("image/jpeg", 6 + len(image), len(jpeg))]
     assert media.sniff(media.to_wav(image + bytes(len(image) % 2)))[0][0] == "audio/wav"
     rows = [(1, image, "image/jpeg"), (2, None, "image/png"), (3, b"", "image/png"), (4, b"plain", "text/plain"), (5, b"x" + image, None)]
-    got = {r.id: r for r in media.correct(spark.createDataFrame(rows, "id int, content binary, media_type string").withColumn("embedded", F.lit(1))).collect()}
+    frame_ = spark.createDataFrame([*rows, rows[0], (None, None, None)], "id int, content binary, media_type string").withColumn("embedded", F.lit(1))
+    rows_ = media.correct(frame_.withColumnRenamed("embedded", "Corrected")).collect()
+    assert len(rows_) == len(rows) + 2 and rows_[0].Corrected == 1 and rows_[0]._corrected is True
+    got = {r.id: r for r in media.correct(frame_.drop("embedded")).collect()}
+    assert media.correct(frame_.limit(0)).count() == 0
     assert (got[1].detected_type, got[1].corrected) == ("image/png", True) and got[2].detected_type is None
     assert got[3].detected_type == media.UNKNOWN and got[4].detected_type == "text/plain" and bytes(got[5].embedded[0].content) == image
 
 
+def test_sniffing_takes_linear_time():
+    whole = b"PK\x03\x04" + bytes(40) + b"PK\x05\x06" + bytes(8) + (0).to_bytes(4, "little") + (44).to_bytes(4, "little") + bytes(2)
+    assert media.sniff(whole) == [("application/zip", 0, len(whole))]
+    assert media.sniff(b"%PDF-1 " * 5 + b"%%EOF" + whole) == [("application/pdf", 0, 40), ("application/zip", 40, len(whole))]
+    for piece in (b"%PDF-1 ", b"PK\x03\x04", b"OggS\0" + bytes(22), b"GIF89a" + bytes(4) + b"\0\0\0" + b"\x21\xf9\x04" + bytes(4) + b"\0", b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04cddata"):
+        took = []
+        for n in (40_000, 320_000):
+            value = piece * n
+            began = time.perf_counter()
+            media.sniff(value)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 40 * took[0] + 0.5, piece
+
+
 def bag(t, k=5):
     w = split(t)
     return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else Counter([tuple(w)] if w else [])

@@ -1,13 +1,15 @@
-"""Signature sniffing of media columns, and a lossless sample container for texts.
+"""Signature sniffing of media columns, and lossless sample containers for texts.
 
-An Aho-Corasick automaton finds magic bytes in each value; a validator per format confirms structure
-and lengths at each place. A valid object at the start decides the type, whatever was declared; valid
-objects further on, outside one another, are carved. Validators follow the length fields of a format
-and never trust them beyond the value's end.
+An Aho-Corasick automaton finds magic bytes and end marks in each value, in one pass; a validator per
+format confirms structure and lengths at each place. A valid object at the start decides the type,
+whatever was declared; valid objects further on, outside one another, are carved. Validators follow
+the length fields of a format and never trust them beyond the value's end. Those that walk from block
+to block share where walks have failed, so a value full of magic bytes is still walked about once.
 
 Defined results: null values have a null type and nothing carved; empty and unknown ones the type
-'application/octet-stream' unless the declared type has no validator here, which is then kept; a value cut off
-inside its object is not that type; equal values give equal results.
+'application/octet-stream' unless the declared type has no validator here, which is then kept; a value
+cut off inside its object is not that type; equal and repeated rows give equal results, each its own;
+very long values are read whole; an empty table gives no rows; columns of an input keep their names.
 """
 
 from __future__ import annotations
@@ -15,19 +17,42 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_slices
+from .common import fresh, ship, text_slices
 
 UNKNOWN = "application/octet-stream"
 
 
-def _wav(b: bytes, at: int) -> int | None:
+class Value:
+    """What validators share about one value, so that together they walk it about once: where end marks
+    stand, and from which places a walk is known to fail."""
+
+    def __init__(self) -> None:
+        self.ends: dict[bytes, list[int]] = {mark: [] for mark in ENDS}
+        self.dead: set[tuple] = set()
+
+    def next(self, mark: bytes, at: int) -> int:
+        places = self.ends[mark]
+        i = bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+    def alive(self, state: tuple, way: list[tuple]) -> bool:
+        way.append(state)
+        return state not in self.dead
+
+    def failed(self, way: list[tuple]) -> None:
+        self.dead.update(way)
+
+
+def _wav(b: bytes, at: int, value: Value) -> int | None:
     if len(b) < at + 12 or b[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -40,7 +65,7 @@ def _wav(b: bytes, at: int) -> int | None:
     return end if here == end and {b"fmt ", b"data"} <= seen else None
 
 
-def _png(b: bytes, at: int) -> int | None:
+def _png(b: bytes, at: int, value: Value) -> int | None:
     here = at + 8
     if b[here + 4 : here + 8] != b"IHDR":
         return None
@@ -54,7 +79,7 @@ def _png(b: bytes, at: int) -> int | None:
     return None
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(b: bytes, at: int, value: Value) -> int | None:
     if len(b) < at + 54:
         return None
     size, _, begin, header, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -63,10 +88,10 @@ def _bmp(b: bytes, at: int) -> int | None:
     return at + size if fits and at + size <= len(b) else None
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(b: bytes, at: int, value: Value) -> int | None:
+    here, way = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10 : at + 11] and b[at + 10] & 128 else 0), []
     try:
-        here = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 128 else 0)
-        while True:
+        while value.alive(("gif", here), way):
             if b[here] == 0x3B:
                 return here + 1
             if b[here] == 0x2C:
@@ -74,64 +99,60 @@ def _gif(b: bytes, at: int) -> int | None:
             elif b[here] == 0x21:
                 here += 2
             else:
-                return None
+                break
             while b[here]:
                 here += 1 + b[here]
             here += 1
     except IndexError:
-        return None
+        pass
+    return value.failed(way)
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
-    here, scan = at + 2, False
-    while here + 4 <= len(b) or (here + 2 <= len(b) and b[here : here + 2] == b"\xff\xd9"):
-        if b[here] != 0xFF:
-            return None
+def _jpeg(b: bytes, at: int, value: Value) -> int | None:
+    here, scan, way = at + 2, False, []
+    while (here + 4 <= len(b) or b[here : here + 2] == b"\xff\xd9") and value.alive(("jpeg", here, scan), way):
         kind = b[here + 1]
+        if b[here] != 0xFF or kind < 0xC0 or kind == 0xFF:
+            break
         if kind == 0xD9:
-            return here + 2 if scan else None
-        if kind < 0xC0 or kind == 0xFF:
-            return None
+            if scan:
+                return here + 2
+            break
         here += 2 + struct.unpack_from(">H", b, here + 2)[0]
         if kind == 0xDA:
             scan = True
-            while True:
-                here = b.find(b"\xff", here)
-                if here < 0 or here + 1 >= len(b):
-                    return None
-                if b[here + 1] != 0 and not 0xD0 <= b[here + 1] <= 0xD7:
-                    break
-                here += 2
-    return None
+            here = b.find(b"\xff", here)
+            while 0 <= here < len(b) - 1 and (b[here + 1] == 0 or 0xD0 <= b[here + 1] <= 0xD7):
+                here = b.find(b"\xff", here + 2)
+            if not 0 <= here < len(b) - 1:
+                break
+    return value.failed(way)
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    if not b[at + 5 : at + 6].isdigit():
-        return None
-    end = b.find(b"%%EOF", at)
+def _pdf(b: bytes, at: int, value: Value) -> int | None:
+    end = value.next(b"%%EOF", at) if b[at + 5 : at + 6].isdigit() else -1
     return end + 5 if end >= 0 else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: bytes, at: int, value: Value) -> int | None:
+    end = value.next(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return None
     size, begin, note = struct.unpack_from("<IIH", b, end + 12)
     return end + 22 + note if at + begin + size == end and end + 22 + note <= len(b) else None
 
 
-def _ogg(b: bytes, at: int) -> int | None:
-    here, last = at, False
-    while b[here : here + 4] == b"OggS" and here + 27 <= len(b) and b[here + 4] == 0:
-        n = b[here + 26]
-        last = bool(b[here + 5] & 4)
+def _ogg(b: bytes, at: int, value: Value) -> int | None:
+    here, way = at, []
+    while b[here : here + 5] == b"OggS\0" and here + 27 <= len(b) and value.alive(("ogg", here), way):
+        n, last = b[here + 26], b[here + 5] & 4
         here += 27 + n + sum(b[here + 27 : here + 27 + n])
-        if last:
-            break
-    return here if last and here <= len(b) else None
+        if last and here <= len(b):
+            return here
+    return value.failed(way)
 
 
-def _au(b: bytes, at: int) -> int | None:
+def _au(b: bytes, at: int, value: Value) -> int | None:
     if len(b) < at + 24:
         return None
     begin, size, kind, rate, channels = struct.unpack_from(">IIIII", b, at + 4)
@@ -139,7 +160,7 @@ def _au(b: bytes, at: int) -> int | None:
 
 
 #: Magic bytes, media type and validator of each format.
-FORMATS: dict[bytes, tuple[str, Callable[[bytes, int], int | None]]] = {
+FORMATS: dict[bytes, tuple[str, Callable[[bytes, int, Value], int | None]]] = {
     b"RIFF": ("audio/wav", _wav),
     b"\x89PNG\r\n\x1a\n": ("image/png", _png),
     b"BM": ("image/bmp", _bmp),
@@ -151,6 +172,9 @@ FORMATS: dict[bytes, tuple[str, Callable[[bytes, int], int | None]]] = {
     b"OggS": ("audio/ogg", _ogg),
     b".snd": ("audio/basic", _au),
 }
+#: Marks that end an object, found in the same pass.
+ENDS = (b"%%EOF", b"PK\x05\x06")
+_KNOWN = {t for t, _ in FORMATS.values()}
 
 
 @lru_cache(maxsize=1)
@@ -158,7 +182,7 @@ def _automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for magic in FORMATS:
+    for magic in (*FORMATS, *ENDS):
         a.add_word(magic.decode("latin-1"), magic)
     a.make_automaton()
     return a
@@ -166,10 +190,16 @@ def _automaton():
 
 def sniff(value: bytes) -> list[tuple[str, int, int]]:
     """(type, offset, length) of the outermost valid objects, in order."""
-    found, free = [], 0
+    about, starts = Value(), []
     for last, magic in _automaton().iter(value.decode("latin-1")):
         at = last + 1 - len(magic)
-        if at >= free and (end := FORMATS[magic][1](value, at)) is not None:
+        if magic in ENDS:
+            about.ends[magic].append(at)
+        else:
+            starts.append((at, magic))
+    found, free = [], 0
+    for at, magic in starts:
+        if at >= free and (end := FORMATS[magic][1](value, at, about)) is not None:
             found.append((FORMATS[magic][0], at, end - at))
             free = end
     return found
@@ -178,25 +208,38 @@ def sniff(value: bytes) -> list[tuple[str, int, int]]:
 def verdict(value: bytes, declared: str | None) -> tuple[str, bool, list[tuple[str, int, int]]]:
     """(type, whether it corrects the declared one, what is embedded)."""
     objects = sniff(value)
-    known = {t for t, _ in FORMATS.values()}
-    kind = objects[0][0] if objects and objects[0][1] == 0 else declared if declared and declared not in known else UNKNOWN
-    return kind, declared is not None and kind != declared, objects[1:] if objects and objects[0][1] == 0 else objects
+    whole = bool(objects) and objects[0][1] == 0
+    kind = objects[0][0] if whole else declared if declared and declared not in _KNOWN else UNKNOWN
+    return kind, declared is not None and kind != declared, objects[whole:]
+
+
+_CARVED = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("content", pa.binary())]))
+FOUND = ("detected_type", "corrected", "embedded")
 
 
 def correct(media: DataFrame, column: str = "content", declared: str = "media_type") -> DataFrame:
-    """``media`` with detected_type, corrected and embedded (type, offset, length and bytes of each carved object)."""
+    """``media`` with detected_type, corrected and embedded (type, offset, length and bytes of each carved
+    object). Where ``media`` has columns of these names, the new ones get underscores in front."""
     ship(media.sparkSession)
+    own = media.columns
+    names = [fresh(media, c) for c in FOUND]
 
-    @F.udf("struct<detected_type:string,corrected:boolean,embedded:array<struct<type:string,offset:long,length:long,content:binary>>>")
-    def look(value, said):
-        if value is None:
-            return None, False, []
-        value = bytes(value)
-        kind, changed, inner = verdict(value, said)
-        return kind, changed, [(t, a, n, value[a : a + n]) for t, a, n in inner]
-
-    kept = [c for c in media.columns if c not in ("detected_type", "corrected", "embedded", "_look")]
-    return media.select(*kept, look(F.col(column), F.col(declared)).alias("_look")).select(*kept, "_look.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                kinds, changes, carved = [], [], []
+                for value, said in zip(batch.column(own.index(column)), batch.column(own.index(declared)).to_pylist()):
+                    value = value.as_py()
+                    kind, changed, inner = (None, False, []) if value is None else verdict(value, said)
+                    kinds.append(kind)
+                    changes.append(changed)
+                    carved.append([{"type": t, "offset": a, "length": n, "content": value[a : a + n]} for t, a, n in inner])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kinds, pa.string()), pa.array(changes, pa.bool_()), pa.array(carved, _CARVED)], [*own, *names])
+
+    types = ", ".join(f"`{c}` {t}" for c, t in media.dtypes)
+    kinds = ("string", "boolean", "array<struct<type:string,offset:long,length:long,content:binary>>")
+    return media.mapInArrow(run, types + "".join(f", `{c}` {t}" for c, t in zip(names, kinds)))
 
 
 def to_wav(payload: bytes, rate: int = 8000) -> bytes:
@@ -212,40 +255,57 @@ def from_wav(stored: bytes) -> bytes:
     return stored[here + 8 : here + 8 + struct.unpack_from("<I", stored, here + 4)[0]]
 
 
+def to_au(payload: bytes, rate: int = 8000) -> bytes:
+    """8-bit mono samples, of the linear kind, under a header of 24 bytes."""
+    return b".snd" + struct.pack(">IIIII", 24, len(payload), 2, rate, 1) + payload
+
+
+def from_au(stored: bytes) -> bytes:
+    begin, size = struct.unpack_from(">II", stored, 4)
+    return stored[begin : begin + size]
+
+
+#: Writer and reader of each type that texts are stored as.
+STORED = {"audio/wav": (to_wav, from_wav), "audio/basic": (to_au, from_au)}
+
+
 def store_texts(docs: DataFrame, unit: int = 64) -> DataFrame:
-    """Every text as a media value: (doc_id, n_bytes, declared, media binary). The declared type is
-    wrong on purpose, as sniffing has to find it out."""
+    """Every text as a media value: (doc_id, n_bytes, media_type, content binary). The checksum of the
+    padded text chooses the container and what is declared: its type, the other one's, that of an
+    image, or nothing; so equal texts have equal values and most declarations are wrong."""
     ship(docs.sparkSession)
+    kinds = list(STORED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_slices(batches):
-            sizes, media = [], []
+            sizes, said, media = [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                raw = data[a:b].tobytes()
-                sizes.append(len(raw))
-                media.append(to_wav(raw + bytes(max(1, -(-len(raw) // unit)) * unit - len(raw))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([UNKNOWN] * len(sizes)), pa.array(media, pa.large_binary())], ["doc_id", "n_bytes", "declared", "media"])
+                payload = data[a:b].tobytes() + bytes(max(1, -(-(b - a) // unit)) * unit - (b - a))
+                mark = zlib.crc32(payload)
+                sizes.append(b - a)
+                said.append((*kinds, "image/png", None)[mark // 2 % 4])
+                media.append(STORED[kinds[mark % 2]][0](payload))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(said, pa.string()), pa.array(media, pa.large_binary())], ["doc_id", "n_bytes", "media_type", "content"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, declared string, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media_type string, content binary")
 
 
-def features(stored: DataFrame) -> DataFrame:
-    """What the stored bytes of ``store_texts`` hold, read back through the sniffer."""
-    ship(stored.sparkSession)
+def features(corrected: DataFrame) -> DataFrame:
+    """What the values of ``store_texts`` hold, read back by the type that ``correct`` found."""
+    ship(corrected.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, n, said, media in zip(*(batch.column(c) for c in ("doc_id", "n_bytes", "declared", "media"))):
-                value = media.as_py()
-                kind, changed, _ = verdict(value, said.as_py())
-                payload = from_wav(value) if kind == "audio/wav" else b""
+            for doc, n, media, kind, changed in zip(*(batch.column(c) for c in ("doc_id", "n_bytes", "content", "detected_type", "corrected"))):
+                value, kind = media.as_py(), kind.as_py()
+                payload = STORED[kind][1](value)
                 inside = sniff(payload)
-                level = sum(payload) // max(1, len(payload))
-                feature = f"type={kind};corrected={int(changed)};samples={len(payload)};mean={level};embedded={','.join(f'{t}@{a}+{m}' for t, a, m in inside)}"
+                level = int(np.frombuffer(payload, np.uint8).sum()) // len(payload)
+                feature = f"type={kind};corrected={int(changed.as_py())};samples={len(payload)};mean={level};embedded={','.join(f'{t}@{a}+{m}' for t, a, m in inside)}"
                 rows.append((doc.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(value), hashlib.sha256(value).hexdigest(), feature))
             columns = list(zip(*rows)) or [()] * 8
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return corrected.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -44,7 +44,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.store_texts(read(spark, sf_dir, "documents")))
+    return media.features(media.correct(media.store_texts(read(spark, sf_dir, "documents"))))
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
