@@ -5,8 +5,9 @@ Suffix sums over the histogram then answer, for every context limit: how many do
 how many tokens they hold, and how many tokens are left when every document is cut there. The sums
 run in two levels (inside blocks of lengths, then over block totals), so no task sorts all lengths.
 
-Defined results: null and empty texts have length 0; repeated rows count each time; an empty table
-gives no rows; other columns are ignored.
+Defined results: null and empty texts have length 0; repeated rows count each time, under one doc_id
+or a null one too; very long texts are encoded whole; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import ship, text_slices
+from .common import ship, text_slices, written
 
-BLOCK = 1024
+BLOCK = 256
 
 
 def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -51,7 +52,8 @@ def histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], ["length", "n"])
 
     counts = docs.select("text").mapInArrow(run, "length long, n long")
-    return counts.groupBy("length").agg(F.sum("n").alias("n_docs")).withColumn("n_tokens", F.col("length") * F.col("n_docs"))
+    hist = counts.groupBy("length").agg(F.sum("n").alias("n_docs")).withColumn("n_tokens", F.col("length") * F.col("n_docs"))
+    return written(hist, "lengths")  # which is read more than once; else the texts would be
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
