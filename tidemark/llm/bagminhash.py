@@ -9,16 +9,21 @@ in rounds, for all documents of a slice at once, until none can lower a minimum.
 
 Documents with the same multiset form one class, represented by its smallest doc_id. Bands of the
 signatures make buckets of representatives. In a bucket, signatures tell which members may be
-similar; a spanning set of these pairs, over all buckets, gives candidate groups. Inside a candidate
-group exact multisets are compared, block against block where it is large, and a spanning set of the
-verified links gives the components. So neither buckets nor groups are ever expanded into pairs, and
-no link between classes is lost except where no band agrees or the signature errs by five standard
-errors (together below 1e-6 at a similarity of 0.8).
+similar; a spanning set of these pairs, over all buckets, gives candidate groups. The pairs of this
+set are verified first, on exact multisets. Where they leave a candidate group in several parts, the
+documents of different parts are compared, block against block, so that every link between classes
+counts, though a group that its own pairs join costs no more than these. The verified links give the
+components. Neither buckets nor groups are ever expanded into pairs, and no link between classes is
+lost except where no band agrees or the signature errs by five standard errors (together below 1e-6
+at a similarity of 0.8).
+
+The result is one row per document with its classes: of equal multisets, and of near duplicates.
 
 Defined results: texts without words, null ones included, link with nothing and are kept; texts of
 fewer than ``k`` words have one shingle of all their words; rows with the same doc_id count as one
-document where their texts are equal, else each row is compared under that id; an empty table gives
-no rows; other columns are ignored.
+document where their texts are equal, else each row is compared under that id; ties go to the smallest
+doc_id; rows with a null doc_id take the class of an equal text and represent none; very long texts
+are compared whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -149,14 +154,15 @@ def overlaps(one: int, codes: np.ndarray, ends: np.ndarray, mark: np.ndarray, le
     return both / np.maximum(lengths + lengths[one] - both, 1)
 
 
-def links_within(ids: np.ndarray, items: list[np.ndarray], threshold: float, split: int | None = None) -> list[tuple[int, int]]:
+def links_within(ids: np.ndarray, items: list[np.ndarray], threshold: float, split: int | None = None, part: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning set of the links among documents; with ``split``, only between those before it and
-    the rest. A document is compared with all others, unless it is already joined to all of them."""
+    the rest. Documents of one ``part`` count as joined already. A document is compared with all
+    others, unless it is already joined to all of them."""
     lengths = np.array([len(x) for x in items], np.int64)
     codes = np.unique(np.concatenate(items), return_inverse=True)[1]
     ends = np.r_[0, np.cumsum(lengths)]
     mark = np.zeros(int(codes.max(initial=-1)) + 1, bool)
-    label = np.arange(len(ids))
+    label = np.arange(len(ids)) if part is None else np.unique(part, return_inverse=True)[1]
     out = []
     for i in range(len(ids) if split is None else split):
         begin = i + 1 if split is None else split
@@ -245,33 +251,51 @@ def candidates(keyed: DataFrame, threshold: float) -> DataFrame:
     return _sorted_by(keyed, ["bucket"]).mapInArrow(run, "u long, v long")
 
 
-def verified(items: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """(u, v) of a spanning set of the true links inside each group of ``labels`` (id, component).
-
-    Groups of over ``BLOCK`` documents are compared block against block, each pair of blocks a task's
-    work of its own; only links leave it, fewer than it has documents.
-    """
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    placed = labels.join(sizes, "component").withColumn("blocks", F.expr(f"cast(ceil(members / {BLOCK}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    others = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
-    sent = placed.withColumn("at", others).select("id", "component", "at.i", "at.j", "own")
+def _compared(sent: DataFrame, items: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(u, v) of links between the two sides of each group of ``keys``, or among all where there is one
+    side; sent has (id, side, part) and the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches, ["component", "i", "j"]):
-            cut = _bounds(table, ["component", "i", "j"])
+        for table in _grouped(batches, keys):
+            cut = _bounds(table, keys)
             found = []
             for a, b in zip(cut[:-1], cut[1:]):
-                part = table.slice(int(a), int(b - a))
-                ids, own, i, j = (part.column(c).to_numpy() for c in ("id", "own", "i", "j"))
-                order = np.argsort(own, kind="stable")
-                bags_ = [np.frombuffer(x.as_py(), np.uint64) for x in part.column("items")]
-                split = None if i[0] == j[0] else int((own == i[0]).sum())
-                if split != 0 and split != len(ids):
-                    found += links_within(ids[order], [bags_[x] for x in order], threshold, split)
+                some = table.slice(int(a), int(b - a))
+                ids, side, part = (some.column(c).to_numpy() for c in ("id", "side", "part"))
+                order = np.argsort(side, kind="stable")
+                bags_ = [np.frombuffer(x.as_py(), np.uint64) for x in some.column("items")]
+                split = int((side == side.min()).sum())
+                found += links_within(ids[order], [bags_[x] for x in order], threshold, None if split == len(ids) else split, part[order])
             u, v = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return _sorted_by(sent.join(items, "id"), ["component", "i", "j"]).mapInArrow(run, "u long, v long")
+    return _sorted_by(sent.join(items, "id"), keys).mapInArrow(run, "u long, v long")
+
+
+def confirmed(items: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+    """The candidate pairs (u, v) of ``edges`` that are links: each document with its own pairs, in blocks."""
+    sizes = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)"))
+    ask = sizes.select(F.col("u").alias("star"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("u").alias("id"), F.lit(0).alias("side"))
+    told = edges.join(sizes, "u").select(F.col("u").alias("star"), F.expr("cast(pmod(xxhash64(v), blocks) as int)").alias("block"), F.col("v").alias("id"), F.lit(1).alias("side"))
+    # parts of their own, so that nothing counts as joined
+    return _compared(ask.union(told).withColumn("part", F.col("id")), items, ["star", "block"], threshold)
+
+
+def remaining(items: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) of a spanning set of the links between the parts of each group; parts has (id, component, part).
+
+    The largest part of a group is compared with all others, and these with one another, block against
+    block, each pair of blocks a task's work of its own. So a group that is one part costs nothing, and
+    one with few documents outside its largest part is read about once.
+    """
+    sizes = parts.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n"))
+    groups = sizes.groupBy("component").agg(F.sum("n").alias("members"), F.max(F.struct("n", "part")).alias("major"), F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1")
+    groups = groups.select("component", F.col("major.part").alias("major"), F.expr(f"cast(ceil((members - major.n) / {BLOCK}) as int)").alias("p"), F.expr(f"cast(ceil(major.n / {BLOCK}) as int)").alias("q"))
+    placed = parts.join(groups, "component").withColumn("own", F.expr("if(part = major, p + pmod(xxhash64(id), q), pmod(xxhash64(id), p))").cast("int"))
+    others = F.explode(F.expr("transform(sequence(0, if(part = major, p, p + q) - 1), j -> struct(least(own, j) AS i, greatest(own, j) AS j))"))
+    sent = placed.withColumn("at", others).select("id", "component", "at.i", "at.j", F.col("own").alias("side"), "part")
+    # where one of two blocks is empty, the other one is compared with itself once more, which finds nothing new
+    return _compared(sent, items, ["component", "i", "j"], threshold)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -286,11 +310,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     # buckets are found without the signatures' bytes, which then join the rows of shared buckets only
     bucketed = heads.select("id", F.explode("bands").alias("bucket")).withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("members > 1")
     keyed = bucketed.select("id", "bucket").join(heads.select("id", "n", "low"), "id")
-    labels = written(components(candidates(keyed, threshold)), "candidates")
+    edges = written(candidates(keyed, threshold), "pairs")
+    labels = written(components(edges), "candidates")
     wanted = labels.select("id").hint("merge")
     items = expanded(docs.join(wanted, docs["doc_id"] == wanted["id"]).select("id", "text").dropDuplicates(["id", "text"]), k)
-    items = items.where("octet_length(items) > 0")  # an id may have several texts, some without words
-    joined = components(verified(items, labels, threshold)).withColumnsRenamed({"id": "class_id", "component": "_component"})
+    items = written(items.where("octet_length(items) > 0"), "items")  # an id may have several texts, some without words
+    near = written(confirmed(items, edges, threshold), "links")
+    parts = labels.join(components(near).withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    more = remaining(items, written(parts, "parts"), threshold)
+    joined = components(near.union(more)).withColumnsRenamed({"id": "class_id", "component": "_component"})
     return named.join(joined, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("_component", "class_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
