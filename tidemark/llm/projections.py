@@ -14,8 +14,8 @@ are as many passes as make it miss all of them with a probability of at most ``M
 
 Equal vectors form one class, compared once. Defined results: vectors that are null, empty, zero or
 hold null or non-finite components link with nothing; vectors of different dimensions are never
-compared; an empty table gives no rows; other columns are ignored; repeated vec_ids are rows of
-their own in counts and share a component.
+compared; an empty table gives no rows; other columns, whatever their names, are ignored; repeated
+vec_ids are rows of their own in counts and share a component; ties go to the smallest vec_id.
 """
 
 from __future__ import annotations
@@ -25,17 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship, written
 from .components import components
 
-EXACT, WINDOW, BLOCK, MISS = 1 << 14, 2048, 1024, 1e-4
+EXACT, WINDOW, BLOCK, MISS = 1 << 14, 2048, 2048, 1e-4
 
 
-def _unit(batch: pa.RecordBatch, dim: int) -> np.ndarray:
-    x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _unit(vectors: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors in double precision; the largest component is scaled first, so that no norm over- or underflows."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -77,7 +79,7 @@ def neighbour_links(heads: DataFrame, passes: int, bits: int, threshold: float,
                     planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, passes * bits)).astype(np.float32)
                 for at in range(0, part.num_rows, 2048):
                     piece = part.slice(at, 2048)
-                    sign = (_unit(piece, dim).astype(np.float32) @ planes[dim] > 0).reshape(piece.num_rows, passes, bits)
+                    sign = (_unit(piece.column("vec"), dim).astype(np.float32) @ planes[dim] > 0).reshape(piece.num_rows, passes, bits)
                     key = sign @ (np.int64(1) << np.arange(bits, dtype=np.int64)[::-1])
                     for p in range(passes):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(piece.num_rows, p << 32 | dim, np.int64)), pa.array(key[:, p]), piece.column("id")], ["part", "key", "id"])
@@ -86,8 +88,8 @@ def neighbour_links(heads: DataFrame, passes: int, bits: int, threshold: float,
         i, j = key[2].as_py(), key[3].as_py()
         own = table.column("own").to_numpy()
         order = np.argsort(own, kind="stable")
-        x = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        vectors = table.column("vec").combine_chunks()
+        x = _unit(vectors, len(vectors.flatten()) // table.num_rows)
         found = _spanning(table.column("id").to_numpy()[order], x[order], threshold, None if i == j else int((own == i).sum()))
         u, v = zip(*found) if found else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
@@ -95,7 +97,7 @@ def neighbour_links(heads: DataFrame, passes: int, bits: int, threshold: float,
     # keys travel without the vectors, which then join the rows of shared keys only
     keyed = written(heads.select("id", "vec").mapInArrow(keys, "part long, key long, id long"), "keys")
     sizes = keyed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = keyed.join(sizes, ["part", "key"]).withColumn("blocks", F.expr(f"cast(ceil(n / {2 * BLOCK}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    placed = keyed.join(sizes, ["part", "key"]).withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     others = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
     sent = placed.withColumn("at", others).select("part", "key", "at.i", "at.j", "own", "id").join(heads.select("id", "vec"), "id")
     return sent.groupBy("part", "key", "i", "j").applyInArrow(compare, "u long, v long")
@@ -113,10 +115,13 @@ def link_counts(heads: DataFrame, labels: DataFrame, threshold: float) -> DataFr
     def count(key, table):
         asks = table.column("asks").to_numpy()
         ids, rows = table.column("id").to_numpy(), table.column("rows").to_numpy()
-        x = np.array(table.column("vec").to_pylist(), np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        near = (x[asks] @ x[~asks].T >= threshold) & (ids[asks][:, None] != ids[~asks][None, :])
-        return pa.table({"id": ids[asks], "links": near @ rows[~asks].astype(np.int64)})
+        vectors = table.column("vec").combine_chunks()
+        x = _unit(vectors, len(vectors.flatten()) // table.num_rows)
+        told, own, links = x[~asks], ids[asks], []
+        for at in range(0, len(own), 256):
+            near = (x[asks][at : at + 256] @ told.T >= threshold) & (own[at : at + 256, None] != ids[~asks][None, :])
+            links.append(near @ rows[~asks].astype(np.int64))
+        return pa.table({"id": own, "links": np.concatenate(links) if links else np.zeros(0, np.int64)})
 
     return from_side.union(to_side).groupBy("component", "i", "j").applyInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
@@ -128,14 +133,30 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, passes: int | None
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
     sound = F.expr("vec IS NOT NULL AND size(vec) > 0 AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(vec, x -> x <> 0)")
     good = rows.where(F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull())
-    classes = good.groupBy("vec").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("rows"))
-    named = written(good.join(classes, "vec").select("vec_id", "class_id", "rows"), "vectors")
-    heads = written(classes.select(F.col("class_id").alias("id"), "vec", "rows").dropDuplicates(["id"]), "heads")
+    classes = written(good.groupBy("vec").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("rows")), "classes")
+    # an id whose rows hold different vectors may represent several classes: these get names beyond all ids, and are linked to it
+    shared = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id")
+    some = shared.limit(1).count() > 0
+    classes = classes.withColumn("id", F.col("class_id"))
+    if some:
+        nth = F.row_number().over(Window.partitionBy("class_id").orderBy("vec"))
+        several = classes.join(shared, "class_id", "left_semi").withColumn("nth", nth)
+        several = several.withColumn("id", F.when(F.col("nth") == 1, F.col("class_id")).otherwise(F.shiftrightunsigned(F.xxhash64("class_id", "nth"), 2) + F.lit(1 << 62))).drop("nth")
+        classes = written(classes.join(shared, "class_id", "left_anti").union(several), "classes")
+    named = written(good.join(classes, "vec").select("vec_id", "class_id", "id", "rows"), "vectors")
+    heads = classes.select("id", "vec", "rows")
     derived = settings(heads.count(), threshold, window)
     passes, bits = derived[0] if passes is None else passes, derived[1] if bits is None else bits
-    labels = written(components(neighbour_links(heads, passes, bits, threshold, seed)), "labels")
-    linked = labels.join(link_counts(heads, labels, threshold), "id", "left").withColumnRenamed("id", "class_id")
-    out = named.join(linked, "class_id", "left").select(
+    links = neighbour_links(heads, passes, bits, threshold, seed)
+    found = written(components(links), "labels")
+    labels = found
+    if some:  # rows of one id share a component, whatever their vectors
+        same = named.where("id <> class_id").select(F.col("id").alias("u"), F.col("class_id").alias("v")).distinct()
+        # an id that stands in classes of other ids too brings them together
+        same = same.union(named.where("vec_id <> class_id").select(F.col("vec_id").alias("u"), F.col("id").alias("v")).join(named.groupBy("vec_id").agg(F.count_distinct("id").alias("n")).where("n > 1").withColumnRenamed("vec_id", "u"), "u", "left_semi"))
+        labels = written(components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).union(same)), "labels")
+    linked = labels.join(link_counts(heads, found, threshold), "id", "left")
+    out = named.join(linked, "id", "left").select(
         "vec_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"), "class_id"
     )
     rest = rows.where(~F.coalesce(sound, F.lit(False)) | F.col("vec_id").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").alias("class_id"))
