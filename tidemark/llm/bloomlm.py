@@ -17,7 +17,9 @@ counts as at least the quantised c(h, w), and as at least 1.
 
 Defined results: null and empty texts are the end token alone; repeated rows are scored each by
 itself; a null doc_id is trained on (its crc32 is taken as not 1 modulo 5); without training texts
-all counts are 0; an empty table gives no rows; other columns are ignored.
+all counts are 0; very long texts are scored whole; the order of rows does not matter; an empty table
+gives no rows; other columns are ignored. Probabilities over the known words and one unknown one sum
+to between 0.8 and 1 for a context, up to quantisation and false positives of the filter.
 """
 
 from __future__ import annotations
@@ -90,10 +92,10 @@ def _place(h: np.ndarray, step: np.ndarray, i: int, size: np.ndarray | np.uint64
     return ((h + np.uint64(i) * step) >> np.uint64(32)) * size >> np.uint64(32)
 
 
-def fill(key: np.ndarray, n: np.ndarray) -> bytes:
+def fill(key: np.ndarray, n: np.ndarray, bits_each: int = BITS) -> bytes:
     """The bit array of one shard: of distinct keys with their counts."""
     level = _level(n)
-    size = max(64, int(level.sum()) * BITS)
+    size = max(64, int(level.sum()) * bits_each)
     bits = np.zeros(size, bool)
     for q in range(1, int(level.max(initial=0)) + 1):
         key, level = key[level >= q], level[level >= q]
@@ -139,7 +141,7 @@ class Filter:
         return out
 
 
-def _counts(train: DataFrame, shards: int) -> DataFrame:
+def _counts(train: DataFrame, shards: int, bits_each: int) -> DataFrame:
     """(shard, word, n, bits): rows of words with exact counts, and one row per shard of bigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +183,7 @@ def _counts(train: DataFrame, shards: int) -> DataFrame:
         ones, many, much = (np.frombuffer(b"".join(x.as_py() for x in table.column(c)), t) for c, t in (("ones", np.uint64), ("many", np.uint64), ("much", np.int64)))
         k, n = _summed(np.concatenate([ones, many]), np.concatenate([np.ones(len(ones), np.int64), much]))
         if shard >= 0:
-            return pa.table({"shard": pa.array([shard], pa.int32()), "word": pa.array([None], pa.int64()), "n": pa.array([None], pa.int64()), "bits": pa.array([fill(k, n)], pa.binary())})
+            return pa.table({"shard": pa.array([shard], pa.int32()), "word": pa.array([None], pa.int64()), "n": pa.array([None], pa.int64()), "bits": pa.array([fill(k, n, bits_each)], pa.binary())})
         return pa.table({"shard": pa.array([shard] * len(k), pa.int32()), "word": pa.array(k.view(np.int64)), "n": pa.array(n), "bits": pa.nulls(len(k), pa.binary())})
 
     packed = train.select("text").mapInArrow(run, "shard int, ones binary, many binary, much binary")
@@ -201,15 +203,16 @@ def _head(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return word[order], count[order]
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+def score_texts(docs: DataFrame, bits_each: int = BITS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; ``bits_each``
+    is the filter's bits per insertion."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text", F.xxhash64("text").alias("mark"))
     train = docs.where("NOT held_out")
     chars = train.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = 1 + chars // SHARD_CHARS
-    counts = written(_counts(train, shards), "counts")
+    counts = written(_counts(train, shards, bits_each), "counts")
     words = counts.where("word IS NOT NULL").select("word", "n")
     total, distinct = (x or 0 for x in words.agg(F.sum("n"), F.count(F.lit(1))).first())
     floor = total + 0.5 * (distinct + 1)
@@ -222,14 +225,14 @@ def score_texts(docs: DataFrame) -> DataFrame:
             groups.append([])
         groups[-1].append(s)
 
-    def scored(group: list[int], only: bool) -> DataFrame:
+    def scored(number: int, group: list[int], only: bool) -> DataFrame:
         rows = counts.where(F.col("bits").isNotNull() & F.col("shard").between(min(group, default=0), max(group, default=-1))).select("shard", "bits")
         table = spark.sparkContext.broadcast(Filter([(r[0], r[1]) for r in rows.collect()], shards))  # MAX_BROADCAST bytes at most
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word, n = head.value
             filter_ = table.value
-            row = TaskContext.get().partitionId() << 33
+            row = number << 53 | TaskContext.get().partitionId() << 33
             for batch, data, offsets in text_slices(batches):
                 size = batch.num_rows
                 token, context, doc = sequences(data, offsets)
@@ -264,6 +267,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                         pa.array(np.r_[ids, ids[doc[later]]]),
                         pa.concat_arrays([batch.column("doc_id"), pa.nulls(nothing, pa.int64())]),
                         pa.concat_arrays([batch.column("held_out"), pa.nulls(nothing, pa.bool_())]),
+                        pa.concat_arrays([batch.column("mark"), pa.nulls(nothing, pa.int64())]),
                         pa.array(np.r_[np.bincount(doc, minlength=size), np.ones(nothing, np.int64)]),
                         pa.array(np.r_[np.bincount(doc[sure], minlength=size), np.zeros(nothing, np.int64)]),
                         pa.array(np.r_[add(base), np.zeros(nothing)]),
@@ -274,14 +278,14 @@ def score_texts(docs: DataFrame) -> DataFrame:
                         have(ch, context_common),
                         pa.array(np.r_[np.zeros(size), both[later]]),
                     ],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "c", "context", "ch", "pair"],
+                    ["row", "doc_id", "held_out", "mark", "n_tokens", "n_known", "base", "score", "word", "c", "context", "ch", "pair"],
                 )
 
-        out = written(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word long, c long, context long, ch long, pair double"), "scored")
+        out = written(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, mark long, n_tokens long, n_known long, base double, score double, word long, c long, context long, ch long, pair double"), "scored")
         table.destroy()
         return out
 
-    tables = [scored(g, len(groups) == 1) for g in groups]
+    tables = [scored(i, g, len(groups) == 1) for i, g in enumerate(groups)]
     whole = tables[0]
     for t in tables[1:]:
         whole = whole.union(t)
@@ -293,14 +297,19 @@ def score_texts(docs: DataFrame) -> DataFrame:
     late = late.groupBy("row").agg(
         F.count_if(F.col("c") > 0).alias("more"), F.sum(F.log10(share)).alias("more_base"), F.sum(F.log10(ratio + (1 - WEIGHT) * share)).alias("more_score")
     )
-    if len(tables) > 1:
-        done = done.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    return done.join(late, "row", "left").select(
+    done = done.join(late, "row", "left").select(
         "doc_id",
         "held_out",
+        "mark",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
         (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
+    if len(tables) > 1:
+        # a row's sums come from one scan each, whose rows may come in any order: they meet by content, and equal rows have equal sums
+        copies = F.expr(f"count(1) div {len(tables)}").alias("copies")
+        done = done.groupBy("doc_id", "held_out", "mark").agg(copies, *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+        whole_ = [F.expr(f"{c} div copies").alias(c) for c in ("n_tokens", "n_known")] + [(F.col(c) / F.col("copies")).alias(c) for c in ("base_score", "score")]
+        done = done.select("doc_id", "held_out", *whole_, F.explode(F.expr("sequence(1, copies)")))
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
