@@ -149,10 +149,9 @@ def test_lm_context_counts_do_not_depend_on_the_head(spark, monkeypatch):
     quantised = lambda n: bloomlm.LOG_BASE ** round(math.log(n) / math.log(bloomlm.LOG_BASE)) if n else 0
     x = [*test.split(), None]
     want = sum(math.log10(bloomlm.WEIGHT * quantised(pairs[h, w]) / max(c[h], quantised(pairs[h, w]), 1) + (1 - bloomlm.WEIGHT) * (c[w] + 0.5) / floor) for h, w in zip([None, *x], x))
-    monkeypatch.setattr(bloomlm, "BITS", 64)
     for head in (1 << 20, 20, 1, 0):
         monkeypatch.setattr(bloomlm, "HEAD", head)
-        got = {r.doc_id: r.score for r in bloomlm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        got = {r.doc_id: r.score for r in bloomlm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), 64).collect()}
         assert abs(got[held] - want) < 1e-6, head
 
 
