@@ -43,7 +43,9 @@ from pyspark.sql import functions as F
 from .common import discard, fresh, mix64, packed, prefix_hash, range_hash, shingle_starts, ship, text_slices, unpacked, word_bounds, word_hashes, written
 
 SPAN, EDGE = 50, 25
-PARTITION_CHARS = 8_000_000
+PARTITION_CHARS = 4_000_000
+#: Bytes of text whose runs a task gathers before it sends them to their partitions.
+GATHER_BYTES = 16 << 20
 _SEEN = 1 << 19
 
 
@@ -91,12 +93,15 @@ def _local(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return least
 
 
-def _first_of(key: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order by key, begin of each group there, index of each one's first in ``order``, by default as they are)."""
+def _first_of(key: np.ndarray, order: np.ndarray | None = None, whole: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(order by key, begin of each group there, and with ``whole`` the index of each one's first in
+    ``order``, by default as they are)."""
     by = np.argsort(key if order is None else key[order], kind="stable")
     by = by if order is None else order[by]
     k = key[by]
     new = np.flatnonzero(np.r_[len(k) > 0, k[1:] != k[:-1]])
+    if not whole:
+        return by, new, None
     first = np.empty(len(k), np.int64)
     first[by] = np.repeat(by[new], np.diff(np.r_[new, len(k)]))
     return by, new, first
@@ -127,42 +132,48 @@ def graph_pieces(docs: np.ndarray, marks: np.ndarray, starts: np.ndarray, sizes:
     base = (np.cumsum(sizes) - sizes)[runs]
     docs, marks, starts, sizes, heads, tails = (x[runs] for x in (docs, marks, starts, sizes, heads, tails))
     begin = np.cumsum(sizes) - sizes
-    run = np.repeat(np.arange(len(sizes)), sizes)
-    step = np.arange(len(run)) - begin[run]
-    key, doc, place = key[base[run] + step], docs[run], starts[run] + step
-    by, new, source = _first_of(key)
+    by, new, _ = _first_of(key[np.repeat(base - begin, sizes) + np.arange(len(key))], whole=False)
     size = np.diff(np.r_[new, len(key)])
-    edge = np.empty(len(key), np.int64)
-    edge[by] = np.repeat(np.arange(len(new)), size)
-    shared = (doc[by[np.r_[new[1:], len(key)] - 1]] != doc[by[new]])[edge]
-    # what follows and precedes each edge: an edge, -1 for nothing repeated, -2 for the border of a run
-    after, before = np.full(len(key), -1), np.full(len(key), -1)
-    near = (run[1:] == run[:-1]) & shared[1:] & shared[:-1]
+    several = np.flatnonzero(size > 1)
+    run_of = lambda i: np.searchsorted(begin, i, "right") - 1
+    shared = several[docs[run_of(by[new[several]])] != docs[run_of(by[new[several] + size[several] - 1])]]
+    # from here on only windows that stand in several documents, in the order of their places
+    n = size[shared]
+    group = np.cumsum(n) - n
+    window = by[np.repeat(new[shared] - group, n) + np.arange(n.sum())]
+    source, edge = np.repeat(window[group], n), np.repeat(np.arange(len(n)), n)
+    del by, new, size, several
+    order = np.argsort(window)
+    place_of = np.empty(len(order), np.int64)
+    place_of[order] = np.arange(len(order))
+    window, source, edge = window[order], source[order], edge[order]
+    run, src_run = run_of(window), run_of(source)
+    # what follows and precedes each edge: an edge, -1 for nothing shared, -2 for the border of a run
+    after, before = np.full(len(window), -1), np.full(len(window), -1)
+    near = (window[1:] == window[:-1] + 1) & (run[1:] == run[:-1])
     after[:-1][near], before[1:][near] = edge[1:][near], edge[:-1][near]
-    end = begin + sizes - 1
-    after[end[tails != 0]] = -2
-    before[begin[heads != 0]] = -2
+    after[(window == (begin + sizes - 1)[run]) & (tails[run] != 0)] = -2
+    before[(window == begin[run]) & (heads[run] != 0)] = -2
 
     def single(x):
-        return (np.minimum.reduceat(x[by], new) == np.maximum.reduceat(x[by], new))[edge]
+        x = x[place_of]
+        return (np.minimum.reduceat(x, group) == np.maximum.reduceat(x, group))[edge] if len(x) else np.zeros(0, bool)
 
     one_after, one_before = single(after), single(before)
-    through = near & one_after[:-1] & one_before[1:]
-    is_first = shared & ~np.r_[False, through]
-    at = np.flatnonzero(is_first)
-    n = np.bincount(np.cumsum(is_first)[shared] - 1, minlength=len(at))
-    src = source[at]
-    late = doc[at] > doc[src]
+    at = np.flatnonzero(np.r_[len(window) > 0, ~(near & one_after[:-1] & one_before[1:])])
+    n = np.diff(np.r_[at, len(window)])
+    late = docs[run[at]] > docs[src_run[at]]
 
-    def rows(i, j, n):
-        return {"doc_id": doc[i], "mark": marks[run[i]], "start": place[i], "n": n, "src_doc": doc[j], "src_mark": marks[run[j]], "src_start": place[j]}
+    def rows(i, n):
+        place, src_place = starts[run[i]] + window[i] - begin[run[i]], starts[src_run[i]] + source[i] - begin[src_run[i]]
+        return {"doc_id": docs[run[i]], "mark": marks[run[i]], "start": place, "n": n, "src_doc": docs[src_run[i]], "src_mark": marks[src_run[i]], "src_start": src_place}
 
-    own = src == at
+    own = source[at] == window[at]
     i, last = at[own], (at + n - 1)[own]
     none = np.uint64(0)
     head = np.where((before[i] == -2) & one_before[i], heads[run[i]], none)
     tail = np.where((after[last] == -2) & one_after[last], tails[run[last]], none)
-    return _pieces(rows(at[late], src[late], n[late])), _pieces(rows(i, i, n[own]), head, tail)
+    return _pieces(rows(at[late], n[late])), _pieces(rows(i, n[own]), head, tail)
 
 
 def _graph(docs: DataFrame, span: int, edge: int, seed: int) -> DataFrame:
@@ -175,6 +186,29 @@ def _graph(docs: DataFrame, span: int, edge: int, seed: int) -> DataFrame:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3).compress
+        spans: dict[int, list] = {}
+        gathered: list[dict[str, np.ndarray]] = []
+        size_held = 0
+
+        def out() -> pa.RecordBatch:
+            held = []
+            for part, share in spans.items():
+                n, raw = packed(share, _SPANS)
+                held.append((part, n, squeeze(raw)))
+            if gathered:
+                one = {c: np.concatenate([g[c] for g in gathered]) for c in gathered[0]}
+                order = np.argsort(one["part"], kind="stable")
+                base = np.cumsum(one["sizes"]) - one["sizes"]
+                of = one["part"][order]
+                for lo, hi in zip(b := np.flatnonzero(np.r_[len(of) > 0, of[1:] != of[:-1]]), np.r_[b[1:], len(of)]):
+                    r = order[lo:hi]
+                    z = one["sizes"][r]
+                    n, raw = packed([({c: one[c][r] for c in _RUNS}, b"")], _RUNS)
+                    held.append((int(of[lo]), n, squeeze(raw) + one["six"][np.repeat(base[r] - (np.cumsum(z) - z), z) + np.arange(z.sum())].tobytes()))
+            spans.clear()
+            gathered.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*held)) or [()] * 3, (pa.int32(), pa.int64(), pa.binary()))], ["part", "n", "packed"])
+
         seen = {"key": np.zeros(0, np.uint64), "doc": np.zeros(0, np.int64), "mark": np.zeros(0, np.int64), "place": np.zeros(0, np.int64)}
         for batch, data, offsets in text_slices(batches):
             ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
@@ -199,31 +233,27 @@ def _graph(docs: DataFrame, span: int, edge: int, seed: int) -> DataFrame:
             both = {"key": np.r_[again, seen["key"]][:_SEEN]} | {c: np.r_[x[settled][where], seen[c]][:_SEEN] for c, x in src.items()}
             key_, where = np.unique(both["key"], return_index=True)
             seen = {c: x[where] for c, x in both.items()}
-            held: list[tuple[int, int, bytes]] = []
             c = np.flatnonzero(settled)
             if len(c):
                 cut = _runs(place[c], row[c], src["doc"][c], src["mark"][c], place[c] - src["place"][c])
                 n, c = np.diff(np.r_[cut, len(c)]), c[cut]
-                n, raw = packed([(dict(zip(_SPANS, (doc[c], mark[c], place[c], n, *(x[c] for x in src.values())))), b"")], _SPANS)
-                held.append((-1 - int(mix64(doc[c[:1]].astype(np.uint64))[0] % np.uint64(parts)), n, squeeze(raw)))
+                fields = dict(zip(_SPANS, (doc[c], mark[c], place[c], n, *(x[c] for x in src.values()))))
+                spans.setdefault(-1 - int(mix64(doc[c[:1]].astype(np.uint64))[0] % np.uint64(parts)), []).append((fields, b""))
             c = np.flatnonzero(~settled)
-            part = ((mix64(edges) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            six = np.ascontiguousarray(key[c].view(np.uint8).reshape(-1, 8)[:, :6])
             cut = _runs(place[c], row[c], edges[c])
             size, c = np.diff(np.r_[cut, len(c)]), c[cut]
-            order = np.argsort(part[c], kind="stable")
-            c, size = c[order], size[order]
             last = c + size - 1
             one, none = np.uint64(1), np.uint64(0)
             heads = np.where(place[c] > 0, range_hash(s, inverse, at[c], at[c] + span - 1) | one, none)
             tails = np.where(at[last] + span < first[1:][row[last]], range_hash(s, inverse, at[last] + 1, at[last] + span) | one, none)
-            six = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :6])
-            of = part[c]
-            for lo, hi in zip(b := np.flatnonzero(np.r_[len(of) > 0, of[1:] != of[:-1]]), np.r_[b[1:], len(of)]):
-                r, z = c[lo:hi], size[lo:hi]
-                inside = np.repeat(r - (np.cumsum(z) - z), z) + np.arange(z.sum())
-                n, raw = packed([(dict(zip(_RUNS, (doc[r], mark[r], place[r], z, edges[r], heads[lo:hi], tails[lo:hi]))), b"")], _RUNS)
-                held.append((int(of[lo]), n, squeeze(raw) + six[inside].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*held)) or [()] * 3, (pa.int32(), pa.int64(), pa.binary()))], ["part", "n", "packed"])
+            part = ((mix64(edges[c]) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            gathered.append(dict(zip(_RUNS, (doc[c], mark[c], place[c].astype(np.int32), size, edges[c], heads, tails))) | {"part": part, "six": six})
+            size_held += len(data)
+            if size_held >= GATHER_BYTES:
+                yield out()
+                size_held = 0
+        yield out()
 
     def join(name, table):
         import zstandard
