@@ -39,6 +39,14 @@ def universe(df: DataFrame, n: int, least: float = 5e9, per_date: bool = False)
     return df.withColumn("_n", F.row_number().over(Window.partitionBy("date").orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
+def universe_notes(df: DataFrame) -> DataFrame:
+    """One row of what a universe is made of, with the warning that a roster of today's listings
+    leaves out those that have gone since (survivorship bias), unless the table says when they went."""
+    dated = "delisted_at" in df.columns
+    warning = F.lit(None).cast("string") if dated else F.lit("survivorship bias: only current listings")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("ticker").alias("tickers"), F.min("date").alias("first_date"), F.max("date").alias("last_date")).withColumn("warning", warning)
+
+
 def sound_bar() -> Column:
     """The price rules of P4 as one nullable condition."""
     o, h, l, c = (F.col(x) for x in PRICES)  # noqa: E741

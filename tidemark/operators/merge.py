@@ -76,6 +76,16 @@ def union_by_priority(sources: list[DataFrame], keys: list[str], fallback: list[
     return latest(union.withColumn("_key", F.when(own != "", own).otherwise(other)), ["_key"], [F.col("_source"), *order]).drop("_key", "_source")
 
 
+def distinct_in_order(values: Column) -> Column:
+    """A list without repeats, empty texts and nulls, in the order of first occurrence."""
+    return F.array_distinct(F.filter(values, lambda x: x.isNotNull() & (F.trim(x) != "")))
+
+
+def claim(queue: DataFrame, n: int, now: Column) -> DataFrame:
+    """The n jobs that are due next, by priority, time and id; who runs them must lock the rows elsewhere."""
+    return queue.where((F.col("status") == "pending") & (F.col("scheduled_at") <= now)).orderBy(F.desc("priority"), "scheduled_at", "job_id").limit(n)
+
+
 def reject_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """U7, Q3."""
     if not df.groupBy(*keys).count().where("count > 1").limit(1).isEmpty():
@@ -147,6 +157,12 @@ def find_company(asked: str, companies: DataFrame) -> DataFrame:
     return companies.withColumn("_tier", tier).where("_tier IS NOT NULL").orderBy("_tier", "position").limit(1).drop("_tier")
 
 
+def with_latest_value(roster: DataFrame, filings: DataFrame, key: str, value: str) -> DataFrame:
+    """The roster with the value of each key's latest filing that has one, in order of date and receipt number."""
+    last = filings.where(F.col(value).isNotNull()).groupBy(key).agg(F.max_by(value, F.struct("rcept_dt", "rcept_no")).alias(value))
+    return roster.join(last, key, "left")
+
+
 def alias_dimension(companies: DataFrame) -> DataFrame:
     """One row per padded or stripped key and company."""
     keys = F.array_distinct(F.array_compact(F.array("corp_code", F.ltrim("corp_code", F.lit("0")), "stock_code", F.ltrim("stock_code", F.lit("0")), "corp_name")))

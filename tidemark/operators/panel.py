@@ -11,16 +11,25 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import EPSILON, before, ewm, lagged_return, rank_pct, series, trailing, true_range
 
-#: Rank column and what it ranks.
+# Cross-section ranks and what they rank; the last three belong to the technical group.
 RANKS = {
+    "return_5d_rank_pct": "return_5d",
+    "return_20d_rank_pct": "return_20d",
     "momentum_rank_pct": "momentum_20d",
+    "momentum_20d_rank_pct": "momentum_20d",
+    "momentum_diff_rank_pct": "momentum_diff",
     "trading_value_rank_pct": "relative_trading_value",
+    "volume_change_rank_pct": "volume_change_1d",
     "volatility_rank_pct": "volatility_20d",
+    "atr_rank_pct": "atr_percent",
+    "bb_width_rank_pct": "bb_width",
     "breakout_rank_pct": "breakout_strength",
+    "low_rebound_rank_pct": "close_to_20d_low",
+    "relative_return_5d_rank_pct": "relative_return_5d_vs_market",
+    "sector_relative_rank_pct": "relative_return_20d_vs_sector",
     "rsi_rank_pct": "rsi14",
     "macd_rank_pct": "macd_hist_ratio",
     "bb_position_rank_pct": "bb_position",
-    "atr_rank_pct": "atr_percent",
 }
 IDENTITY = ["sector", "market_type", "market_cap_group"]
 MACRO = {"nasdaq_close": "nasdaq_return_1d", "sox_close": "sox_return_1d", "sp500_close": "sp500_return_1d", "usdkrw": "usdkrw_return_1d", "wti_close": "wti_return_1d", "vix_close": "vix_change_1d"}
@@ -97,18 +106,18 @@ def breakout_features(df: DataFrame) -> DataFrame:
 
 
 def technical_features(df: DataFrame) -> DataFrame:
-    """RSI, MACD and Bollinger columns. The recursive means fold each ticker's ordered history once,
-    in one row per ticker that holds two numbers per date (W10, G10)."""
+    """RSI, MACD and Bollinger columns. The recursive means fold each ticker's ordered history in one row
+    per ticker, which holds its dates, and the rows come back out of it without a join (W10, G10)."""
     w, last = series(), F.lag("close", 1).over(series())
     df = _with(df, {"_last": last, "_delta": last - F.lag("close", 2).over(w)})
-    held = df.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "_last", "_delta"))).alias("h"))
+    own = [c for c in df.columns if c not in ("ticker", "date")]
+    held = df.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", *own))).alias("h"))
     pick = lambda name: F.transform("h", lambda x: x[name])
     zero = lambda x: F.when(x["_delta"].isNotNull(), F.lit(0.0))
     up, down = F.transform("h", lambda x: F.greatest(x["_delta"], zero(x))), F.transform("h", lambda x: F.greatest(-x["_delta"], zero(x)))
     folds = held.select("ticker", "h", ewm(up, 1 / 14).alias("gain"), ewm(down, 1 / 14).alias("loss"), ewm(pick("_last"), 2 / 13).alias("fast"), ewm(pick("_last"), 2 / 27).alias("slow"))
     folds = folds.withColumn("macd", F.zip_with("fast", "slow", lambda a, b: a - b)).withColumn("signal", ewm(F.col("macd"), 2 / 10))
-    rows = folds.select("ticker", F.explode(F.arrays_zip(pick("date").alias("date"), "gain", "loss", "macd", "signal")).alias("x")).select("ticker", "x.*")
-    df = df.join(rows, ["ticker", "date"], "left")
+    df = folds.select("ticker", F.explode(F.arrays_zip("h", "gain", "loss", "macd", "signal")).alias("x")).select("x.h.date", "ticker", *[f"x.h.{c}" for c in own], "x.gain", "x.loss", "x.macd", "x.signal")
     df = _with(df, {"rsi14": 100 - 100 / (1 + F.col("gain") / (F.col("loss") + EPSILON)), "macd_hist_ratio": (F.col("macd") - F.col("signal")) / (F.col("_last") + EPSILON)})
     middle, spread = before(F.avg, F.col("close"), 20, w), before(F.stddev_samp, F.col("close"), 20, w) * 2
     df = _with(df, {"_lower": middle - spread, "_upper": middle + spread, "_middle": middle})
@@ -124,7 +133,7 @@ def macro_features(df: DataFrame) -> DataFrame:
 
 
 def rank_features(df: DataFrame) -> DataFrame:
-    """W16."""
+    """The 14 ranks of the date, and those of the technical group."""
     return _with(df, {out: rank_pct(F.col(c)) for out, c in RANKS.items() if c in df.columns})
 
 
@@ -200,6 +209,15 @@ def attach_required(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(right, keys, "left")
 
 
+def attach_previous_close(predictions: DataFrame, targets_: DataFrame) -> DataFrame:
+    """Previous closes on (feature_date, ticker), many to one: several closes of a key are an error, and
+    every prediction stays, once, with null where there is no close."""
+    keys = ["feature_date", "ticker"]
+    if not targets_.groupBy(*keys).count().where("count > 1").limit(1).isEmpty():
+        raise ValueError(f"several previous closes of {keys}")
+    return predictions.join(targets_.select(*keys, "prev_close"), keys, "left")
+
+
 def attach_named(left: DataFrame, names: DataFrame, key: str, column: str, default: str = "UNKNOWN") -> DataFrame:
     """J5, N15."""
     return left.join(names.select(key, column).dropDuplicates([key]), key, "left").withColumn(column, F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(default)))

@@ -155,6 +155,11 @@ def feature_metadata(df: DataFrame, date: str = "date") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
 
 
+def date_range(df: DataFrame, date: str = "date") -> DataFrame:
+    """First and last date of a result."""
+    return df.agg(F.min(date).alias("first_date"), F.max(date).alias("last_date"))
+
+
 def violations(df: DataFrame, rules: dict[str, Column], keys: list[str]) -> DataFrame:
     """Q1-Q3: rows that break each rule (null breaks it), and surplus rows of repeated keys; one pass for
     the rules and one aggregate for the keys."""

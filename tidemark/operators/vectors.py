@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,12 +14,12 @@ def hash_embedding(text: Column, dim: int) -> Column:
 
     def embed(s):
         out = [0.0] * dim
-        for token in (s or "").split():
-            out[int(hashlib.sha1(token.encode()).hexdigest(), 16) % dim] += 1.0
+        for token, n in Counter((s or "").split()).items():
+            out[int.from_bytes(hashlib.sha1(token.encode()).digest(), "big") % dim] += float(n)
         norm = sum(x * x for x in out) ** 0.5 or 1.0
         return [x / norm for x in out]
 
-    return F.udf(embed, "array<double>", useArrow=False)(text)
+    return F.udf(embed, "array<double>", useArrow=True)(text)
 
 
 def dot(a: Column, b: Column) -> Column:
