@@ -107,9 +107,12 @@ def test_drifting_files(spark, tmp_path):
 
 
 def test_broken_json_lines(spark, tmp_path):
-    (tmp_path / "x.jsonl").write_text('{"a": 1}\n{"a":\n 2}\n\n{"a": "tail')
-    got = [json.loads(r.record) for r in readers.read_broken_lines(spark, str(tmp_path / "x.jsonl")).collect()]
-    assert got == [{"a": 1}, {"a": 2}]
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n{"a":\n 2}\n\n{"a": "cut {[ \\" \nhere"}\n{"b": {\n{"c": 3}\n[4]\n{"a": "tail')
+    got = [(r.line, r.record and json.loads(r.record), r.error) for r in readers.read_broken_lines(spark, str(tmp_path / "x.jsonl")).orderBy("line").collect()]
+    assert got == [(1, {"a": 1}, None), (2, {"a": 2}, None), (5, {"a": 'cut {[ " here'}, None), (7, None, '{"b": {'), (8, {"c": 3}, None), (9, [4], None), (10, None, '{"a": "tail')]
+    known = spark.createDataFrame([("1",)], "a string")
+    rows, counts = readers.matched_output(readers.read_broken_lines(spark, str(tmp_path / "x.jsonl")), known, "a")
+    assert rows.count() == 1 and counts.first().asDict() == {"records": 5, "errors": 2, "matched": 1, "unknown": 4}
 
 
 def test_html_rows(spark):

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,3 +48,13 @@ def ship(spark: SparkSession) -> None:
                 z.write(path, os.path.relpath(path, os.path.dirname(root)))
     sc.addPyFile(archive)
     _SHIPPED.add(sc.applicationId)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,7 +42,7 @@ def read_months(spark: SparkSession, root: str, months: list[tuple[int, int]] |
         return df
     wanted = F.lit(False)
     for y, m in months:
-        wanted = wanted | ((F.col(year).cast("int") == y) & (F.col(month).cast("int") == m))
+        wanted = wanted | ((F.col(year).try_cast("int") == y) & (F.col(month).try_cast("int") == m))
     return df.where(wanted)
 
 
@@ -86,7 +90,7 @@ def read_registry(df: DataFrame) -> DataFrame:
     """Filings once per receipt number, the latest version preferred, then the order of ids."""
     from ..operators.merge import latest, truthy
 
-    return latest(df, ["rcept_no"], [truthy(F.col("is_latest")).desc(), F.col("rcept_dt").desc(), F.hash(*[F.col(c).cast("string") for c in sorted(df.columns)])])
+    return latest(df, ["rcept_no"], [truthy(F.col("is_latest")).desc(), F.col("rcept_dt").desc(), F.xxhash64(*[F.col(c).cast("string") for c in sorted(df.columns)]), *[F.col(c).cast("string") for c in sorted(df.columns)]])
 
 
 def read_reports(spark: SparkSession, root: str, schema: str | StructType | None = None) -> DataFrame:
@@ -97,30 +101,67 @@ def read_reports(spark: SparkSession, root: str, schema: str | StructType | None
     return df.where(~F.contains(F.col("source_key"), F.lit("embedding_input")) & ~F.startswith(name, F.lit("_")) & ~F.rlike(name, F.lit(r"_(수정|%EC%88%98%EC%A0%95)\.json$")))
 
 
-def joined_records(text: Column) -> Column:
-    """JSON records of a text in which line breaks cut some; each piece is joined to the next until
-    it parses. What never parses is left out."""
+_MARKS = re.compile(r'\\.|["{}\[\]]', re.DOTALL)
 
-    def split(s):
-        out, held = [], ""
-        for line in (s or "").splitlines():
-            held = held + line if held else line.strip()
-            if not held:
-                continue
-            try:
-                out.append(json.dumps(json.loads(held), ensure_ascii=False))
-                held = ""
-            except ValueError:
-                continue
-        return out
 
-    return F.udf(split, "array<string>", useArrow=False)(text)
+def _parsed(text: str) -> str | None:
+    try:
+        return json.dumps(json.loads(text), ensure_ascii=False)
+    except ValueError:
+        return None
+
+
+def joined_lines(text: str | None) -> list[tuple[int, str | None, str | None]]:
+    """S16 on one text: (line, record, error). Lines are joined until brackets and quotes are closed and the
+    whole parses. What stays open to the end of the text is an error from its first line to the next line
+    that parses by itself, where reading goes on; so nothing is left out."""
+    lines = (text or "").splitlines()
+    out: list[tuple[int, str | None, str | None]] = []
+    at = 0
+    while at < len(lines):
+        if not lines[at].strip():
+            at += 1
+            continue
+        depth, quoted, held = 0, False, []
+        for i in range(at, len(lines)):
+            held.append(lines[i] if held else lines[i].lstrip())
+            for mark in _MARKS.findall(lines[i]):
+                if mark == '"':
+                    quoted = not quoted
+                elif not quoted and len(mark) == 1:
+                    depth += 1 if mark in "{[" else -1
+            if depth <= 0 and not quoted and (record := _parsed("".join(held))) is not None:
+                out.append((at + 1, record, None))
+                at = i + 1
+                break
+        else:
+            end = next((i for i in range(at + 1, len(lines)) if lines[i].lstrip()[:1] in ("{", "[") and _parsed(lines[i]) is not None), len(lines))
+            out.append((at + 1, None, "\n".join(lines[at:end])))
+            at = end
+    return out
 
 
 def read_broken_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, record)."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return whole.select("file", F.explode(joined_records(F.col("value"))).alias("record"))
+    """(file, line, record, error) of JSON files in which line breaks cut records; each file is read by
+    one task, and a row has either a record or the text that never parses."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, text in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist()):
+                rows = joined_lines(text)
+                columns = list(zip(*rows)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], ["file", "line", "record", "error"])
+
+    return whole.mapInArrow(run, "file string, line long, record string, error string")
+
+
+def matched_output(records: DataFrame, manifest: DataFrame, key: str = "recordId") -> tuple[DataFrame, DataFrame]:
+    """Batch output with its manifest rows, and one row (records, errors, matched, unknown) of counts."""
+    named = records.withColumn(key, F.get_json_object("record", f"$.{key}"))
+    joined = named.join(manifest.withColumn("_known", F.lit(True)), key, "left")
+    counts = joined.agg(F.count("record").alias("records"), F.count("error").alias("errors"), F.count_if(F.col("_known")).alias("matched"), F.count_if(F.col("record").isNotNull() & F.col("_known").isNull()).alias("unknown"))
+    return joined.where("_known").drop("_known", "error"), counts
 
 
 class _Rows(HTMLParser):
@@ -170,7 +211,7 @@ def html_rows(html: Column) -> Column:
         p.close_row()
         return p.rows
 
-    return F.udf(parse, "array<struct<cells:array<string>,link:string>>", useArrow=False)(html)
+    return F.udf(parse, "array<struct<cells:array<string>,link:string>>", useArrow=True)(html)
 
 
 def needs_ocr(pages: Column, text_pages: Column, chars: Column) -> Column:
@@ -185,17 +226,25 @@ def read_corp_codes(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("stock_code", F.nullif(F.trim("stock_code"), F.lit("")))
 
 
-def read_csv_any(spark: SparkSession, path: str, columns: list[str], encodings: tuple[str, ...] = ("UTF-8", "x-windows-949", "EUC-KR")) -> DataFrame:
-    """Headerless CSV; the first encoding under which no value holds a replacement character."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
+def read_csv_any(spark: SparkSession, path: str, columns: list[str], encodings: tuple[str, ...] = ("utf-8", "cp949", "euc-kr")) -> DataFrame:
+    """Headerless CSV; the first encoding under which no value holds a replacement character, else the
+    last. Bytes are read as they are, since the delimiters are the same in all of them, and decoded after."""
+    raw = spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("encoding", "iso-8859-1").csv(path)
+
+    def decoded(encoding: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values = [[None if x is None else x.encode("latin-1").decode(encoding, "replace") for x in c.to_pylist()] for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) for v in values], columns)
+
+        return raw.mapInArrow(run, raw.schema)
+
     for encoding in encodings:
-        df = spark.read.schema(schema).option("encoding", encoding).csv(path)
-        broken = F.lit(False)
-        for c in columns:
-            broken = broken | F.contains(F.coalesce(F.col(c), F.lit("")), F.lit("�"))
+        df = decoded(encoding)
+        broken = reduce(lambda a, b: a | b, [F.contains(F.coalesce(F.col(c), F.lit("")), F.lit("\ufffd")) for c in columns])
         if df.where(broken).limit(1).isEmpty():
-            return df.withColumn(columns[0], F.replace(F.col(columns[0]), F.lit("﻿"), F.lit("")))
-    return df
+            break
+    return df.withColumn(columns[0], F.replace(F.col(columns[0]), F.lit("\ufeff"), F.lit("")))
 
 
 def listed_reports(df: DataFrame, start: str, end: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -29,9 +31,7 @@ def write_partitioned(df: DataFrame, path: str, parts: list[str], mode: str = "a
 
 def rewrite_months(spark: SparkSession, path: str, source: DataFrame, keys: list[str], parts: list[str], order: list[str]) -> None:
     """Merge into the partitions that the source touches, and overwrite only these.
-
-    The merged rows go to a staging folder beside the table first, as a table can't be read and
-    overwritten at once."""
+"""
     touched = source.select(*parts).distinct()
     if _exists(spark, path):
         target = _as_text(spark, path, parts)
@@ -39,26 +39,64 @@ def rewrite_months(spark: SparkSession, path: str, source: DataFrame, keys: list
         merged = merge(target.join(touched, parts, "left_semi"), source, keys)
     else:
         merged = source
-    staging = f"{path.rstrip('/')}__staging"
-    merged.hint("rebalance", *parts).sortWithinPartitions(*parts, *order).write.mode("overwrite").partitionBy(*parts).parquet(staging)
-    spark.read.schema(merged.schema).parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    _replace(merged.hint("rebalance", *parts).sortWithinPartitions(*parts, *order), path, parts)
+
+
+def _replace(rows: DataFrame, path: str, parts: list[str]) -> None:
+    """Write whole partitions over a table that ``rows`` are read from: first to a staging folder of this
+    run's own, then from there over the table. After a crash in between, the same call does no harm: staged
+    rows are never read by others, and a merge of the same source gives the same rows."""
+    spark = rows.sparkSession
+    staging = f"{path.rstrip('/')}__staging-{uuid.uuid4().hex}"
+    rows.write.partitionBy(*parts).parquet(staging)
+    spark.read.schema(rows.schema).parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    _remove(spark, staging)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+BUCKETS = 16
+
+
+def _buckets(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The versions in which each bucket was written, oldest first; ``BUCKETS`` keys at most."""
+    if not _exists(spark, f"{path}/_versions"):
+        return {}
+    rows = spark.read.parquet(f"{path}/_versions").groupBy("bucket").agg(F.array_sort(F.collect_set("version"))).collect()
+    return {r[0]: r[1] for r in rows}
 
 
 def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: list[str]) -> None:
-    """Keyed merge into a table; a transactional format where the session has it,
-    else Parquet versions behind a pointer: readers see a whole version, never a half-written one."""
-    now = current_version(spark, path)
-    target = spark.read.parquet(f"{path}/v{now}") if now else source.limit(0)
-    merge(target, source, keys).write.mode("overwrite").parquet(f"{path}/v{now + 1}")
-    spark.createDataFrame([(now + 1,)], "version long").coalesce(1).write.mode("append").parquet(f"{path}/_versions")
+    """Keyed merge into a table of Parquet versions.
+
+    Rows live in buckets of their keys' hash. A merge writes the buckets that the source touches as a new
+    version and then lists them; readers take each bucket's last listed version, so they never see a
+    half-written one. Versions that were replaced before the last merge are removed.
+    """
+    bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(BUCKETS)).cast("int")
+    source = source.withColumn("bucket_no", bucket)
+    held = _buckets(spark, path)
+    touched = sorted(r[0] for r in source.select("bucket_no").distinct().collect())
+    now = max((v[-1] for v in held.values()), default=0)
+    old = [f"{path}/v{held[b][-1]}/bucket_no={b}" for b in touched if b in held]
+    target = spark.read.option("mergeSchema", True).parquet(*old).withColumn("bucket_no", bucket) if old else source.limit(0)
+    merge(target, source, keys).hint("rebalance", "bucket_no").write.mode("overwrite").partitionBy("bucket_no").parquet(f"{path}/v{now + 1}")
+    if touched:
+        spark.createDataFrame([(now + 1, b) for b in touched], "version long, bucket int").coalesce(1).write.mode("append").parquet(f"{path}/_versions")
+    for b, versions in held.items():
+        for v in versions[:-1]:
+            _remove(spark, f"{path}/v{v}/bucket_no={b}")
 
 
 def current_version(spark: SparkSession, path: str) -> int:
-    return spark.read.parquet(f"{path}/_versions").agg(F.max("version")).first()[0] if _exists(spark, f"{path}/_versions") else 0
+    return max((v[-1] for v in _buckets(spark, path).values()), default=0)
 
 
 def read_merged(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{current_version(spark, path)}")
+    return spark.read.option("mergeSchema", True).parquet(*[f"{path}/v{v[-1]}/bucket_no={b}" for b, v in sorted(_buckets(spark, path).items())])
 
 
 def export_by_month(df: DataFrame, path: str, date: str) -> None:
@@ -84,9 +122,7 @@ def compact_partitions(spark: SparkSession, path: str, keys: list[str], parts: l
     df = _as_text(spark, path, parts)
     named = df.withColumn("_file", F.col("_metadata.file_name"))
     kept = latest(named, [*parts, *keys], [F.desc("_file")]).drop("_file")
-    staging = f"{path.rstrip('/')}__staging"
-    kept.hint("rebalance", *parts).write.mode("overwrite").partitionBy(*parts).parquet(staging)
-    spark.read.schema(kept.schema).parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    _replace(kept.hint("rebalance", *parts), path, parts)
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
