@@ -144,7 +144,7 @@ def value_counts(spark, sf):
 
 @query("SELECT l_suppkey, coalesce(sum(CASE WHEN x > 0 THEN x END), 0)::BIGINT AS bought, coalesce(sum(CASE WHEN x <= 0 THEN x END), 0)::BIGINT AS sold FROM (SELECT l_suppkey, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END::BIGINT AS x FROM lineitem) GROUP BY 1")
 def flow_totals(spark, sf):
-    """Changes arrive as text with commas."""
+    """Changes arrive as text with commas."""
     text = F.format_number(F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")), 0)
     return stats.flow(table(spark, sf, "lineitem"), N.to_long(text), "l_suppkey")
 
@@ -154,7 +154,7 @@ def flow_totals(spark, sf):
 SELECT l_orderkey, first(x ORDER BY x = 0, l_linenumber, l_orderkey, x) FILTER (WHERE name = 'A' AND x IS NOT NULL) AS a, first(x ORDER BY CASE name WHEN 'N' THEN 0 ELSE 1 END, x = 0, l_linenumber, x) FILTER (WHERE name IN ('N', 'R') AND x IS NOT NULL) AS nr FROM v GROUP BY 1"""
 )
 def account_pivot(spark, sf):
-    """First non-zero amount per account, labels in order."""
+    """First non-zero amount per account, labels in order."""
     li = table(spark, sf, "lineitem")
     current = F.when(F.col("l_quantity") > 10, F.col("l_quantity")).when(F.col("l_quantity") > 5, 0.0)
     rows = li.select("l_orderkey", F.col("l_returnflag").alias("account_nm"), current.alias("thstrm_amount"), F.col("l_tax").alias("frmtrm_amount"), F.struct("l_linenumber", F.coalesce(current, "l_tax")).alias("ord"))
@@ -167,7 +167,7 @@ SELECT count(*) AS total, count(*) FILTER (WHERE o = 'BUY') AS buy, count(*) FIL
 count(DISTINCT firm) AS firms, count(tp) AS with_target, round(count(tp) * 100.0 / count(*), 6) AS target_rate FROM r"""
 )
 def briefing_counts(spark, sf):
-    """A5, A20, X10."""
+    """A5, X10."""
     o = table(spark, sf, "orders")
     r = o.select(F.when(F.col("o_orderstatus") == "F", "BUY").when(F.col("o_orderstatus") == "O", "HOLD").alias("opinion"), (F.col("o_custkey") % 40).alias("firm"), F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice")).alias("target_price"))
     return stats.opinion_counts(r).withColumn("target_rate", F.round(F.col("target_rate").cast("double"), 6))
@@ -203,7 +203,7 @@ def rows_per_month(spark, sf):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
 def third_page(spark, sf):
-    """L7, X2, X4, X6."""
+    """L7."""
     return filters.page(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 3, 25)[0]
 
 
@@ -221,7 +221,7 @@ def replay_pages(spark, sf):
 
 @query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-03-01' AND DATE '1996-06-30'")
 def date_window(spark, sf):
-    """P6, S5, I7."""
+    """P6."""
     o = table(spark, sf, "orders")
     return o.where(filters.in_dates(F.date_format("o_orderdate", "yyyy-MM-dd"), "19960301", "1996-06-30")).select("o_orderkey")
 
@@ -253,10 +253,10 @@ def selector_query(spark, sf):
     return filters.selected(table(spark, sf, "orders"), o_custkey=7, o_orderstatus="F", o_orderpriority=None).select("o_orderkey")
 
 
-@query("WITH r AS (SELECT lpad((o_custkey % 97)::VARCHAR, 6, '0') AS t FROM orders WHERE o_orderkey % 5 = 0), m AS (SELECT lpad((l_suppkey % 89)::VARCHAR, 6, '0') AS t FROM lineitem), f AS (SELECT lpad((c_custkey % 50)::VARCHAR, 6, '0') AS t FROM customer WHERE c_acctbal > 5000) SELECT DISTINCT t AS ticker FROM r WHERE t IN (SELECT t FROM m) AND t IN (SELECT t FROM f) AND t <> '000000'")
+@query("WITH r AS (SELECT lpad((o_custkey % 97)::VARCHAR, 6, '0') AS t FROM orders), m AS (SELECT lpad((l_suppkey % 89)::VARCHAR, 6, '0') AS t FROM lineitem), f AS (SELECT lpad((c_custkey % 50)::VARCHAR, 6, '0') AS t FROM customer WHERE c_acctbal > 5000) SELECT DISTINCT t AS ticker FROM r WHERE t IN (SELECT t FROM m) AND t IN (SELECT t FROM f) AND t <> '000000'")
 def consensus(spark, sf):
-    """J10, U9, X8."""
-    reports = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select((F.col("o_custkey") % 97).alias("code"))
+    """J10, U9."""
+    reports = table(spark, sf, "orders").select((F.col("o_custkey") % 97).alias("code"))
     model = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 89).alias("ticker"), F.lit(1.0).alias("ranking_score"))
     filings = table(spark, sf, "customer").where("c_acctbal > 5000").select((F.col("c_custkey") % 50).alias("stock_code"), F.lit("2024-01-01").cast("date").alias("rcept_dt"), F.lit("positive").alias("sentiment"), F.lit("x").alias("report_nm"))
     return serving.consensus_tickers(reports, model, filings, F.lit("2024-01-31").cast("date"))

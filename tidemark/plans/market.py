@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import windows as W
 from ..operators import asof, filters, learn, panel, portfolio, stats
 from ..session import table
-from .registry import query
+from .registry import query, sql_of
 
 DIGITS = 6
 
@@ -174,27 +174,77 @@ def features_technical(spark, sf):
     return shown(panel.technical_features(bars(spark, sf)), ["rsi14", "rsi_change_5d", "macd_hist_ratio", "bb_position", "bb_width", "bb_position_change_5d"])
 
 
+#: Six macro series made from the events of a day.
+_SERIES = {"nasdaq_close": "sum(value)", "usdkrw": "count(*)", "sox_close": "max(value)", "sp500_close": "avg(value)", "wti_close": "sum(value * value)", "vix_close": "count(DISTINCT user_id)"}
+
+
 def macro(spark, sf) -> DataFrame:
-    return table(spark, sf, "events").groupBy(F.col("ts").cast("date").alias("date")).agg(F.sum("value").alias("nasdaq_close"), F.count(F.lit(1)).cast("double").alias("usdkrw"))
+    return table(spark, sf, "events").groupBy(F.col("ts").cast("date").alias("date")).agg(*[F.expr(x.replace("count(*)", "count(1)")).cast("double").alias(c) for c, x in _SERIES.items()])
 
 
-MACRO = "macro AS (SELECT CAST(ts AS DATE) AS date, sum(value) AS nasdaq_close, count(*)::DOUBLE AS usdkrw FROM events GROUP BY 1)"
+MACRO = f"macro AS (SELECT CAST(ts AS DATE) AS date, {', '.join(f'CAST({x} AS DOUBLE) AS {c}' for c, x in _SERIES.items())} FROM events GROUP BY 1)"
 
 
-@query(
-    f"""WITH {BARS}, {MACRO}, j AS (SELECT bars.*, nasdaq_close, usdkrw FROM bars LEFT JOIN macro USING (date))
-SELECT date, ticker, {_r(f"({_l('nasdaq_close', 1)}) / nullif({_l('nasdaq_close', 2)}, 0) - 1", 'nasdaq_return_1d')}, {_r(f"({_l('usdkrw', 1)}) / nullif({_l('usdkrw', 2)}, 0) - 1", 'usdkrw_return_1d')} FROM j"""
-)
+def _macro_return(c: str) -> str:
+    return _r(f"({_l(c, 1)}) / nullif({_l(c, 2)}, 0) - 1", panel.MACRO[c])
+
+
+@query(f"WITH {BARS}, {MACRO}, j AS (SELECT bars.*, {', '.join(_SERIES)} FROM bars LEFT JOIN macro USING (date)) SELECT date, ticker, {', '.join(map(_macro_return, _SERIES))} FROM j")
 def features_macro(spark, sf):
-    """J1, J24, W11."""
-    return shown(panel.macro_features(panel.attach_macro(bars(spark, sf), macro(spark, sf))), ["nasdaq_return_1d", "usdkrw_return_1d"])
+    """All six series."""
+    return shown(panel.macro_features(panel.attach_macro(bars(spark, sf), macro(spark, sf))), list(panel.MACRO.values()))
 
 
-@query()
+def _feature_groups() -> dict[str, list[str]]:
+    """The registered SQL of each feature group, and its columns without ranks."""
+    return {
+        "features_price": [*[f"return_{p}d" for p in (1, 3, 5, 20, 60)], *[f"close_ma{n}_ratio" for n in (5, 20, 60)]],
+        "features_momentum": _MOMENTUM[:-1],
+        "features_volume": ["volume_change_1d", "relative_trading_value"],
+        "features_volatility": ["volatility_5d", "volatility_20d", "intraday_range_5d", "atr_percent"],
+        "features_candlestick": ["body", "upper_shadow", "lower_shadow", "body_ratio", "close_position"],
+        "features_breakout": ["high_20d", "low_20d", "close_to_20d_high", "close_to_20d_low", "breakout_strength"],
+        "features_technical": ["rsi14", "rsi_change_5d", "macd_hist_ratio", "bb_position", "bb_width", "bb_position_change_5d"],
+        "features_macro": list(panel.MACRO.values()),
+    }
+
+
+def _all_features() -> list[str]:
+    return [c for columns in _feature_groups().values() for c in columns]
+
+
+def _features_sql() -> str:
+    parts = ", ".join(f"{name} AS ({sql_of(name)})" for name in _feature_groups())
+    joined = "features_price " + " ".join(f"JOIN {name} USING (date, ticker)" for name in list(_feature_groups())[1:])
+    return f"WITH {BARS}, {parts} SELECT date, ticker, b.sector, b.market_type, {', '.join(_all_features())} FROM {joined} JOIN (SELECT date, ticker, sector, market_type FROM bars) b USING (date, ticker)"
+
+
+@query(_features_sql())
 def features_all(spark, sf):
-    """All feature groups in order, raw columns left out; rows only."""
+    """All feature groups in order, as one frame, raw columns and ranks left out."""
     df = panel.build_features(panel.attach_macro(bars(spark, sf), macro(spark, sf)))
-    return filters.without(df, {"open", "high", "low", "close", "volume", "nasdaq_close", "usdkrw"})
+    kept = filters.without(df, {"open", "high", "low", "close", "volume", *_SERIES, *panel.RANKS})
+    return kept.select("date", "ticker", "sector", "market_type", *[F.round(c, DIGITS).alias(c) for c in kept.columns if c not in ("date", "ticker", "sector", "market_type")])
+
+
+@query(
+    f"""WITH {", ".join(f"{name} AS ({sql_of(name)})" for name in _feature_groups())}
+SELECT date, ticker, {", ".join(_r(_rank(c), out) for out, c in panel.RANKS.items())} FROM features_price {" ".join(f"JOIN {name} USING (date, ticker)" for name in list(_feature_groups())[1:])}"""
+)
+def features_ranks(spark, sf):
+    """14 ranks of the date and the technical ones, of values rounded as the other queries show them."""
+    df = panel.build_features(panel.attach_macro(bars(spark, sf), macro(spark, sf)), [g for g in panel.GROUPS if g != "cross_section"])
+    return shown(panel.rank_features(shown(df, sorted(set(panel.RANKS.values())))), list(panel.RANKS))
+
+
+@query(
+    f"""WITH {BARS}, b AS (SELECT ticker, date, CASE WHEN sector = 'S1' THEN NULL ELSE sector END AS sector, market_type, CASE WHEN volume > 4 THEN 'large' END AS cap FROM bars)
+SELECT date, ticker, coalesce(sector, 'unknown') AS sector, market_type, coalesce(cap, 'unknown') AS market_cap_group FROM b"""
+)
+def features_identity(spark, sf):
+    """Section 2.19, identity group."""
+    df = bars(spark, sf).withColumns({"sector": F.when(F.col("sector") != "S1", F.col("sector")), "market_cap_group": F.when(F.col("volume") > 4, "large")})
+    return panel.identity_features(df).select("date", "ticker", "sector", "market_type", "market_cap_group")
 
 
 TARGETS = f"""tg AS (SELECT date AS feature_date, ticker, lead(date, 1) OVER {W_} AS target_date, close AS prev_close, lead(open, 1) OVER {W_} AS o, lead(close, 1) OVER {W_} AS c FROM bars),
@@ -243,13 +293,13 @@ def asof_by_key(spark, sf):
 
 
 @query(
-    """WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem), o AS (SELECT CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS price FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1)
+    """WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem), o AS (SELECT CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS price FROM orders GROUP BY 1)
 SELECT d.date, o.price, o.date AS price_date FROM d ASOF LEFT JOIN o ON d.date >= o.date"""
 )
 def asof_any_age(spark, sf):
     """J7."""
     left = table(spark, sf, "lineitem").select(F.col("l_shipdate").cast("date").alias("date")).distinct()
-    right = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderdate").cast("date").alias("date"), F.col("o_totalprice").alias("price"))
+    right = table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("date"), F.col("o_totalprice").alias("price"))
     return asof.as_of(left, right, "price")
 
 
@@ -270,14 +320,14 @@ def fold_assignment(spark, sf):
 
 
 @query(
-    """SELECT date, max(p) AS purchases, max(s) AS signups FROM (SELECT CAST(ts AS DATE) AS date, sum(value) AS p, NULL::DOUBLE AS s FROM events WHERE event_type = 'purchase' AND user_id % 7 = 0 GROUP BY 1
-UNION ALL SELECT CAST(ts AS DATE), NULL, max(value) FROM events WHERE event_type = 'signup' AND user_id % 11 = 0 GROUP BY 1) WHERE date >= DATE '2024-01-05' GROUP BY date"""
+    """SELECT date, max(p) AS purchases, max(s) AS signups FROM (SELECT CAST(ts AS DATE) AS date, sum(value) AS p, NULL::DOUBLE AS s FROM events WHERE event_type = 'purchase' GROUP BY 1
+UNION ALL SELECT CAST(ts AS DATE), NULL, max(value) FROM events WHERE event_type = 'signup' GROUP BY 1) WHERE date >= DATE '2024-01-05' GROUP BY date"""
 )
 def outer_calendar(spark, sf):
     """J23."""
     e = table(spark, sf, "events").withColumn("date", F.col("ts").cast("date"))
-    p = e.where("event_type = 'purchase' AND user_id % 7 = 0").groupBy("date").agg(F.sum("value").alias("value"))
-    s = e.where("event_type = 'signup' AND user_id % 11 = 0").groupBy("date").agg(F.max("value").alias("value"))
+    p = e.where("event_type = 'purchase'").groupBy("date").agg(F.sum("value").alias("value"))
+    s = e.where("event_type = 'signup'").groupBy("date").agg(F.max("value").alias("value"))
     return asof.outer_calendar({"purchases": p, "signups": s}, "2024-01-05")
 
 

@@ -31,8 +31,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query registered before."""
+    return _SQL[name]
+
+
 def _load() -> None:
-    from . import filings, ledger, market, texts  # noqa: F401
+    from . import filings, ledger, market, serving, storage, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -19,12 +19,11 @@ def truncated_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.truncate(F.replace("text", F.lit("\n"), F.lit(" ")), 60).alias("short"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(lower(trim(substr(text, 1, 40))), '\\([^)]*\\)', '', 'g'), '[^0-9a-z가-힣]', '', 'g') AS k FROM (SELECT doc_id, replace(replace(lower(text), 'corp', ''), 'inc', '') AS text FROM documents)")
+@query("SELECT doc_id, regexp_replace(regexp_replace(lower(trim(text)), '\\([^)]*\\)', '', 'g'), '[^0-9a-z가-힣]', '', 'g') AS k FROM (SELECT doc_id, replace(replace(lower(text), 'corp', ''), 'inc', '') AS text FROM documents)")
 def company_keys(spark, sf):
     """F13."""
     base = F.replace(F.replace(F.lower("text"), F.lit("corp"), F.lit("")), F.lit("inc"), F.lit(""))
-    key = T.company_key(F.substring(base, 1, 40))
-    return table(spark, sf, "documents").select("doc_id", key.alias("k"))
+    return table(spark, sf, "documents").select("doc_id", T.company_key(base).alias("k"))
 
 
 @query(
