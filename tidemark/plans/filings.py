@@ -64,16 +64,31 @@ def filing_snapshots(spark, sf):
     return documents.company_snapshot(reports(spark, sf)).select("corp_code", "rcept_no", "industry")
 
 
-@query()
+@query(
+    f"""SELECT {_NO} AS rcept_no, sum(l_linenumber)::BIGINT AS employees, max(l_linenumber)::DOUBLE AS top_share, max('h' || (l_suppkey % 3)) FILTER (WHERE l_linenumber = m) AS top_holder,
+first('h' || (l_suppkey % 3) ORDER BY l_partkey, l_suppkey) FILTER (WHERE l_linenumber = 2) AS ceo FROM (SELECT *, max(l_linenumber) OVER (PARTITION BY o_orderkey) AS m FROM {_J}) GROUP BY o_orderkey"""
+)
 def filing_people(spark, sf):
-    """A10; rows only."""
-    return documents.people(reports(spark, sf)).select("rcept_no", "employees", "top_holder", "ceo")
-
-
-@query()
+    """A10."""
+    lines = F.try_element_at("structured", F.lit("emplyMttrs"))
+    at = lambda r, n: F.try_element_at(r, F.lit(n))
+    tables = {
+        "emplyMttrs": lambda r: F.create_map(F.lit("sm"), at(r, "ord")),
+        "hyslrSttus": lambda r: F.create_map(F.lit("nm"), at(r, "repror"), F.lit("trmend_posesn_stock_qota_rt"), at(r, "ord")),
+        "exctvSttus": lambda r: F.create_map(F.lit("nm"), at(r, "repror"), F.lit("ofcps"), F.when(at(r, "ord") == "2", "대표이사").otherwise("이사")),
+    }
+    r = reports(spark, sf).withColumn("structured", F.create_map(*[x for n, f in tables.items() for x in (F.lit(n), F.transform(lines, f))]))
+    return documents.people(r).select("rcept_no", "employees", "top_share", "top_holder", "ceo")
+
+
+@query("SELECT CASE WHEN o_orderkey % 10 = 0 OR o_orderkey % 10 = 2 THEN 'ERROR' WHEN o_orderkey % 10 IN (4, 5) THEN 'WARN' ELSE 'OK' END AS severity, o_orderkey % 10 = 1 AS spaced, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1, 2")
 def filing_gate(spark, sf):
-    """D10, F27; rows only."""
-    return documents.gate(reports(spark, sf)).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    """Filings without a company code, with a garbled name, without a name or a date."""
+    r = reports(spark, sf).withColumn("k", F.col("meta.rcept_no").cast("long") % 10)
+    garbled = "삼성전자".encode().decode("latin-1")
+    name = F.when(F.col("k") == 2, garbled).when(F.col("k") == 4, "").when(F.col("k") == 1, F.concat(F.lit(" "), F.col("meta.corp_name"))).otherwise(F.col("meta.corp_name"))
+    meta = F.col("meta").withField("corp_code", F.when(F.col("k") != 0, F.col("meta.corp_code"))).withField("corp_name", name).withField("rcept_dt", F.when(F.col("k") != 5, F.col("meta.rcept_dt")))
+    return documents.gate(r.withColumn("meta", meta)).groupBy("severity", (F.col("k") == 1).alias("spaced")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -94,15 +109,18 @@ def filing_relations(spark, sf):
     return documents.relations(mentions, companies).select("doc_id", "mentioned_name", "resolved_code", F.col("confidence").cast("double").alias("confidence"))
 
 
-@query()
+@query(
+    f"""SELECT lpad((o_custkey % 50)::VARCHAR, 8, '0') AS corp_code, max({_DAY}) AS latest_dt, max_by(o_orderpriority, {_DAY} || {_NO}) AS ceo_nm, '전자부품, 컴퓨터, 영상, 음향 및 통신장비 제조업' AS industry, count(*) AS filings,
+[lpad((o_custkey % 50)::VARCHAR, 6, '0')] AS related FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY o_custkey % 50"""
+)
 def filing_context(spark, sf):
-    """J17, A22, W25, W26, X12; rows only."""
+    """J17, A22, W25, W26, X12."""
     r = reports(spark, sf)
     snapshots = documents.company_snapshot(r)
     summaries = documents.summary_documents(r).where("rag_doc_type = 'summary_card'").withColumn("rcept_dt", F.lit("20200101"))
     relations = documents.registry(r).select("corp_code", F.col("stock_code").alias("resolved_code"))
     market = documents.registry(r).groupBy("corp_code").agg(F.count(F.lit(1)).alias("filings"))
-    return documents.company_context(documents.registry(r), snapshots, summaries, relations, market).select("corp_code", "latest_dt", "ceo_nm", "industry", "filings")
+    return documents.company_context(documents.registry(r), snapshots, summaries, relations, market).select("corp_code", "latest_dt", "ceo_nm", "industry", "filings", F.col("related_corp_codes").alias("related"))
 
 
 @query("SELECT o_orderkey % 1000 AS event_id, max(floor(o_totalprice))::BIGINT AS amount FROM orders GROUP BY 1")

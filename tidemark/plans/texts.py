@@ -168,10 +168,14 @@ def vector_post_filter(spark, sf):
     return vectors.top_k_then_filter(e, list(e.where("vec_id = 1").first()["embedding"]), 20, F.col("label") % 2 == 0).select("vec_id", "score")
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all('passage: ' || coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS token FROM documents), c AS (SELECT doc_id, ('0x' || right(sha1(token), 2))::INT % 64 AS i, count(*) AS n FROM t GROUP BY 1, 2),
+m AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY 1) SELECT doc_id, i::INT AS i, round(n / norm, 6) AS x FROM c JOIN m USING (doc_id)"""
+)
 def hash_embeddings(spark, sf):
-    """Rows only."""
-    return table(spark, sf, "documents").select("doc_id", vectors.hash_embedding(vectors.passage(F.col("text")), 64).alias("embedding"))
+    """The places of each text's vector that are not 0."""
+    e = table(spark, sf, "documents").select("doc_id", F.posexplode(vectors.hash_embedding(vectors.passage(F.coalesce("text", F.lit(""))), 64)).alias("i", "x"))
+    return e.where("x <> 0").withColumn("x", F.round("x", 6))
 
 
 @query()
@@ -187,16 +191,41 @@ def html_lists(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.posexplode(readers.html_rows(F.col("html"))).alias("i", "row")).select("page_id", "i", F.size("row.cells").alias("cells"), "row.link")
 
 
-@query()
+_REPORT_TEXTS = """t AS (SELECT o_orderkey, o_orderkey % 6 AS k, (1 + o_custkey % 900) * 1000 AS price, (100000 + o_custkey)::VARCHAR AS stock, 1 + o_custkey % 900 AS a, 1 + o_custkey % 90 AS b FROM orders)"""
+
+
+@query(
+    f"""WITH {_REPORT_TEXTS} SELECT o_orderkey, ['BUY', 'HOLD', 'SELL', 'NOT_RATED', 'BUY', NULL][1 + k] AS opinion, CASE WHEN k IN (0, 4) THEN price WHEN k = 1 THEN price * 10 END AS target_price, CASE WHEN k <= 1 THEN 20000 END AS current_price,
+CASE WHEN k IN (0, 1, 4) THEN '["' || stock || '"]' ELSE '[]' END AS codes, CASE WHEN k IN (0, 1, 4) THEN stock WHEN k = 5 THEN '005930' END AS code,
+CASE WHEN k = 3 THEN '{{"revenue_mentions":["' || a || '"],"op_profit_mentions":["' || b || '"]}}' END AS estimates, CASE WHEN k = 0 THEN (price - 20000) / 200.0 WHEN k = 1 THEN (price * 10 - 20000) / 200.0 END::DOUBLE AS upside_pct FROM t"""
+)
 def structured_reports(spark, sf):
-    """Fields of report texts made from orders; rows only, as look-behind has no SQL form."""
-    k = F.col("o_orderkey") % 5
-    text = F.when(k == 0, "투자의견 매수(유지) 목표주가 85,000원 현재주가 70,000원 (005930)").when(k == 1, "Neutral, TP 2.5만원, 현재주가: 20,000원 [000660]").when(k == 2, "목표주가 괴리율 12% SELL").when(k == 3, "Not Rated 매출액 1,234억원 영업이익 56억원").otherwise("12개월 목표주가 120,000원 Outperform 002020")
-    o = table(spark, sf, "orders").select("o_orderkey", text.alias("text"))
-    out = o.select("o_orderkey", *T.structured(F.col("text"), F.lit(None).cast("string")))
+    """Fields of report texts that state an order's numbers in six ways."""
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 6).alias("k"), ((1 + F.col("o_custkey") % 900) * 1000).cast("long").alias("price"), (100000 + F.col("o_custkey")).cast("string").alias("stock"), (1 + F.col("o_custkey") % 900).cast("int").alias("a"), (1 + F.col("o_custkey") % 90).cast("int").alias("b"))
+    k, price, stock = F.col("k"), F.format_number("price", 0), F.col("stock")
+    text = (
+        F.when(k == 0, F.concat(F.lit("투자의견 매수(유지) 목표주가 "), price, F.lit("원 현재주가 20,000원 ("), stock, F.lit(")")))
+        .when(k == 1, F.concat(F.lit("Neutral, TP "), F.format_string("%.1f", F.col("price") / 1000), F.lit("만원, 현재주가: 20,000원 ["), stock, F.lit("]")))
+        .when(k == 2, F.lit("목표주가 괴리율 12% SELL"))
+        .when(k == 3, F.format_string("Not Rated 매출액 %d억원 영업이익 %d억원", "a", "b"))
+        .when(k == 4, F.concat(F.lit("12개월 목표주가 "), price, F.lit("원 Outperform "), stock))
+        .otherwise(F.lit("오늘의 시장"))
+    )
+    out = o.select("o_orderkey", *T.structured(text, F.when(k == 5, "A005930"))).drop("text_len")
     return out.withColumn("upside_pct", T.upside(F.col("target_price"), F.col("current_price")))
 
 
+@query(
+    """SELECT o_orderkey, 4 + (o_orderkey % 2)::INT AS lines, 'Title ' || o_orderkey || chr(10) || '매출액' || CASE WHEN o_orderkey % 2 = 1 THEN chr(10) || 'Body text' ELSE '' END AS narrative, '매출액: ' || (o_orderkey % 900 + 1) || ', 5.6%' AS signal FROM orders"""
+)
+def report_signals(spark, sf):
+    """F8-F12 on report pages that are made of orders."""
+    k = F.col("o_orderkey")
+    page = F.concat(F.lit("Title "), k.cast("string"), F.lit("\n1/12\n매출액\n"), (k % 900 + 1).cast("string"), F.lit("\n5.6%\n"), F.when(k % 2 == 1, "Body text\n").otherwise(""), F.lit("Compliance Notice\nleft out"))
+    lines = table(spark, sf, "orders").select("o_orderkey", T.report_lines(page).alias("l"))
+    return lines.select("o_orderkey", F.size("l").alias("lines"), T.narrative(F.col("l"), 2000).alias("narrative"), T.table_signal(F.col("l"), 1000).alias("signal"))
+
+
 @query()
 def report_lines(spark, sf):
     """Cleaned lines, narrative and table signal; rows only."""
