@@ -11,7 +11,9 @@ of documents.
 5. packing: what is left as pieces of training sequences.
 
 Defined results: null and empty texts pass stages 1 to 3 unchanged and have no words to take in 4;
-an empty table passes through; extra columns are not carried.
+rows with a null doc_id pass stages 1 to 3; rows repeated under one doc_id all stay, or go together;
+ties go to the smallest doc_id; very long texts are treated whole; an empty table passes through; extra
+columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Hashing, learning and tokenising have no SQL form; tests compare the stages with brute force.
+#: Learning and tokenising have no SQL form; a test compares run() with brute force on a small table.
 ORACLE_SQL = None
 
 
