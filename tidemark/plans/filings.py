@@ -91,6 +91,38 @@ def filing_gate(spark, sf):
     return documents.gate(r.withColumn("meta", meta)).groupBy("severity", (F.col("k") == 1).alias("spaced")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"""WITH r AS (SELECT {_NO} AS rcept_no, '회사' || (o_custkey % 50) || '. 보고서 ' || o_orderpriority || ', 접수일 ' || {_DAY} AS card, o_orderpriority AS body, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders)
+SELECT rcept_no, 'summary_card' AS rag_doc_type, 1 AS lines, card AS first_line FROM r WHERE n > 0 UNION ALL SELECT rcept_no, 'document_text', 1, body FROM r WHERE n > 0 UNION ALL SELECT rcept_no, 'financial_summary', n, '계정' FROM r WHERE n > 0"""
+)
+def filing_summaries(spark, sf):
+    """The texts of a filing that are cut into chunks."""
+    lines = F.split("text", "\n")
+    first = F.when(F.col("rag_doc_type") == "financial_summary", F.substring("text", 1, 2)).otherwise(F.get(lines, F.lit(0)))
+    return documents.summary_documents(reports(spark, sf)).select("rcept_no", "rag_doc_type", F.size(lines).alias("lines"), first.alias("first_line"))
+
+
+@query(f"SELECT 'dart:00000001:' || {_NO} || ':event:' || substr(sha1(o_orderpriority), 1, 8) || ':' || lpad((o_orderkey % 500)::VARCHAR, 3, '0') AS chunk_id FROM orders")
+def chunk_ids(spark, sf):
+    """Ids of chunks that come from keyed records."""
+    o = table(spark, sf, "orders")
+    return o.select(documents.keyed_chunk_id(F.lit("00000001"), F.lpad(F.col("o_orderkey").cast("string"), 14, "0"), F.lit("event"), F.col("o_orderpriority"), (F.col("o_orderkey") % 500).cast("int")).alias("chunk_id"))
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey, l_linenumber, max(l_quantity)::BIGINT AS q FROM lineitem GROUP BY 1, 2)
+SELECT o_orderkey AS rcept_no, max(q) FILTER (WHERE l_linenumber = 1)::VARCHAR AS financials, max(q) FILTER (WHERE l_linenumber = 3)::VARCHAR AS event_reports, count(*) FILTER (WHERE l_linenumber = 5)::INT AS securities FROM orders LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY 1"""
+)
+def assembled_filings(spark, sf):
+    """A marker with its artifacts of five kinds."""
+    kinds = F.array(*[F.lit(k) for k in ("financials", "structured", "event_reports", "ownership", "securities")])
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("rcept_no"), "l_linenumber").agg(F.max("l_quantity").cast("long").cast("string").alias("q"))
+    artifacts = lines.where("l_linenumber <= 5").select("rcept_no", F.get(kinds, F.col("l_linenumber").cast("int") - 1).alias("kind"), F.lit("x").alias("name"), F.array(F.create_map(F.lit("q"), F.col("q"))).alias("records"))
+    whole = documents.assemble(table(spark, sf, "orders").select(F.col("o_orderkey").alias("rcept_no")), artifacts)
+    first = lambda c: F.try_element_at(F.get(F.try_element_at(F.col(c), F.lit("x")), F.lit(0)), F.lit("q"))
+    return whole.select("rcept_no", first("financials").alias("financials"), first("event_reports").alias("event_reports"), F.coalesce(F.size(F.map_keys("securities")), F.lit(0)).alias("securities"))
+
+
 @query()
 def filing_chunks(spark, sf):
     """D7, D8, D11; rows only."""

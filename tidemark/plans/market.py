@@ -512,6 +512,12 @@ def daily_report(spark, sf):
     return portfolio.daily_report(_scored(spark, sf)).select("date", "ticker", "rank", "rank_text", "percentile", "score_100")
 
 
+@query(f"WITH {BARS} SELECT date, ticker, {_r(f'close / nullif(({_l("close", 1)}), 0) - 1', 'raw_return')} FROM bars")
+def raw_returns(spark, sf):
+    """Against the row before, not lagged."""
+    return shown(bars(spark, sf).withColumn("raw_return", W.pct_change(F.col("close"), W.series())), ["raw_return"])
+
+
 @query(f"WITH {BARS}, g AS (SELECT date, ticker, CASE WHEN volume >= 3 THEN close END AS x FROM bars) SELECT date, ticker, last_value(x IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM g")
 def forward_fill(spark, sf):
     """W13."""

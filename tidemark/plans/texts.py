@@ -158,6 +158,17 @@ def vector_multi_query(spark, sf):
     return vectors.top_k_per_query(e, e.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5).select("query_id", "vec_id", "score", "rank")
 
 
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id IN (0, 1, 2)), s AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip(embedding, q), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 4) AS score FROM embeddings, q),
+k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10) SELECT vec_id, query_id, score FROM k QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY query_id, score DESC) = 1"""
+)
+def vector_merged_hits(spark, sf):
+    """V4: max(10, 20 / queries) per query, each vector once."""
+    e = table(spark, sf, "embeddings")
+    hits = vectors.top_k_per_query(e, e.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 0)
+    return vectors.merged_hits(hits).select("vec_id", "query_id", "score")
+
+
 @query(
     """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 1), s AS (SELECT vec_id, label, round(list_sum(list_transform(list_zip(embedding, q), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 4) AS score FROM embeddings, q), k AS (SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 20)
 SELECT vec_id, score FROM k WHERE label % 2 = 0"""
