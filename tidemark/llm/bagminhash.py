@@ -32,11 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix64, shingle_starts, prefix_hash, range_hash, ship, text_slices, word_bounds, word_hashes, written
-from .components import components
+from .common import discard, fresh, mix64, shingle_starts, prefix_hash, range_hash, ship, text_slices, word_bounds, word_hashes, written
+from .components import apart, components
 
 #: Signature places, bands and places per band.
 BANDS, ROWS = 32, 4
@@ -166,6 +166,8 @@ def links_within(ids: np.ndarray, items: list[np.ndarray], threshold: float, spl
     out = []
     for i in range(len(ids) if split is None else split):
         begin = i + 1 if split is None else split
+        if (label == label[0]).all():
+            break
         if begin >= len(ids) or (label[begin:] == label[i]).all():
             continue
         near = np.flatnonzero(overlaps(i, codes, ends, mark, lengths)[begin:] >= threshold) + begin
@@ -236,6 +238,8 @@ def candidates(keyed: DataFrame, threshold: float) -> DataFrame:
             for a, b in zip(cut[:-1][size > 2], cut[1:][size > 2]):
                 label = np.arange(b - a)
                 for i in range(b - a - 1):
+                    if i % 64 == 0 and (label == label[0]).all():
+                        break
                     rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
                     if not len(rest):
                         continue
@@ -275,8 +279,9 @@ def _compared(sent: DataFrame, items: DataFrame, keys: list[str], threshold: flo
 def confirmed(items: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
     """The candidate pairs (u, v) of ``edges`` that are links: each document with its own pairs, in blocks."""
     sizes = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)"))
+    # documents with very many pairs are split over tasks
     ask = sizes.select(F.col("u").alias("star"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("u").alias("id"), F.lit(0).alias("side"))
-    told = edges.join(sizes, "u").select(F.col("u").alias("star"), F.expr("cast(pmod(xxhash64(v), blocks) as int)").alias("block"), F.col("v").alias("id"), F.lit(1).alias("side"))
+    told = edges.join(apart(sizes, "u", "k"), F.col("u") == F.col("k")).select(F.col("u").alias("star"), F.expr("cast(pmod(xxhash64(v), blocks) as int)").alias("block"), F.col("v").alias("id"), F.lit(1).alias("side"))
     # parts of their own, so that nothing counts as joined
     return _compared(ask.union(told).withColumn("part", F.col("id")), items, ["star", "block"], threshold)
 
@@ -291,7 +296,7 @@ def remaining(items: DataFrame, parts: DataFrame, threshold: float) -> DataFrame
     sizes = parts.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n"))
     groups = sizes.groupBy("component").agg(F.sum("n").alias("members"), F.max(F.struct("n", "part")).alias("major"), F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1")
     groups = groups.select("component", F.col("major.part").alias("major"), F.expr(f"cast(ceil((members - major.n) / {BLOCK}) as int)").alias("p"), F.expr(f"cast(ceil(major.n / {BLOCK}) as int)").alias("q"))
-    placed = parts.join(groups, "component").withColumn("own", F.expr("if(part = major, p + pmod(xxhash64(id), q), pmod(xxhash64(id), p))").cast("int"))
+    placed = parts.join(apart(groups, "component", "k"), F.col("component") == F.col("k")).withColumn("own", F.expr("if(part = major, p + pmod(xxhash64(id), q), pmod(xxhash64(id), p))").cast("int"))
     others = F.explode(F.expr("transform(sequence(0, if(part = major, p, p + q) - 1), j -> struct(least(own, j) AS i, greatest(own, j) AS j))"))
     sent = placed.withColumn("at", others).select("id", "component", "at.i", "at.j", F.col("own").alias("side"), "part")
     # where one of two blocks is empty, the other one is compared with itself once more, which finds nothing new
@@ -304,11 +309,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     facts = written(describe(docs, k), "signatures")
     classes = facts.where("bag IS NOT NULL").groupBy("bag").agg(F.min("doc_id").alias("class_id"))
-    named = written(facts.select("doc_id", "n_shingles", "bag").join(classes, "bag", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
-    heads = facts.where("bag IS NOT NULL").join(classes, "bag").where("doc_id = class_id").dropDuplicates(["bag"])
+    classes = classes.select(F.substring("bag", 1, 16).alias("k"), "class_id")  # as ``apart`` does, for very many copies of one text
+    named = written(facts.select("doc_id", "n_shingles", "bag").join(classes, F.col("bag") == F.col("k"), "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
+    heads = facts.where("bag IS NOT NULL").join(classes, F.col("bag") == F.col("k")).where("doc_id = class_id").dropDuplicates(["bag"])
     heads = written(heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "low", "bands"), "heads")
+    discard(facts)
     # buckets are found without the signatures' bytes, which then join the rows of shared buckets only
-    bucketed = heads.select("id", F.explode("bands").alias("bucket")).withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("members > 1")
+    bucketed = heads.select("id", F.explode("bands").alias("bucket"))
+    shared = apart(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "bucket", "k")
+    bucketed = bucketed.join(shared, F.col("bucket") == F.col("k"), "left_semi")
     keyed = bucketed.select("id", "bucket").join(heads.select("id", "n", "low"), "id")
     edges = written(candidates(keyed, threshold), "pairs")
     labels = written(components(edges), "candidates")
@@ -316,6 +325,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     items = expanded(docs.join(wanted, docs["doc_id"] == wanted["id"]).select("id", "text").dropDuplicates(["id", "text"]), k)
     items = written(items.where("octet_length(items) > 0"), "items")  # an id may have several texts, some without words
     near = written(confirmed(items, edges, threshold), "links")
+    discard(edges)
     parts = labels.join(components(near).withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
     more = remaining(items, written(parts, "parts"), threshold)
     joined = components(near.union(more)).withColumnsRenamed({"id": "class_id", "component": "_component"})
