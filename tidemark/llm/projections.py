@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship, written
-from .components import components
+from .components import apart, components
 
 EXACT, WINDOW, BLOCK, MISS = 1 << 14, 2048, 2048, 1e-4
 
@@ -97,7 +97,8 @@ def neighbour_links(heads: DataFrame, passes: int, bits: int, threshold: float,
     # keys travel without the vectors, which then join the rows of shared keys only
     keyed = written(heads.select("id", "vec").mapInArrow(keys, "part long, key long, id long"), "keys")
     sizes = keyed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = keyed.join(sizes, ["part", "key"]).withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    sizes = apart(sizes.withColumnRenamed("part", "of"), "key", "k")  # crowded keys may be split
+    placed = keyed.join(sizes, (F.col("part") == F.col("of")) & (F.col("key") == F.col("k"))).withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     others = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
     sent = placed.withColumn("at", others).select("part", "key", "at.i", "at.j", "own", "id").join(heads.select("id", "vec"), "id")
     return sent.groupBy("part", "key", "i", "j").applyInArrow(compare, "u long, v long")
@@ -106,8 +107,8 @@ def neighbour_links(heads: DataFrame, passes: int, bits: int, threshold: float,
 def link_counts(heads: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """(id, links): rows, over all of its component, that each id links to; heads has (id, vec, rows)."""
     member = written(heads.join(labels, "id"), "members")
-    sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    placed = member.join(sizes, "component").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    sizes = apart(member.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component", "k")  # large components may be split
+    placed = member.join(sizes, F.col("component") == F.col("k")).withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     from_side = placed.select("component", F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("asks"), "id", "vec", "rows")
     to_side = placed.select("component", every.alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"), "id", "vec", "rows")
