@@ -141,14 +141,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first): words are maximal runs of bytes other than space and 9 to 13 within one
-    document; first[i] is the number of words before document i."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first): words are maximal runs of bytes other than those of ``gap``, space and 9 to 13
+    unless given, within one document; first[i] is the number of words before document i."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    word = ~_SPACE[data]
+    word = ~gap[data]
     inside = offsets[(offsets > 0) & (offsets < n)]
     begin = word.copy()
     begin[1:] &= ~word[:-1]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bloomlm, debruijn, lengths, media, mixing, packing, projections, suffixes, toxicity
+from . import annular, bagminhash, bloomlm, debruijn, gracehash, lengths, maxtree, media, mixing, packing, projections, suffixes, toxicity
 from .common import read
 
 
@@ -51,6 +51,18 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gracehash.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxtree.search(maxtree.index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annular.compressed(read(spark, sf_dir, "embeddings"))
+
+
 OP6_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -76,6 +88,71 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
+OP11_SQL = r"""
+WITH plain AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content FROM documents),
+ranked AS (
+  SELECT *, row_number() OVER w AS nth, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY content) AS group_size
+  FROM plain WINDOW w AS (PARTITION BY content ORDER BY points DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(content) AS text_sha256 FROM ranked
+"""
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM docs GROUP BY doc_id),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sizes),
+tfs AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM docs GROUP BY doc_id, term),
+dfs AS (SELECT term, count(*)::BIGINT AS df FROM tfs GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weighed AS (
+  SELECT item_id, term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM asked JOIN dfs USING (term), totals),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM weighed JOIN tfs USING (term) JOIN sizes USING (doc_id), totals GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def _op13_sql(rounds: int = 4) -> str:
+    """Every round of assignment and means, with all distances."""
+    out = r"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS MATERIALIZED (
+  SELECT r, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS x FROM kept, range(4) t(p)),
+book0 AS MATERIALIZED (
+  SELECT p, r - 1 AS c, x AS e FROM parts WHERE r <= 256)"""
+    assign = """,
+near{i} AS MATERIALIZED (
+  SELECT r, p, x, min((d, c)) AS best FROM (
+    SELECT r, a.p, x, c, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(x, e)])::BIGINT AS d FROM parts a JOIN book{i} b ON a.p = b.p)
+  GROUP BY r, p, x)"""
+    means = """,
+sums{i} AS (
+  SELECT p, c, list(floor(s::DOUBLE / n)::BIGINT ORDER BY k) AS e FROM (
+    SELECT p, best[2] AS c, k, sum(x[k]) AS s, count(*) AS n FROM near{i}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS k) GROUP BY p, best[2], k) GROUP BY p, c),
+book{j} AS MATERIALIZED (
+  SELECT p, c, coalesce(s.e, b.e) AS e FROM book{i} b LEFT JOIN sums{i} s USING (p, c))"""
+    for i in range(rounds):
+        out += assign.format(i=i) + means.format(i=i, j=i + 1)
+    out += assign.format(i=rounds) + f""",
+coded AS (
+  SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM near{rounds} GROUP BY r),
+mark AS (
+  SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, c)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), mark
+"""
+    return out
+
+
+OP13_SQL = _op13_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
@@ -87,5 +164,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_media": op9_media,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op11_exact_dedup": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_vector_codes": OP13_SQL}
