@@ -14,10 +14,12 @@ looked up among those of the level by hash and compared byte by byte. Then the b
 and levels of like size merge. Matches are spans in document coordinates; a document's spans meet in
 a join with its text.
 
-A task settles contexts that it has itself seen earlier, by 64-bit hash; they go straight to their
-documents, so very common passages and long runs of one byte reach a partition about once per task.
+A task settles contexts that it has itself seen earlier; they go straight to their documents, so very
+common passages and long runs of one byte reach a partition about once per task. They are found by hash;
+then contexts of one slice are compared byte by byte, and with those of slices before by 128-bit digests of
+their bytes. What differs travels to its partition like the others.
 Partitions grow in number with the input; nothing is collected or broadcast. Long texts are indexed
-in overlapping pieces.
+in overlapping pieces; places in a text are 31-bit numbers, as a value of Spark holds at most 2 GB.
 
 Defined results: null, empty and short texts have no window and stay; rows with a null doc_id stay
 and are no source; rows with one doc_id are one document with two texts, so equal places are never
@@ -27,6 +29,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, packed, prefix_hash, range_hash, shingle_starts, ship, text_pieces, text_slices, unpacked
-from .debruijn import _local, _runs, sliding_least
+from .debruijn import _runs, sliding_least
 
 SPAN, EDGE = 100, 16
 PARTITION_BYTES = 4_000_000
@@ -280,6 +283,23 @@ def repeats(doc: np.ndarray, place: np.ndarray, suffix: np.ndarray, size: np.nda
     return family.settled(context, window, whole)
 
 
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes from a are those from b."""
+    out = np.empty(len(a), bool)
+    for at in range(0, len(a), 1 << 13):
+        i = slice(at, at + (1 << 13))
+        first = np.cumsum(n[i]) - n[i]
+        step = np.arange(n[i].sum()) - np.repeat(first, n[i])
+        out[i] = ~np.logical_or.reduceat(data[np.repeat(a[i], n[i]) + step] != data[np.repeat(b[i], n[i]) + step], first)
+    return out
+
+
+def _digests(data: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """128 bits of each context's bytes."""
+    raw = data.tobytes() if len(begin) else b""
+    return np.array([hashlib.blake2b(raw[a : a + m], digest_size=16).digest() for a, m in zip(begin.tolist(), n.tolist())], dtype="V16")
+
+
 #: What travels of each context, in this order, before all their contents.
 _KINDS = {"docs": np.int64, "marks": np.uint32, "places": np.int32, "suffixes": np.uint8, "sizes": np.uint8}
 
@@ -315,28 +335,40 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataF
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 3, (pa.int32(), pa.int64(), pa.binary()))], ["part", "n", "packed"])
 
-        seen: dict[str, np.ndarray] = {"key": np.zeros(0, np.uint64), "doc": np.zeros(0, np.int64)}
+        seen: dict[str, np.ndarray] = {"key": np.zeros(0, np.uint64), "doc": np.zeros(0, np.int64), "digest": np.zeros(0, "V16")}
         for batch, start, data, offsets in text_pieces(batches, span - 1):
             ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
-            begin, size, suffix, row, first, whole = contexts(data, offsets, span, edge)
+            begin, size, suffix, row, head, whole = contexts(data, offsets, span, edge)
             if not len(begin):
                 continue
             doc, place = ids[row], begin - offsets[row] + start[row]
             rank = _ranked(doc, place + suffix - begin)
-            settled = rank > _local(whole, rank)
+            by = np.lexsort((rank, whole))
+            group = np.flatnonzero(np.r_[True, whole[by][1:] != whole[by][:-1]])
+            first = np.empty(len(by), np.int64)
+            first[by] = np.repeat(by[group], np.diff(np.r_[group, len(by)]))
+            length = size + span - 1
+            settled = rank > rank[first]
+            c = np.flatnonzero(settled)
+            settled[c] = (size[c] == size[first[c]]) & (suffix[c] - begin[c] == suffix[first[c]] - begin[first[c]])
+            c = c[settled[c]]
+            settled[c] = _same_bytes(data, begin[c], begin[first[c]], length[c])
             if len(seen["key"]):
                 found = np.minimum(np.searchsorted(seen["key"], whole), len(seen["key"]) - 1)
-                settled |= (seen["key"][found] == whole) & (seen["doc"][found] < doc)
-            again, where = np.unique(whole[settled], return_index=True)
-            least = _local(whole, doc)[settled][where]
-            key = np.r_[seen["key"], again]
-            both = np.r_[seen["doc"], least]
+                c = np.flatnonzero(~settled & (seen["key"][found] == whole) & (seen["doc"][found] < doc))
+                settled[c] = seen["digest"][found[c]] == _digests(data, begin[c], length[c])
+            # those that have come twice are worth remembering, each with its least document
+            again = np.unique(first[settled])
+            again = again[~settled[again] | (first[again] == again)]
+            key = np.r_[seen["key"], whole[again]]
+            both = np.r_[seen["doc"], doc[again]]
+            digest = np.concatenate([seen["digest"], _digests(data, begin[again], length[again])])
             if len(key) > _SEEN:
-                key, both = again[:_SEEN], least[:_SEEN]
+                key, both, digest = (x[len(seen["key"]) :][:_SEEN] for x in (key, both, digest))
             order = np.lexsort((both, key))
-            key, both = key[order], both[order]
+            key, both, digest = key[order], both[order], digest[order]
             new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-            seen = {"key": key[new], "doc": both[new]}
+            seen = {"key": key[new], "doc": both[new], "digest": digest[new]}
             # settled contexts that follow one another are one span, which need not pass its partition
             c = np.flatnonzero(settled)
             if len(c):
@@ -345,7 +377,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataF
                 c = c[cut]
                 spans = {"docs": doc[c], "marks": marks[row[c]], "starts": place[c], "counts": total_}
                 held.setdefault(-1 - int(mix64(doc[c[:1]].astype(np.uint64))[0] % np.uint64(parts)), []).append(({k: v.astype(_SPANS[k]) for k, v in spans.items()}, b""))
-            part = ((mix64(first) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            part = ((mix64(head) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             order = np.flatnonzero(~settled)
             order = order[np.argsort(part[order], kind="stable")]
             of = part[order]
