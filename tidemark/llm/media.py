@@ -4,7 +4,9 @@ An Aho-Corasick automaton finds magic bytes and end marks in each value, in one
 format confirms structure and lengths at each place. A valid object at the start decides the type,
 whatever was declared; valid objects further on, outside one another, are carved. Validators follow
 the length fields of a format and never trust them beyond the value's end. Those that walk from block
-to block share where walks have failed, so a value full of magic bytes is still walked about once.
+to block share what they have walked: where walks have failed, the chain of blocks that WAV objects follow,
+and the checksums of long PNG blocks, which come from those of the value's beginnings. So a value full of magic
+bytes is still walked about once.
 
 Defined results: null values have a null type and nothing carved; empty and unknown ones the type
 'application/octet-stream' unless the declared type has no validator here, which is then kept; a value
@@ -38,6 +40,8 @@ class Value:
     def __init__(self) -> None:
         self.ends: dict[bytes, list[int]] = {mark: [] for mark in ENDS}
         self.dead: set[tuple] = set()
+        self.chain: dict[int, tuple[int, int, int, int, int]] = {}
+        self.begun: list[int] = []
 
     def next(self, mark: bytes, at: int) -> int:
         places = self.ends[mark]
@@ -51,6 +55,87 @@ class Value:
     def failed(self, way: list[tuple]) -> None:
         self.dead.update(way)
 
+    def checksum(self, b: bytes, at: int, to: int) -> int:
+        """crc32 of b[at:to]; that of a long piece is what b[:to]'s holds beyond b[:at]'s."""
+        if to - at <= STEP:
+            return zlib.crc32(b[at:to])
+        return self._before(b, to) ^ _moved(self._before(b, at), to - at)
+
+    def _before(self, b: bytes, to: int) -> int:
+        """crc32 of b[:to]."""
+        while len(self.begun) <= to // STEP:
+            n = len(self.begun)
+            self.begun.append(zlib.crc32(b[(n - 1) * STEP : n * STEP], self.begun[-1]) if n else 0)
+        return zlib.crc32(b[to // STEP * STEP : to], self.begun[to // STEP])
+
+    def blocks(self, b: bytes, at: int) -> None:
+        """Enter the chain of RIFF blocks from ``at`` on: for each the next one, one further on whose
+        distance makes any search along the chain logarithmic, its depth from the end, and how many 'fmt '
+        and 'data' blocks lie from it to the end."""
+        new = []
+        while at not in self.chain:
+            new.append(at)
+            if at + 8 > len(b):
+                break
+            n = struct.unpack_from("<I", b, at + 4)[0]
+            at += 8 + n + n % 2
+        for here in reversed(new):
+            if here + 8 > len(b):
+                self.chain[here] = (here, here, 0, 0, 0)
+                continue
+            n = struct.unpack_from("<I", b, here + 4)[0]
+            after = here + 8 + n + n % 2
+            _, far, depth, formats, data = self.chain[after]
+            beyond = self.chain[far]
+            # equal jumps before merge into one of twice the length
+            jump = beyond[1] if depth - beyond[2] == beyond[2] - self.chain[beyond[1]][2] else after
+            kind = b[here : here + 4]
+            self.chain[here] = (after, jump, depth + 1, formats + (kind == b"fmt "), data + (kind == b"data"))
+
+    def leads(self, at: int, end: int) -> bool:
+        """Whether blocks from ``at`` on end exactly at ``end`` and hold both a 'fmt ' and a 'data' one."""
+        here = at
+        while here < end:
+            after, jump, depth, _, _ = self.chain[here]
+            if not depth:
+                return False
+            here = jump if jump <= end else after
+        if here != end:
+            return False
+        first, last = self.chain[at], self.chain[end]
+        return first[3] > last[3] and first[4] > last[4]
+
+
+#: Bytes between the places whose checksums are kept; shorter pieces are read anew.
+STEP = 4096
+_POLYNOMIAL = 0xEDB88320
+
+
+def _product(a: int, b: int) -> int:
+    """Of two polynomials over GF(2), modulo that of crc32, whose highest coefficients are the lowest bits."""
+    out = 0
+    for i in range(31, -1, -1):
+        if a >> i & 1:
+            out ^= b
+        b = b >> 1 ^ _POLYNOMIAL if b & 1 else b >> 1
+    return out
+
+
+@lru_cache(maxsize=64)
+def _square(i: int) -> int:
+    """x ** (2 ** i)."""
+    return 1 << 30 if i == 0 else _product(_square(i - 1), _square(i - 1))
+
+
+def _moved(crc: int, n: int) -> int:
+    """A checksum's part in that of a text that goes on for ``n`` bytes."""
+    out, i = crc, 3
+    while n:
+        if n & 1:
+            out = _product(_square(i), out)
+        n, i = n >> 1, i + 1
+    return out
+
 
 def _wav(b: bytes, at: int, value: Value) -> int | None:
     if len(b) < at + 12 or b[at + 8 : at + 12] != b"WAVE":
@@ -58,25 +143,24 @@ def _wav(b: bytes, at: int, value: Value) -> int | None:
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
     if end > len(b):
         return None
-    here, seen = at + 12, set()
-    while here + 8 <= end:
-        seen.add(b[here : here + 4])
-        here += 8 + (n := struct.unpack_from("<I", b, here + 4)[0]) + n % 2
-    return end if here == end and {b"fmt ", b"data"} <= seen else None
+    value.blocks(b, at + 12)
+    return end if value.leads(at + 12, end) else None
 
 
 def _png(b: bytes, at: int, value: Value) -> int | None:
-    here = at + 8
+    here, way = at + 8, []
     if b[here + 4 : here + 8] != b"IHDR":
         return None
-    while here + 12 <= len(b):
-        n = struct.unpack_from(">I", b, here)[0]
-        if here + 12 + n > len(b) or zlib.crc32(b[here + 4 : here + 8 + n]) != struct.unpack_from(">I", b, here + 8 + n)[0]:
-            return None
-        here += 12 + n
-        if b[here - 8 - n : here - 4 - n] == b"IEND":
-            return here
-    return None
+    while here + 12 <= len(b) and value.alive(("png", here), way):  # lengths first, which cost nothing
+        here += 12 + struct.unpack_from(">I", b, here)[0]
+        if here <= len(b) and b[(last := way[-1][1]) + 4 : last + 8] == b"IEND":
+            break
+    else:
+        return value.failed(way)
+    for i, ((_, start), end) in enumerate(zip(way, [*(x for _, x in way[1:]), here])):
+        if value.checksum(b, start + 4, end - 4) != struct.unpack_from(">I", b, end - 4)[0]:
+            return value.failed(way[: i + 1])  # what follows may be part of another object
+    return here
 
 
 def _bmp(b: bytes, at: int, value: Value) -> int | None:
