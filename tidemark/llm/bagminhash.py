@@ -43,6 +43,8 @@ BANDS, ROWS = 32, 4
 PLACES = BANDS * ROWS
 #: Documents that one task compares with one another or with as many others.
 BLOCK = 1024
+#: Members of a bucket whose signatures one task compares with one another or with as many others.
+BUCKET = 4096
 
 
 def bags(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,35 +214,51 @@ def _bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.r_[np.flatnonzero(new), table.num_rows]
 
 
-def _sorted_by(df: DataFrame, keys: list[str]) -> DataFrame:
+def _sorted_by(df: DataFrame, keys: list[str], *then: str) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).sortWithinPartitions(*keys)
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *then)
+
+
+def blocked(bucketed: DataFrame) -> DataFrame:
+    """The rows of buckets with several members, with the two blocks (i, j) that they are compared in and
+    their own one (side); a bucket that is one block stays whole. ``bucketed`` has (bucket, id)."""
+    sizes = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    sizes = apart(sizes.select("bucket", F.expr(f"cast(ceil(members / {BUCKET}) as int)").alias("blocks")), "bucket", "k")
+    placed = bucketed.join(sizes, F.col("bucket") == F.col("k")).withColumn("side", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    others = F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(side, x) AS i, greatest(side, x) AS j))"))
+    return placed.withColumn("at", others).select(*bucketed.columns, "at.i", "at.j", "side")
 
 
 def candidates(keyed: DataFrame, threshold: float) -> DataFrame:
-    """(u, v) of a spanning set, per bucket, of the pairs whose signatures agree well enough that their
-    similarity may reach the threshold (five standard errors below it); keyed has (bucket, id, n, low)."""
+    """(u, v) of a spanning set, per two blocks of a bucket, of the pairs whose signatures agree well enough that
+    their similarity may reach the threshold (five standard errors below it); keyed has (bucket, i, j, side,
+    id, n, low)."""
+    keys = ["bucket", "i", "j"]
     least = threshold - 5 * (threshold * (1 - threshold) / PLACES) ** 0.5
     least += (1 - least) / 256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches, ["bucket"]):
-            cut = _bounds(table, ["bucket"])
-            ids, sizes = table.column("id").to_numpy(), table.column("n").to_numpy()
+        for table in _grouped(batches, keys):
+            cut = _bounds(table, keys)
+            ids, sizes, side, lower = (table.column(c).to_numpy() for c in ("id", "n", "side", "i"))
+            across = table.column("j").to_numpy() != lower
             low = np.frombuffer(b"".join(x.as_py() for x in table.column("low")), np.uint8).reshape(-1, PLACES)
             u, v = [], []
             size = np.diff(cut)
             pairs = cut[:-1][size == 2]
+            pairs = pairs[~across[pairs] | (side[pairs] != side[pairs + 1])]
             if len(pairs):
                 ok = ((low[pairs] == low[pairs + 1]).mean(axis=1) >= least) & (np.minimum(sizes[pairs], sizes[pairs + 1]) >= threshold * np.maximum(sizes[pairs], sizes[pairs + 1]))
                 u += ids[pairs[ok]].tolist()
                 v += ids[pairs[ok] + 1].tolist()
             for a, b in zip(cut[:-1][size > 2], cut[1:][size > 2]):
                 label = np.arange(b - a)
-                for i in range(b - a - 1):
+                split = int((side[a:b] == lower[a]).sum()) if across[a] else None  # the lower block comes first
+                for i in range(b - a - 1 if split is None else split):
                     if i % 64 == 0 and (label == label[0]).all():
                         break
-                    rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+                    begin = i + 1 if split is None else split
+                    rest = np.flatnonzero(label[begin:] != label[i]) + begin
                     if not len(rest):
                         continue
                     near = rest[(low[a + rest] == low[a + i]).mean(axis=1) >= least]
@@ -252,7 +270,7 @@ def candidates(keyed: DataFrame, threshold: float) -> DataFrame:
                             label[label == label[j]] = label[i]
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return _sorted_by(keyed, ["bucket"]).mapInArrow(run, "u long, v long")
+    return _sorted_by(keyed, keys, "side").mapInArrow(run, "u long, v long")
 
 
 def _compared(sent: DataFrame, items: DataFrame, keys: list[str], threshold: float) -> DataFrame:
@@ -315,10 +333,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     heads = written(heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "low", "bands"), "heads")
     discard(facts)
     # buckets are found without the signatures' bytes, which then join the rows of shared buckets only
-    bucketed = heads.select("id", F.explode("bands").alias("bucket"))
-    shared = apart(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "bucket", "k")
-    bucketed = bucketed.join(shared, F.col("bucket") == F.col("k"), "left_semi")
-    keyed = bucketed.select("id", "bucket").join(heads.select("id", "n", "low"), "id")
+    bucketed = blocked(heads.select("id", F.explode("bands").alias("bucket")))
+    keyed = bucketed.join(heads.select("id", "n", "low"), "id")
     edges = written(candidates(keyed, threshold), "pairs")
     labels = written(components(edges), "candidates")
     wanted = labels.select("id").hint("merge")
