@@ -261,28 +261,63 @@ def test_embedding_links(spark):
     assert projections.near_vectors(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("exact", [True, False])
-def test_embedding_links_in_a_crowd(spark, monkeypatch, exact):
-    # a crowd of mean cosine 0.85 without links but those planted
+def test_embedding_links_in_a_crowd(spark):
+    # a crowd of mean cosine 0.85 without links but those planted, at default settings
     rng = np.random.default_rng(5)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     middle = unit(rng.standard_normal((1, 128)))
-    v = unit(0.85**0.5 * middle + 0.15**0.5 * unit(rng.standard_normal((6000, 128))))
+    v = unit(0.85**0.5 * middle + 0.15**0.5 * unit(rng.standard_normal((3000, 128))))
     v = np.concatenate([v, unit(v[:500] + 0.42 * unit(rng.standard_normal((500, 128))))])
     link = v @ v.T >= 0.9
-    if not exact:
-        monkeypatch.setattr(projections, "EXACT", 100)
-        assert projections.settings(len(v), 0.9, projections.WINDOW) == (7, 2)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     got = {r.vec_id: r.n_links for r in projections.near_vectors(df).collect()}
     assert link.sum() > len(v) + 900
     assert [got[i] for i in range(len(v))] == (link.sum(axis=1) - 1).tolist()
 
 
+@pytest.fixture(scope="module")
+def spread(spark):
+    """2,400 vectors spread evenly, the last 400 each near another one, as (id, vec)."""
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((2000, 32))
+    v = np.concatenate([v, v[:400] + 0.35 * rng.standard_normal((400, 32))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = np.argwhere(v @ v.T >= 0.9)
+    heads = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>").repartition(3).cache()
+    return heads, {(int(a), int(b)) for a, b in near if a > b}
+
+
+@pytest.mark.parametrize("parts", [1, 4, 60])
+def test_windows_follow_the_order_over_borders(spark, spread, parts, monkeypatch):
+    heads, links = spread
+    # few passes and a small window, so that what the window holds decides; 60 tasks have fewer rows than it
+    window, passes = 64, range(3)
+    monkeypatch.setattr(spark.conf, "get", lambda key, *a, get=spark.conf.get: str(parts) if key == "spark.sql.shuffle.partitions" else get(key, *a))
+    got = {(max(r), min(r)) for r in projections.window_links(heads, passes, window, 0.9, 7).collect()}
+    want = set()
+    keyed = projections.keys(heads, passes, 7, False).collect()
+    for part in {r.part for r in keyed}:
+        order = [r.id for r in sorted((r for r in keyed if r.part == part), key=lambda r: (r.key, r.id))]
+        place = {i: n for n, i in enumerate(order)}
+        want |= {(a, b) for a, b in links if abs(place[a] - place[b]) <= window}
+    assert got == want and 0 < len(want) < len(links)
+
+
+def test_windows_find_what_groups_do_not_hold(spark, spread):
+    heads, links = spread
+    passes, bits = projections.settings(2400, 0.9)
+    assert (passes, bits) == (12, 4)
+    none = projections.crowd_links(heads, range(passes), bits, projections.WINDOW, 0.9, 7).count()
+    assert none == 0  # no group is more than a window holds, so all comes from the windows
+    got = {tuple(r) for r in projections.neighbour_links(heads, passes, bits, projections.WINDOW, 0.9, 7).distinct().collect()}
+    assert got == links
+
+
 def test_projection_passes_grow_with_the_input():
-    passes = [projections.settings(n, 0.9, projections.WINDOW) for n in (10, 1 << 14, 10**5, 10**6, 10**8)]
-    assert passes[:2] == [(1, 0), (1, 0)] and passes == sorted(passes)
-    for n, (p, bits) in zip((10**5, 10**6, 10**8), passes[2:]):
+    sizes = (10, 1 << 14, 10**5, 10**6, 10**8)
+    passes = [projections.settings(n, 0.9) for n in sizes]
+    assert passes == sorted(passes)
+    for n, (p, bits) in zip(sizes, passes):
         assert n / 2**bits <= projections.WINDOW and (1 - (1 - math.acos(0.9) / math.pi) ** bits) ** p <= projections.MISS
 
 
@@ -350,6 +385,55 @@ def test_sniffing_takes_linear_time():
         assert took[1] < 40 * took[0] + 0.5, piece
 
 
+def chunk(kind, body):
+    return len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+
+
+def many_png(size):
+    """Images that each claim one block up to the end of the value."""
+    head, out = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)), b""
+    while len(out) < size:
+        out += head + max(0, size - len(out) - len(head) - 12).to_bytes(4, "big") + b"IDAT" + bytes(4)
+    return out[:size] + chunk(b"IEND", b"")
+
+
+def many_wav(size):
+    """Sounds that each claim another end behind a long chain of empty blocks."""
+    out = b"".join(b"RIFF" + (size - 12 * i - 8 + i % 7 * 8).to_bytes(4, "little") + b"WAVE" for i in range(size // 24))
+    return out + (b"junk" + bytes(4)) * ((size - len(out)) // 8)
+
+
+@pytest.mark.parametrize("make", [many_png, many_wav])
+def test_images_and_sounds_take_linear_time(make):
+    took = []
+    for size in (1 << 17, 1 << 20):
+        value = make(size)
+        began = time.perf_counter()
+        assert media.sniff(value) == []
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0] + 0.5
+
+
+def test_long_checksums_and_chains():
+    rng = random.Random(0)
+    image = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", rng.randbytes(50_000)) + chunk(b"tEXt", rng.randbytes(9_000)) + chunk(b"IEND", b"")
+    spoilt = image[:20_000] + b"?" + image[20_001:]
+    inner = image[: 8 + 25] + (len(spoilt)).to_bytes(4, "big") + b"IDAT" + spoilt + bytes(4) + chunk(b"IEND", b"")
+    assert media.sniff(b"BM" + image) == [("image/png", 2, len(image))] and media.sniff(spoilt) == [] == media.sniff(inner)
+    # a spoilt image whose last blocks are also those of a sound one
+    body = image[8:]
+    broken = b"\x89PNG\r\n\x1a\n" + (8 + 0).to_bytes(4, "big") + b"IHDR" + bytes(4) + b"\x89PNG\r\n\x1a\n"
+    assert media.sniff(broken + body) == [("image/png", len(broken) - 8, len(image))]
+    value = media.Value()
+    for _ in range(50):
+        a, b = sorted(rng.sample(range(len(image)), 2))
+        assert value.checksum(image, a, b) == zlib.crc32(image[a:b])
+    sound = media.to_wav(b"ab" * 500)
+    long = b"RIFF" + (4 + 8 * 3000 + len(sound) - 12).to_bytes(4, "little") + b"WAVE" + (b"junk" + bytes(4)) * 3000 + sound[12:]
+    assert media.sniff(long) == [("audio/wav", 0, len(long))] and media.sniff(b"RIFF" + long) == [("audio/wav", 4, len(long))]
+    assert media.sniff(long[:12] + b"data" + long[16:-1]) == [] and media.sniff(long.replace(b"fmt ", b"fmt_")) == []
+
+
 def bag(t, k=5):
     w = split(t)
     return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else Counter([tuple(w)] if w else [])
@@ -403,6 +487,21 @@ def test_near_duplicates(spark, docs, none, texts, monkeypatch):
     assert bagminhash.near_duplicates(none).count() == 0
 
 
+def test_blocks_of_a_bucket_give_its_candidates(spark, monkeypatch):
+    """One bucket of 90 members in blocks joins what it joins as a whole."""
+    rng = np.random.default_rng(3)
+    kinds = rng.integers(0, 256, (9, bagminhash.PLACES), dtype=np.uint8)
+    rows = [(1, int(i), 50 if i % 9 else 50 + int(i) // 45 * 50, bytearray(kinds[i % 9].tobytes())) for i in rng.permutation(90)] + [(2, 500, 5, bytearray(kinds[0].tobytes())), (2, 501, 5, bytearray(kinds[0].tobytes()))]
+    found = []
+    for block in (4096, 16):
+        monkeypatch.setattr(bagminhash, "BUCKET", block)
+        keyed = bagminhash.blocked(spark.createDataFrame(rows, "bucket long, id long, n long, low binary"))
+        edges = bagminhash.candidates(keyed, 0.8)
+        found.append({(r.id, r.component) for r in components.components(edges).collect()})
+    groups = {tuple(sorted(i for i, c in found[0] if c == k)) for k in {c for _, c in found[0]}}
+    assert found[0] == found[1] and len(groups) == 8 + 2 + 1  # those of kind 0 are of two sizes
+
+
 def test_near_duplicates_of_each_text_under_one_id(spark):
     rng = random.Random(4)
     texts_ = [words(rng, 100, 10**6) for _ in range(4)]
