@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, ship, written
+from .common import ship, written
 from .components import apart, components
 
 WINDOW, KEY_BITS, MISS = 512, 62, 1e-4
@@ -97,18 +97,28 @@ def keys(heads: DataFrame, passes: range, seed: int, vectors: bool) -> DataFrame
 
 
 def _pairs(ids: np.ndarray, x: np.ndarray, begin: int, window: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the rows from ``begin`` on with those at most ``window`` rows before them."""
+    """A spanning set of the links of the rows from ``begin`` on with those at most ``window`` rows before them."""
     near = np.argwhere(x[begin:] @ x.T >= threshold)
     near[:, 0] += begin
     near = near[(near[:, 1] < near[:, 0]) & (near[:, 0] - near[:, 1] <= window)]
-    return ids[near[:, 1]], ids[near[:, 0]]
+    label, out = np.arange(len(ids)), []
+    while len(near):
+        # the first link of each row joins its group; links inside a group say nothing new
+        near = near[label[near[:, 0]] != label[near[:, 1]]]
+        for i, j in near[np.unique(near[:, 0], return_index=True)[1]].tolist():
+            if label[i] != label[j]:
+                out.append((ids[j], ids[i]))
+                label[label == label[j]] = label[i]
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 _SORTED = "border long, place long, part long, id long, u long, v long, n long"
 
 
 def window_links(heads: DataFrame, passes: range, window: int, threshold: float, seed: int) -> DataFrame:
-    """(u, v) of the links at most ``window`` places apart in the order of a pass; ``heads`` has (id, vec)."""
+    """(u, v) of a spanning set, per window, of the links at most ``window`` places apart in the order of a pass;
+    ``heads`` has (id, vec)."""
     spark = heads.sparkSession
     kind = dict(heads.dtypes)["vec"]
 
@@ -150,7 +160,7 @@ def window_links(heads: DataFrame, passes: range, window: int, threshold: float,
             yield pa.RecordBatch.from_arrays([*one, pa.nulls(1, tail.field("vec").type)], [*_NAMES, "vec"])
 
     def meet(key, table):
-        at, rank = key[0].as_py(), table.column("rank").to_numpy()
+        rank = table.column("rank").to_numpy()
         order = np.argsort(rank, kind="stable")
         rank, parts = rank[order], table.column("part").to_numpy()[order]
         u, v = [], []
@@ -160,9 +170,8 @@ def window_links(heads: DataFrame, passes: range, window: int, threshold: float,
             split = int((rank[parts == part] < key[1].as_py()).sum())
             if 0 < split < len(of):
                 a, b = _pairs(some.column("id").to_numpy(), _unit(some.column("vec").combine_chunks(), part & 0xFFFFFFFF), split, window, threshold)
-                new = np.isin(a, some.column("id").to_numpy()[:split])
-                u.append(a[new])
-                v.append(b[new])
+                u.append(a)
+                v.append(b)
         none = [np.zeros(0, np.int64)]
         return pa.table({"u": np.concatenate(u + none), "v": np.concatenate(v + none)})
 
