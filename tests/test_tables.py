@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import windows as W
 from tidemark.operators import asof, filters, learn, merge, panel, portfolio, stats
 from tidemark.plans import market, registry
-from tidemark.sources import readers, writers
+from tidemark.sources import readers, versions, writers
 from tidemark.streaming import incremental
 
 
@@ -148,7 +148,7 @@ def test_stream_merges_once(spark, tmp_path):
         df = spark.createDataFrame(batch, schema)
         df.write.mode("append").parquet(source)
         incremental.merge_stream(incremental.file_stream(spark, source, df.schema), table, ["k"], [F.desc("t")], state).awaitTermination()
-    assert sorted((r.k, r.v) for r in writers.read_merged(spark, table).collect()) == [(1, "c"), (2, "d")]
+    assert sorted((r.k, r.v) for r in versions.read(spark, table).collect()) == [(1, "c"), (2, "d")]
 
 
 def test_training_and_prediction(spark):

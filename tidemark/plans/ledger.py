@@ -286,18 +286,6 @@ def stale_rows(spark, sf):
     return incremental.stale(e, done, ["event_id"], ["user_id", "value"]).select("event_id", "user_id")
 
 
-@query("SELECT time_bucket(INTERVAL '6 hours', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def event_windows(spark, sf):
-    """The streaming aggregate over a bounded input."""
-    return incremental.windowed_counts(table(spark, sf, "events"), "ts", "6 hours", "1 day", "event_type").select("start", "event_type", "n")
-
-
-@query("WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL '6 hours' THEN 1 ELSE 0 END AS b FROM events), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM o) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '6 hours' AS \"end\", count(*) AS n FROM s GROUP BY user_id, g")
-def event_sessions(spark, sf):
-    """I1."""
-    return incremental.sessions(table(spark, sf, "events"), "ts", "6 hours", "1 day", "user_id")
-
-
 @query("SELECT max_by(event_type, ts) AS state_value FROM events WHERE user_id = 1")
 def saved_frontier(spark, sf):
     """I2."""

@@ -37,7 +37,7 @@ def sql_of(name: str) -> str:
 
 
 def _load() -> None:
-    from . import filings, ledger, market, serving, storage, texts  # noqa: F401
+    from . import filings, ledger, market, serving, storage, streams, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

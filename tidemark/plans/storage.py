@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import filters, stats
 from ..session import scratch, table
-from ..sources import readers, writers
+from ..sources import readers, versions, writers
 from .market import BARS, bars
 from .registry import query
 
@@ -194,9 +194,61 @@ def merged_table(spark, sf):
     """Two merges into a table on disk; the later one wins."""
     path = scratch(spark, "merged")
     e = table(spark, sf, "events").select("event_id", "value")
-    writers.merge_into(spark, path, e.where("event_id % 3 <> 0"), ["event_id"])
-    writers.merge_into(spark, path, e.where("event_id % 2 = 0").withColumn("value", F.col("value") * 2), ["event_id"])
-    return writers.read_merged(spark, path)
+    versions.merge_into(spark, path, e.where("event_id % 3 <> 0"), ["event_id"])
+    versions.merge_into(spark, path, e.where("event_id % 2 = 0").withColumn("value", F.col("value") * 2), ["event_id"])
+    return versions.read(spark, path)
+
+
+def _versioned_orders(spark, sf, path):
+    """Orders, then a merge that changes some, adds some and removes some, all with keys of one month."""
+    o = _orders(spark, sf)
+    month = F.date_trunc("month", "o_orderdate") == F.lit("1996-02-01")
+    versions.merge_into(spark, path, o.where(~month | (F.col("o_orderkey") % 7 != 0)), ["o_orderdate", "o_orderkey"])
+    change = o.where(month & (F.col("o_orderkey") % 3 != 2)).withColumns({"o_totalprice": F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")), "gone": F.col("o_orderkey") % 3 == 1})
+    versions.merge_into(spark, path, change, ["o_orderdate", "o_orderkey"], gone="gone")
+
+
+_CHANGED = "year(o_orderdate) = 1996 AND month(o_orderdate) = 2"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN {_CHANGED} AND o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE NOT ({_CHANGED}) OR o_orderkey % 3 = 0 OR (o_orderkey % 3 = 2 AND o_orderkey % 7 <> 0)")
+def merged_month(spark, sf):
+    """A merge of one month's keys, with removals, writes only the files whose range and filter admit them."""
+    path = scratch(spark, "month")
+    _versioned_orders(spark, sf, path)
+    return versions.read(spark, path).select("o_orderkey", "o_totalprice")
+
+
+@query(
+    f"""WITH o AS (SELECT *, o_orderkey % 7 <> 0 AS held FROM orders WHERE {_CHANGED})
+SELECT 'insert' AS change, o_orderkey, o_totalprice + 1 AS o_totalprice FROM o WHERE NOT held AND o_orderkey % 3 = 0
+UNION ALL SELECT 'update_before', o_orderkey, o_totalprice FROM o WHERE held AND o_orderkey % 3 = 0
+UNION ALL SELECT 'update_after', o_orderkey, o_totalprice + 1 FROM o WHERE held AND o_orderkey % 3 = 0
+UNION ALL SELECT 'delete', o_orderkey, o_totalprice FROM o WHERE held AND o_orderkey % 3 = 1"""
+)
+def change_feed(spark, sf):
+    """What a merge has changed, from the files that it has written anew."""
+    path = scratch(spark, "feed")
+    _versioned_orders(spark, sf, path)
+    return versions.changes(spark, path, ["o_orderdate", "o_orderkey"], 1, 2).select("change", "o_orderkey", "o_totalprice")
+
+
+@query(
+    """WITH j AS (SELECT o_orderkey AS job_id, o_orderpriority AS priority, o_orderdate AS scheduled_at, row_number() OVER (ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS n FROM orders)
+SELECT job_id, CASE WHEN n <= 10 THEN 'a' WHEN n BETWEEN 41 AND 70 THEN 'b' ELSE 'c' END AS owner, CASE WHEN n <= 10 OR n BETWEEN 41 AND 70 THEN 'DONE' ELSE 'RUNNING' END AS status FROM j WHERE n <= 100"""
+)
+def leased_jobs(spark, sf):
+    """Rivals hold different jobs; of a's 40 it ends 10, the other 30 lapse and pass to c, and a, coming late, ends none."""
+    path = scratch(spark, "jobs")
+    o = _orders(spark, sf).select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").cast("timestamp").alias("scheduled_at"), F.lit("PENDING").alias("status"), F.lit(None).cast("string").alias("owner"), F.lit(None).cast("timestamp").alias("expires_at"))
+    versions.merge_into(spark, path, o, ["job_id"])
+    a = versions.claim(spark, path, "a", "2024-01-01 00:00:00", 40, 60)
+    b = versions.claim(spark, path, "b", "2024-01-01 00:00:30", 30, 3600)
+    versions.finish(spark, path, "a", a.orderBy("priority", "scheduled_at", "job_id").limit(10))
+    versions.finish(spark, path, "b", a.union(b))
+    versions.claim(spark, path, "c", "2024-01-01 00:02:00", 60, 3600)
+    versions.finish(spark, path, "a", a)
+    return versions.read(spark, path).where("owner IS NOT NULL").select("job_id", "owner", "status")
 
 
 @query("SELECT strftime(o_orderdate, '%Y-%m') AS dt, count(*) AS n FROM orders GROUP BY 1")

@@ -1,4 +1,4 @@
-"""Writers: partitioned Parquet, keyed month rewrites, merges, manifests, archives."""
+"""Writers: partitioned Parquet, keyed month rewrites, manifests, archives."""
 
 from __future__ import annotations
 
@@ -58,47 +58,6 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-BUCKETS = 16
-
-
-def _buckets(spark: SparkSession, path: str) -> dict[int, list[int]]:
-    """The versions in which each bucket was written, oldest first; ``BUCKETS`` keys at most."""
-    if not _exists(spark, f"{path}/_versions"):
-        return {}
-    rows = spark.read.parquet(f"{path}/_versions").groupBy("bucket").agg(F.array_sort(F.collect_set("version"))).collect()
-    return {r[0]: r[1] for r in rows}
-
-
-def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: list[str]) -> None:
-    """Keyed merge into a table of Parquet versions.
-
-    Rows live in buckets of their keys' hash. A merge writes the buckets that the source touches as a new
-    version and then lists them; readers take each bucket's last listed version, so they never see a
-    half-written one. Versions that were replaced before the last merge are removed.
-    """
-    bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(BUCKETS)).cast("int")
-    source = source.withColumn("bucket_no", bucket)
-    held = _buckets(spark, path)
-    touched = sorted(r[0] for r in source.select("bucket_no").distinct().collect())
-    now = max((v[-1] for v in held.values()), default=0)
-    old = [f"{path}/v{held[b][-1]}/bucket_no={b}" for b in touched if b in held]
-    target = spark.read.option("mergeSchema", True).parquet(*old).withColumn("bucket_no", bucket) if old else source.limit(0)
-    merge(target, source, keys).hint("rebalance", "bucket_no").write.mode("overwrite").partitionBy("bucket_no").parquet(f"{path}/v{now + 1}")
-    if touched:
-        spark.createDataFrame([(now + 1, b) for b in touched], "version long, bucket int").coalesce(1).write.mode("append").parquet(f"{path}/_versions")
-    for b, versions in held.items():
-        for v in versions[:-1]:
-            _remove(spark, f"{path}/v{v}/bucket_no={b}")
-
-
-def current_version(spark: SparkSession, path: str) -> int:
-    return max((v[-1] for v in _buckets(spark, path).values()), default=0)
-
-
-def read_merged(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", True).parquet(*[f"{path}/v{v[-1]}/bucket_no={b}" for b, v in sorted(_buckets(spark, path).items())])
-
-
 def export_by_month(df: DataFrame, path: str, date: str) -> None:
     """K4: one partition per month, whatever the date format."""
     from ..functions.dates import iso_date

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.merge import latest
-from ..sources.writers import merge_into
+from ..sources import versions
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -17,15 +17,23 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def merge_stream(stream: DataFrame, table: str, keys: list[str], order: list[Column], checkpoint: str) -> StreamingQuery:
-    """All that has arrived, then stop. Each batch keeps the last row per key and merges it, so a
-    batch that runs again after a failure changes nothing."""
+def merging(table: str, keys: list[str], order: list[Column], name: str):
+    """A sink that keeps the first row per key under ``order``, of a batch and of what the versioned table
+    holds. The table remembers the batch's number: one that comes again, after a failure or by mistake,
+    changes nothing."""
 
-    def put(batch: DataFrame, _: int) -> None:
+    def put(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            merge_into(batch.sparkSession, table, latest(batch, keys, order), keys)
+            versions.merge_into(batch.sparkSession, table, latest(batch, keys, order) if order else batch, keys, batch=(name, number), order=order or None)
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return put
+
+
+def merge_stream(stream: DataFrame, table: str, keys: list[str], order: list[Column], checkpoint: str, name: str = "stream") -> StreamingQuery:
+    """All that has arrived, merged batch by batch, then stop; the checkpoint is the frontier, so the
+    next call goes on where this one ended, with the state it had. Without ``order`` the rows of a batch have
+    different keys already."""
+    return stream.writeStream.foreachBatch(merging(table, keys, order, name)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, ts: str, width: str, late: str, *keys: str, slide: str | None = None) -> DataFrame:
