@@ -36,6 +36,10 @@ TARGET_PRICE_NOT_AROUND = [
     r"[X×]\s*{}\b",
     r"\b{}\s*[,;:]?\s*\n\s*[\d,]+",
 ]
+#: Characters before a match's begin and after its begin or (for around) end that these patterns look at.
+TARGET_PRICE_AFTER, TARGET_PRICE_BEFORE, TARGET_PRICE_AROUND, BARE_CODE_BEFORE = 20, 20, (10, 15), 30
+#: The same for the unit of ten thousand won, of target and current prices.
+TARGET_PRICE_UNIT, CURRENT_PRICE_UNIT = (10, 15), (5, 5)
 CURRENT_PRICE = [r"현재(?:주가|가격?)\s*(?:\([^)]*\))?\s*:?\s*([\d,]+\.?\d*)\s*(?:만)?\s*원", r"현재(?:주가|가)\s*:?\s*([\d,]+\.?\d*)\s*(?:만)?\s*(?:원)?"]
 TEN_THOUSAND_WON = r"만\s*원"
 

@@ -371,14 +371,15 @@ def universe_notes(spark, sf):
 
 
 @query(
-    """SELECT i::INT AS fold_id, DATE '1992-01-01' AS train_start, (DATE '1992-01-01' + to_years(2 + i::INT) - INTERVAL 1 DAY)::DATE AS train_end, (DATE '1992-01-01' + to_years(2 + i::INT))::DATE AS valid_start,
-(DATE '1992-01-01' + to_years(3 + i::INT) - INTERVAL 1 DAY)::DATE AS valid_end, (DATE '1992-01-01' + to_years(3 + i::INT))::DATE AS test_start, (DATE '1992-01-01' + to_years(4 + i::INT) - INTERVAL 1 DAY)::DATE AS test_end FROM range(1, 4) t(i)"""
+    """WITH b AS (SELECT date_trunc('year', min(o_orderdate))::DATE AS f, max(o_orderdate)::DATE AS l FROM orders)
+SELECT i::INT AS fold_id, f AS train_start, (f + to_years(2 + i::INT) - INTERVAL 1 DAY)::DATE AS train_end, (f + to_years(2 + i::INT))::DATE AS valid_start, (f + to_years(3 + i::INT) - INTERVAL 1 DAY)::DATE AS valid_end,
+(f + to_years(3 + i::INT))::DATE AS test_start, (f + to_years(4 + i::INT) - INTERVAL 1 DAY)::DATE AS test_end FROM b, range(1, 100) t(i) WHERE f + to_years(4 + i::INT) <= l"""
 )
 def yearly_folds(spark, sf):
-    """M5."""
-    from datetime import date
-
-    return learn.expanding_folds(spark, date(1992, 1, 1), 3, 1, 1, date(1999, 6, 1))
+    """M5: folds over the years of the table's dates."""
+    day = F.col("o_orderdate").cast("date")
+    first, last = table(spark, sf, "orders").agg(F.trunc(F.min(day), "year"), F.max(day)).first()
+    return learn.expanding_folds(spark, first, 3, 1, 1, last)
 
 
 @query(
@@ -464,11 +465,11 @@ def first_sentences(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", T.first_sentence(text, 30).alias("s"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y') || '년 ' || month(o_orderdate) || '월 report' AS full_year, CASE WHEN o_orderkey % 2 = 0 THEN month(o_orderdate) END AS month, CASE WHEN o_orderkey % 2 = 0 THEN day(o_orderdate) END AS day, CAST(o_orderdate AS DATE) - CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS target FROM (SELECT o_orderkey, o_orderdate + INTERVAL 3650 DAY AS o_orderdate FROM orders WHERE year(o_orderdate + INTERVAL 3650 DAY) BETWEEN 2002 AND 2009)")
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y') || '년 ' || month(o_orderdate) || '월 report' AS full_year, CASE WHEN o_orderkey % 2 = 0 THEN month(o_orderdate) END AS month, CASE WHEN o_orderkey % 2 = 0 THEN day(o_orderdate) END AS day, CAST(o_orderdate AS DATE) - CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS target FROM (SELECT o_orderkey, o_orderdate + INTERVAL 3650 DAY AS o_orderdate FROM orders)")
 def spoken_dates(spark, sf):
     """Two-digit years, month and day in words, and the local date before an interval's end."""
     d, k = F.expr("o_orderdate + INTERVAL 3650 DAY"), F.col("o_orderkey")
-    o = table(spark, sf, "orders").where(F.year(d).between(2002, 2009)).withColumn("d", d)
+    o = table(spark, sf, "orders").withColumn("d", d)
     m = D.month_day(F.when(k % 2 == 0, F.date_format("d", "M'월' d'일'")).otherwise("soon"))
     end = F.when(k % 2 == 0, F.col("d").cast("timestamp")).otherwise(F.col("d").cast("timestamp") + F.expr("INTERVAL 16 HOURS"))
     return o.select("o_orderkey", D.expand_two_digit_year(F.concat(F.date_format("d", "yy'년 'M'월'"), F.lit(" report"))).alias("full_year"), m["month"].alias("month"), m["day"].alias("day"), D.seoul_target_date(end).alias("target"))

@@ -202,25 +202,39 @@ def html_lists(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.posexplode(readers.html_rows(F.col("html"))).alias("i", "row")).select("page_id", "i", F.size("row.cells").alias("cells"), "row.link")
 
 
-_REPORT_TEXTS = """t AS (SELECT o_orderkey, o_orderkey % 6 AS k, (1 + o_custkey % 900) * 1000 AS price, (100000 + o_custkey)::VARCHAR AS stock, 1 + o_custkey % 900 AS a, 1 + o_custkey % 90 AS b FROM orders)"""
+_REPORT_TEXTS = """t AS (SELECT o_orderkey, o_orderkey % 16 AS k, (1 + o_custkey % 900) * 1000 AS price, (100000 + o_custkey)::VARCHAR AS stock, 1 + o_custkey % 900 AS a, 1 + o_custkey % 90 AS b FROM orders)"""
 
 
 @query(
-    f"""WITH {_REPORT_TEXTS} SELECT o_orderkey, ['BUY', 'HOLD', 'SELL', 'NOT_RATED', 'BUY', NULL][1 + k] AS opinion, CASE WHEN k IN (0, 4) THEN price WHEN k = 1 THEN price * 10 END AS target_price, CASE WHEN k <= 1 THEN 20000 END AS current_price,
+    f"""WITH {_REPORT_TEXTS} SELECT o_orderkey, CASE k WHEN 0 THEN 'BUY' WHEN 1 THEN 'HOLD' WHEN 2 THEN 'SELL' WHEN 3 THEN 'NOT_RATED' WHEN 4 THEN 'BUY' END AS opinion,
+CASE WHEN k IN (0, 4, 13, 14) THEN price WHEN k = 1 THEN price * 10 END AS target_price, CASE WHEN k <= 1 THEN 20000 END AS current_price,
 CASE WHEN k IN (0, 1, 4) THEN '["' || stock || '"]' ELSE '[]' END AS codes, CASE WHEN k IN (0, 1, 4) THEN stock WHEN k = 5 THEN '005930' END AS code,
 CASE WHEN k = 3 THEN '{{"revenue_mentions":["' || a || '"],"op_profit_mentions":["' || b || '"]}}' END AS estimates, CASE WHEN k = 0 THEN (price - 20000) / 200.0 WHEN k = 1 THEN (price * 10 - 20000) / 200.0 END::DOUBLE AS upside_pct FROM t"""
 )
 def structured_reports(spark, sf):
-    """Fields of report texts that state an order's numbers in six ways."""
-    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 6).alias("k"), ((1 + F.col("o_custkey") % 900) * 1000).cast("long").alias("price"), (100000 + F.col("o_custkey")).cast("string").alias("stock"), (1 + F.col("o_custkey") % 900).cast("int").alias("a"), (1 + F.col("o_custkey") % 90).cast("int").alias("b"))
+    """Fields of report texts that state an order's numbers, and of those where something near a
+    number says that it is no price: a year, a percentage, months, dollars, a cell of a table, an abbreviated
+    year, a multiple, a heading."""
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 16).alias("k"), ((1 + F.col("o_custkey") % 900) * 1000).cast("long").alias("price"), (100000 + F.col("o_custkey")).cast("string").alias("stock"), (1 + F.col("o_custkey") % 900).cast("int").alias("a"), (1 + F.col("o_custkey") % 90).cast("int").alias("b"))
     k, price, stock = F.col("k"), F.format_number("price", 0), F.col("stock")
+    some = (F.col("a") + 1000).cast("string")  # a number that differs by order
     text = (
         F.when(k == 0, F.concat(F.lit("투자의견 매수(유지) 목표주가 "), price, F.lit("원 현재주가 20,000원 ("), stock, F.lit(")")))
         .when(k == 1, F.concat(F.lit("Neutral, TP "), F.format_string("%.1f", F.col("price") / 1000), F.lit("만원, 현재주가: 20,000원 ["), stock, F.lit("]")))
         .when(k == 2, F.lit("목표주가 괴리율 12% SELL"))
         .when(k == 3, F.format_string("Not Rated 매출액 %d억원 영업이익 %d억원", "a", "b"))
         .when(k == 4, F.concat(F.lit("12개월 목표주가 "), price, F.lit("원 Outperform "), stock))
-        .otherwise(F.lit("오늘의 시장"))
+        .when(k == 5, F.lit("오늘의 시장"))
+        .when(k == 6, F.concat(F.lit("목표주가 "), some, F.lit("년 실적 전망")))
+        .when(k == 7, F.concat(F.lit("TP "), some, F.lit("% 상승 여력")))
+        .when(k == 8, F.concat(F.lit("목표주가 "), some, F.lit("M 기준")))
+        .when(k == 9, F.concat(F.lit("주당 USD 목표주가 "), some))
+        .when(k == 10, F.concat(F.lit("목표주가 "), some, F.lit("\n"), some, F.lit(" 대비")))
+        .when(k == 11, F.concat(F.lit("목표주가 ‘"), some, F.lit("E 대비")))
+        .when(k == 12, F.concat(F.lit("TP × "), some, F.lit(" 적용")))
+        .when(k == 13, F.concat(F.lit("목표주가 추이 "), some, F.lit(" 및 그 뒤에 새로 제시된 목표주가 "), price, F.lit("원")))
+        .when(k == 14, F.concat(F.lit("TP "), some, F.lit("% 상승, 이에 따른 적정주가 "), price, F.lit("원")))
+        .otherwise(F.concat(F.lit("TP 0 "), F.lit("개장")))
     )
     out = o.select("o_orderkey", *T.structured(text, F.when(k == 5, "A005930"))).drop("text_len")
     return out.withColumn("upside_pct", T.upside(F.col("target_price"), F.col("current_price")))
