@@ -18,10 +18,24 @@ def test_rank_and_ewm_match_pandas(spark):
     got = [r[0] for r in df.select("i", W.rank_pct(F.col("v")).alias("r")).orderBy("i").select("r").collect()]
     expected = pd.Series(values).rank(pct=True)
     assert [None if pd.isna(x) else round(x, 9) for x in expected] == [None if x is None else round(x, 9) for x in got]
-    series = [None, 3.0, None, 5.0, 4.0, None, 7.0]
-    out = spark.createDataFrame([(series,)], "v array<double>").select(W.ewm(F.col("v"), 2 / 13)).first()[0]
-    expected = pd.Series(series, dtype=float).ewm(span=12, adjust=False).mean()
-    assert [None if pd.isna(x) else round(x, 9) for x in expected] == [None if x is None else round(x, 9) for x in out]
+
+
+def test_recursive_means_match_pandas(spark):
+    rng = __import__("random").Random(4)
+    short = [None, 3.0, None, 5.0, 4.0, None, 7.0]
+    long = [None if rng.random() < 0.1 else rng.uniform(-50, 100) for _ in range(900)]
+    sparse = [rng.uniform(0, 9) if i % 300 == 5 else None for i in range(900)]
+    kept = {"a": short, "b": long, "c": sparse, "d": [None, None], "e": [2.0]}
+    df = spark.createDataFrame([(t, i, v) for t, s in kept.items() for i, v in enumerate(s)], "ticker string, date int, v double").repartition(3)
+    out = W.ewm_columns(df, {"fast": (F.col("v"), 2 / 13), "slow": (F.col("v"), 1 / 14)}, F.col("v").isNotNull())
+    assert out.columns == ["ticker", "date", "v", "fast", "slow"]
+    plan = out._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and plan.count("Exchange hashpartitioning") <= 2 * 2  # in the plan and its first form
+    got = out.orderBy("ticker", "date").toPandas()
+    for t, s in kept.items():
+        for column, alpha in (("fast", 2 / 13), ("slow", 1 / 14)):
+            want = pd.Series(s, dtype=float).ewm(alpha=alpha, adjust=False).mean()
+            pd.testing.assert_series_equal(got[got.ticker == t][column].reset_index(drop=True), want, check_names=False, rtol=1e-9)
 
 
 def test_rolling_matches_pandas(spark):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPSILON = 1e-8
@@ -80,17 +80,36 @@ def min_max_score(c: Column, w: WindowSpec, digits: int = 1) -> Column:
     return F.when(high == low, F.lit(50.0)).otherwise(F.bround((c - low) / F.nullif(high - low, F.lit(0.0)) * 100, digits))
 
 
-def ewm(values: Column, alpha: float) -> Column:
-    """Exponentially weighted mean of an ordered array, recursive form, one output per element.
+#: Weight below which what lies further back is lost to the rounding of doubles.
+_LOST = 1e-18
 
-    Leading nulls give null; inside, a null repeats the mean and lets its weight decay.
-    """
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"), F.array().cast("array<double>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        old = s["w"] * (1 - alpha)
-        y = F.when(x.isNull(), s["y"]).when(s["y"].isNull(), x).otherwise((old * s["y"] + alpha * x) / (old + alpha))
-        w = F.when(x.isNull() & s["y"].isNotNull(), old).otherwise(F.lit(1.0))
-        return F.struct(y.alias("y"), w.alias("w"), F.concat(s["out"], F.array(y)).alias("out"))
+def ewm_columns(df: DataFrame, series: dict[str, tuple[Column, float]], observed: Column, key: str = "ticker", order: str = "date") -> DataFrame:
+    """Exponentially weighted means in recursive form, as columns; ``series`` has their values and alphas,
+    which are all there or all null, as ``observed`` says.
 
-    return F.aggregate(values, start, step, lambda s: s["out"])
+    An observed row maps the mean before it to a * mean + b. Maps compose, so a scan by doubling, with lags of
+    1, 2, 4, ... observed rows, gives every row the map of all rows that still count: it ends when the weight
+    of what lies further back is below ``_LOST``. All steps share one exchange and one sort of the rows, whose number
+    per key does not matter. Leading nulls give null; inside, a null repeats the mean and lets its weight decay.
+    """
+    all_rows, seen = Window.partitionBy(key).orderBy(order), Window.partitionBy(key, "_seen").orderBy(order)
+    df = df.withColumns({"_n": F.row_number().over(all_rows), "_seen": observed})
+    df = df.withColumn("_gap", F.col("_n") - F.lag("_n").over(seen))
+    alphas = sorted({alpha for _, alpha in series.values()})
+    name = {alpha: f"_a{i}" for i, alpha in enumerate(alphas)}
+    weight = {alpha: F.pow(F.lit(1 - alpha), F.col("_gap")) for alpha in alphas}
+    first = F.col("_gap").isNull()
+    df = df.withColumns(
+        {name[alpha]: F.when(first, 0.0).otherwise(w / (w + alpha)) for alpha, w in weight.items()}
+        | {f"_b_{out}": F.when(first, x.cast("double")).otherwise(alpha * x / (weight[alpha] + alpha)) for out, (x, alpha) in series.items()}
+    )
+    step = 1
+    while any((1 - alpha) ** (step - 1) > _LOST for alpha in alphas):
+        back = lambda c: F.lag(c, step).over(seen)  # noqa: B023, E731
+        # a row without one so far back has its whole past already, and its map a factor of 0
+        df = df.withColumns({f"_b_{out}": F.col(f"_b_{out}") + F.when(F.col(name[alpha]) == 0, 0.0).otherwise(F.col(name[alpha]) * back(f"_b_{out}")) for out, (_, alpha) in series.items()} | {a: F.when(F.col(a) == 0, 0.0).otherwise(F.col(a) * back(a)) for a in name.values()})
+        step *= 2
+    last = lambda out: F.last(F.when(F.col("_seen"), F.col(f"_b_{out}")), ignorenulls=True).over(all_rows.rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumns({out: last(out) for out in series})
+    return df.drop("_n", "_seen", "_gap", *name.values(), *[f"_b_{out}" for out in series])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import EPSILON, before, ewm, lagged_return, rank_pct, series, trailing, true_range
+from ..functions.windows import EPSILON, before, ewm_columns, lagged_return, rank_pct, series, trailing, true_range
 
 # Cross-section ranks and what they rank; the last three belong to the technical group.
 RANKS = {
@@ -106,24 +106,19 @@ def breakout_features(df: DataFrame) -> DataFrame:
 
 
 def technical_features(df: DataFrame) -> DataFrame:
-    """RSI, MACD and Bollinger columns. The recursive means fold each ticker's ordered history in one row
-    per ticker, which holds its dates, and the rows come back out of it without a join (W10, G10)."""
+    """RSI, MACD and Bollinger columns; the recursive means are scans over the rows."""
     w, last = series(), F.lag("close", 1).over(series())
     df = _with(df, {"_last": last, "_delta": last - F.lag("close", 2).over(w)})
-    own = [c for c in df.columns if c not in ("ticker", "date")]
-    held = df.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", *own))).alias("h"))
-    pick = lambda name: F.transform("h", lambda x: x[name])
-    zero = lambda x: F.when(x["_delta"].isNotNull(), F.lit(0.0))
-    up, down = F.transform("h", lambda x: F.greatest(x["_delta"], zero(x))), F.transform("h", lambda x: F.greatest(-x["_delta"], zero(x)))
-    folds = held.select("ticker", "h", ewm(up, 1 / 14).alias("gain"), ewm(down, 1 / 14).alias("loss"), ewm(pick("_last"), 2 / 13).alias("fast"), ewm(pick("_last"), 2 / 27).alias("slow"))
-    folds = folds.withColumn("macd", F.zip_with("fast", "slow", lambda a, b: a - b)).withColumn("signal", ewm(F.col("macd"), 2 / 10))
-    df = folds.select("ticker", F.explode(F.arrays_zip("h", "gain", "loss", "macd", "signal")).alias("x")).select("x.h.date", "ticker", *[f"x.h.{c}" for c in own], "x.gain", "x.loss", "x.macd", "x.signal")
+    df = ewm_columns(df, {"gain": (F.greatest("_delta", F.lit(0.0)), 1 / 14), "loss": (F.greatest(-F.col("_delta"), F.lit(0.0)), 1 / 14)}, F.col("_delta").isNotNull())
+    df = ewm_columns(df, {"fast": (F.col("_last"), 2 / 13), "slow": (F.col("_last"), 2 / 27)}, F.col("_last").isNotNull())
+    df = _with(df, {"macd": F.col("fast") - F.col("slow")})
+    df = ewm_columns(df, {"signal": (F.col("macd"), 2 / 10)}, F.col("macd").isNotNull())
     df = _with(df, {"rsi14": 100 - 100 / (1 + F.col("gain") / (F.col("loss") + EPSILON)), "macd_hist_ratio": (F.col("macd") - F.col("signal")) / (F.col("_last") + EPSILON)})
     middle, spread = before(F.avg, F.col("close"), 20, w), before(F.stddev_samp, F.col("close"), 20, w) * 2
     df = _with(df, {"_lower": middle - spread, "_upper": middle + spread, "_middle": middle})
     df = _with(df, {"bb_position": (F.col("_last") - F.col("_lower")) / (F.col("_upper") - F.col("_lower") + EPSILON), "bb_width": (F.col("_upper") - F.col("_lower")) / (F.col("_middle") + EPSILON)})
     out = {"rsi_change_5d": F.col("rsi14") - F.lag("rsi14", 5).over(w), "bb_position_change_5d": F.col("bb_position") - F.lag("bb_position", 5).over(w)}
-    return _with(df, out).drop("_last", "_delta", "_lower", "_upper", "_middle", "gain", "loss", "macd", "signal")
+    return _with(df, out).drop("_last", "_delta", "_lower", "_upper", "_middle", "gain", "loss", "macd", "signal", "fast", "slow")
 
 
 def macro_features(df: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import documents, serving, stats, vectors
-from ..session import table
+from ..operators import documents, ivf, serving, stats, vectors
+from ..session import scratch, table
 from ..sources import readers
 from .registry import query
 
@@ -179,6 +179,33 @@ def vector_post_filter(spark, sf):
     return vectors.top_k_then_filter(e, list(e.where("vec_id = 1").first()["embedding"]), 20, F.col("label") % 2 == 0).select("vec_id", "score")
 
 
+def _index(spark, sf):
+    """The index of all vectors, and as queries every one whose id is divisible by 100."""
+    path, e = scratch(spark, "index"), table(spark, sf, "embeddings")
+    ivf.build(e, path)
+    return path, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(list_sum([z[1]::DOUBLE * z[2]::DOUBLE FOR z IN list_zip(embedding, q)]), 4) AS score FROM embeddings, q)
+SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10"""
+)
+def vector_index_search(spark, sf):
+    """The index in its exact mode."""
+    path, queries = _index(spark, sf)
+    return ivf.search(spark, path, queries, 10, None)
+
+
+@query("SELECT vec_id AS query_id, 10 AS n, TRUE AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_probes(spark, sf):
+    """K6, V2: as many cells of the index as its trials needed for a recall of 0.98; whether these hold 0.95 or
+    more of the ten nearest of all queries together."""
+    path, queries = _index(spark, sf)
+    per = ivf.found_of(ivf.search(spark, path, queries, 10, 0.98), ivf.search(spark, path, queries, 10, None))
+    mean = per.agg(F.sum("found") / F.sum("n")).first()[0]
+    return per.select("query_id", "n", F.lit(mean is not None and mean >= 0.95).alias("reached"))
+
+
 @query(
     r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all('passage: ' || coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS token FROM documents), c AS (SELECT doc_id, ('0x' || right(sha1(token), 2))::INT % 64 AS i, count(*) AS n FROM t GROUP BY 1, 2),
 m AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY 1) SELECT doc_id, i::INT AS i, round(n / norm, 6) AS x FROM c JOIN m USING (doc_id)"""
