@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
-from ..operators import asof, filters, learn, panel, portfolio, stats
+from ..operators import asof, filters, learn, merge, panel, portfolio, rolling, stats
 from ..session import table
 from .registry import query, sql_of
 
@@ -554,6 +554,48 @@ def model_walk_forward(spark, sf):
     return out.select("feature_date", "ticker", "fold_id", "ranking_score", "pred_gap", "pred_intraday")
 
 
+_ROLLING = 5
+_ROLLING_FEATURES = ["return_1d", "close_position"]
+
+
+def _training_rows(spark, sf):
+    b = bars(spark, sf)
+    last = lambda c: F.lag(c, 1).over(W.series())
+    features = b.select(F.col("date").alias("feature_date"), "ticker", F.col("open"), W.lagged_return(F.col("close"), 1, W.series()).alias("return_1d"), F.try_divide(last("close") - last("low"), last("high") - last("low") + 1).alias("close_position"))
+    return features.join(panel.targets(b), ["feature_date", "ticker"], "left")
+
+
+def _rolling_sql() -> str:
+    """Ridge over two features by Cramer's rule, for every date with five before it."""
+    sums = {"n": "count(*)", "a": "sum(x1)", "b": "sum(x2)", "aa": "sum(x1 * x1) + 1", "bb": "sum(x2 * x2) + 1", "ab": "sum(x1 * x2)", "y": "sum(y)", "ay": "sum(x1 * y)", "by_": "sum(x2 * y)"}
+    det = "(n * (aa * bb - ab * ab) - a * (a * bb - ab * b) + b * (a * ab - aa * b))"
+    c0 = f"(y * (aa * bb - ab * ab) - a * (ay * bb - ab * by_) + b * (ay * ab - aa * by_)) / {det}"
+    c1 = f"(n * (ay * bb - ab * by_) - y * (a * bb - ab * b) + b * (a * by_ - ay * b)) / {det}"
+    c2 = f"(n * (aa * by_ - ay * ab) - a * (a * by_ - ay * b) + y * (a * ab - aa * b)) / {det}"
+    return f"""WITH {BARS}, {TARGETS}, f AS (SELECT date AS feature_date, ticker, {RET[1]} AS return_1d, ({_l('close', 1)} - {_l('low', 1)}) / ({_l('high', 1)} - {_l('low', 1)} + 1) AS close_position FROM bars),
+rows AS (SELECT f.feature_date, f.ticker, coalesce(return_1d, 0) AS x1, coalesce(close_position, 0) AS x2, target_ranking, target_gap, target_intraday FROM f LEFT JOIN targets t ON t.feature_date = f.feature_date AND t.ticker = f.ticker),
+days AS (SELECT feature_date, row_number() OVER (ORDER BY feature_date) AS day FROM (SELECT DISTINCT feature_date FROM rows)),
+long AS (SELECT day, x1, x2, unnest(['ranking', 'gap', 'intraday']) AS target, unnest([target_ranking, target_gap, target_intraday]) AS y FROM rows JOIN days USING (feature_date)),
+sums AS (SELECT d.feature_date, target, {', '.join(f'({e})::DOUBLE AS {k}' for k, e in sums.items())} FROM days d JOIN long l ON l.day BETWEEN d.day - {_ROLLING} AND d.day - 1 WHERE d.day > {_ROLLING} AND y IS NOT NULL GROUP BY 1, 2),
+models AS (SELECT feature_date, target, n::BIGINT AS n, {c0} AS c0, {c1} AS c1, {c2} AS c2 FROM sums)"""
+
+
+@query(f"{_rolling_sql()} SELECT feature_date AS date, target, n, {_r('c0', 'c0')}, {_r('c1', 'c1')}, {_r('c2', 'c2')} FROM models")
+def rolling_models(spark, sf):
+    """M1, M7, L3: the coefficients of every day's models, from the five dates before it."""
+    models = rolling.rolling_models(_training_rows(spark, sf), _ROLLING_FEATURES, _ROLLING)
+    return models.select("date", "target", "n", *[F.round(F.col("coefficients")[i], DIGITS).alias(f"c{i}") for i in range(3)])
+
+
+@query(f"""{_rolling_sql()}, wide AS (SELECT feature_date, {', '.join(f"max({c}) FILTER (WHERE target = '{t}') AS {t[0]}{c[1]}" for t in ("ranking", "gap", "intraday") for c in ("c0", "c1", "c2"))} FROM models GROUP BY 1)
+SELECT feature_date, ticker, {_r('r0 + r1 * x1 + r2 * x2', 'ranking_score')}, {_r('g0 + g1 * x1 + g2 * x2', 'pred_gap')}, {_r('i0 + i1 * x1 + i2 * x2', 'pred_intraday')} FROM rows JOIN wide USING (feature_date)""")
+def rolling_predictions(spark, sf):
+    """Every date predicted by the models of the dates before it, in one job; keys are unique."""
+    rows = _training_rows(spark, sf)
+    out = rolling.predictions(rows, rolling.rolling_models(rows, _ROLLING_FEATURES, _ROLLING), _ROLLING_FEATURES)
+    return shown(merge.reject_duplicates(out, ["feature_date", "ticker"]), ["ranking_score", "pred_gap", "pred_intraday"], ("feature_date", "ticker"))
+
+
 @query(f"WITH {BARS}, d AS (SELECT date, row_number() OVER (ORDER BY date) AS n, count(*) OVER () AS total FROM (SELECT DISTINCT date FROM bars)), c AS (SELECT date FROM d WHERE n = greatest(1, floor(total * 0.8)::BIGINT)) SELECT CASE WHEN b.date <= c.date THEN 'train' ELSE 'valid' END AS part, count(*) AS n, min(b.date) AS first_date, max(b.date) AS last_date FROM bars b, c GROUP BY 1")
 def chronological_split(spark, sf):
     """N2."""
