@@ -50,18 +50,19 @@ def true_range(high: Column, low: Column, previous_close: Column) -> Column:
     return F.greatest(high - low, F.abs(high - previous_close), F.abs(low - previous_close))
 
 
+def average_rank(c: Column, by: list[str]) -> Column:
+    """Average-tie rank from 1, over non-null values: the mean of the first and the last place of equal
+    values, which one sort gives."""
+    order = Window.partitionBy(*by).orderBy(c.asc_nulls_last())
+    last = F.count(F.lit(1)).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.when(c.isNotNull(), (F.rank().over(order) + last) / 2)
+
+
 def rank_pct(c: Column, by: str | list[str] = "date") -> Column:
     """Average-tie rank divided by the number of non-null values; null for null."""
     keys = [by] if isinstance(by, str) else by
-    group = Window.partitionBy(*keys)
-    ties = Window.partitionBy(*keys, c)
-    return F.when(c.isNotNull(), (F.rank().over(group.orderBy(c.asc_nulls_last())) + (F.count(F.lit(1)).over(ties) - 1) / 2) / F.count(c).over(group))
-
-
-def average_rank(c: Column, by: list[str]) -> Column:
-    """Average-tie rank from 1, over non-null values."""
-    group, ties = Window.partitionBy(*by), Window.partitionBy(*by, c)
-    return F.when(c.isNotNull(), F.rank().over(group.orderBy(c.asc_nulls_last())) + (F.count(F.lit(1)).over(ties) - 1) / 2)
+    whole = Window.partitionBy(*keys).orderBy(c.asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return average_rank(c, keys) / F.count(c).over(whole)
 
 
 def first_rank(score: Column, tiebreak: str, by: str = "date") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import filters, stats
 from ..session import scratch, table
-from ..sources import readers, versions, writers
+from ..sources import pages, readers, versions, writers
 from .market import BARS, bars
 from .registry import query
 
@@ -251,6 +251,15 @@ def leased_jobs(spark, sf):
     return versions.read(spark, path).where("owner IS NOT NULL").select("job_id", "owner", "status")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 10 OFFSET 49990")
+def deep_page(spark, sf):
+    """Page 5,000 of the line items by price, from the slice that holds it."""
+    path, columns = scratch(spark, "ordered"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    order = [F.desc("l_extendedprice"), *columns[:-1]]
+    pages.write_ordered(table(spark, sf, "lineitem").select(*columns), path, order, 10_000)
+    return pages.read_page(spark, path, order, 5000, 10)[0]
+
+
 @query("SELECT strftime(o_orderdate, '%Y-%m') AS dt, count(*) AS n FROM orders GROUP BY 1")
 def exported_months(spark, sf):
     """K4: one partition per month, whatever the dates' format."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch, table
-from ..sources import versions
+from ..sources import paged, versions
 from ..streaming import incremental, state
 from .registry import query
 
@@ -86,3 +86,41 @@ def request_verdicts(spark, sf):
     """A verdict per request: at most two are granted in two hours, and four a day."""
     asked = lambda s: state.verdicts(s.where("user_id >= 0").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("request")), "1 hour", 7200, 2, 4)
     return _runs(spark, sf, "verdicts", asked, ["request"]).select(F.col("key").alias("user_id"), F.col("request").alias("event_id"), "verdict")
+
+
+class _TablePages:
+    """A service that serves a table's rows, some at a time, in the order of a key; every seventh page fails the
+    first time that a process asks for it."""
+
+    def __init__(self, path: str, key: str, columns: list[str], size: int, limit: str | None = None) -> None:
+        self.path, self.key, self.columns, self.size, self.limit = path, key, columns, size, limit
+        self.asked: set[int] = set()
+        self.rows = None
+
+    def _all(self) -> list[dict]:
+        import pyarrow.dataset as ds
+
+        if self.rows is None:
+            self.rows = ds.dataset(self.path).to_table(columns=self.columns).sort_by(self.key).to_pylist()
+        return self.rows
+
+    def pages(self) -> int:
+        whole = -(-len(self._all()) // self.size)
+        try:  # a file says how many pages there are so far
+            return min(whole, int(open(self.limit).read())) if self.limit else whole
+        except FileNotFoundError:
+            return whole
+
+    def fetch(self, page: int) -> list[dict]:
+        if page % 7 == 3 and page not in self.asked:
+            self.asked.add(page)
+            raise ConnectionError("reset")
+        return self._all()[page * self.size : (page + 1) * self.size]
+
+
+@query("SELECT (row_number() OVER (ORDER BY page_id) - 1) // 20 AS page, page_id, url, length(html) AS n FROM pages")
+def paged_reads(spark, sf):
+    """The pages table behind a paged service that sometimes fails."""
+    client = _TablePages(f"{sf}/pages.parquet", "page_id", ["page_id", "url", "html"], 20)
+    spark.dataSource.register(paged.paged_source("paged_pages", "page_id long, url string, html string", client, paged.Patience(3, 60, 0.01)))
+    return spark.read.format("paged_pages").option("pages", 3).load().select("page", "page_id", "url", F.length("html").cast("long").alias("n"))
