@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,17 +71,47 @@ def latest_per_source(df: DataFrame, columns: list[str], date: str = "date") ->
     return df.agg(*[F.max(F.when(F.col(c).isNotNull(), F.col(date))).alias(f"{c}_latest") for c in columns], *[F.count_if(F.col(c).isNull()).alias(f"{c}_missing") for c in columns])
 
 
+def _moments(df: DataFrame, columns: list[str], means: list[float]) -> list[np.ndarray]:
+    """Over rows that have both of two columns: their number, the sums of the first, of its square and of the
+    product, of values less ``means``; and the rows in which the two are not alike. One matrix of each per
+    task, which the driver adds up."""
+    n = len(columns)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((5, n, n))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                piece = batch.slice(at, 4096)
+                x = np.column_stack([piece.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in range(n)])
+                null = np.column_stack([piece.column(i).is_null().to_numpy(zero_copy_only=False) for i in range(n)])
+                there, y = (~null).astype(np.float64), np.where(null, 0.0, x - means)
+                total[:4] += there.T @ there, y.T @ there, (y * y).T @ there, y.T @ y
+                same = np.where(null, np.inf, x)  # no value is infinite where another one is null, but for infinite ones
+                for i in range(n):
+                    total[4, i] += ((same != same[:, i : i + 1]) | (null != null[:, i : i + 1])).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    rows = df.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(add, "sums binary").toLocalIterator()
+    return list(sum(np.frombuffer(r.sums).reshape(5, n, n) for r in rows))
+
+
 def redundant(df: DataFrame, columns: list[str], limit: float = 0.999999) -> list[str]:
-    """Columns to drop, as they correlate with an earlier one at ``limit`` or above. One aggregate
-    computes all pairs; only the matrix, whose size the column list fixes, reaches the driver."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    if not pairs:
+    """Columns to drop, as they correlate with an earlier one at ``limit`` or above, over the rows that have
+    both, or are its copy. Two passes, for means and for sums of products; only matrices, whose size the
+    column list fixes, reach the driver."""
+    if len(columns) < 2:
         return []
-    row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)], *[F.count_if(~F.col(a).eqNullSafe(F.col(b))).alias(f"d{i}") for i, (a, b) in enumerate(pairs)]).first()
+    means = [float(m or 0.0) for m in df.agg(*[F.avg(F.col(c).cast("double")) for c in columns]).first()]
+    n, x, xx, xy, unlike = _moments(df, columns, means)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = xx - x * x / n
+        spread[spread <= 1e-24 * n * (1 + np.square(means))[:, None]] = np.nan  # constant but for rounding
+        corr = (xy - x * x.T / n) / np.sqrt(spread * spread.T)
     dropped: list[str] = []
-    for i, (a, b) in enumerate(pairs):
-        if a not in dropped and b not in dropped and ((row[f"c{i}"] or 0) >= limit or row[f"d{i}"] == 0):
-            dropped.append(b)
+    for i, a in enumerate(columns):
+        for j in range(i + 1, len(columns)):
+            if a not in dropped and columns[j] not in dropped and (np.nan_to_num(corr[i, j]) >= limit or unlike[i, j] == 0):
+                dropped.append(columns[j])
     return dropped
 
 

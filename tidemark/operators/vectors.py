@@ -4,22 +4,33 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def hash_embedding(text: Column, dim: int) -> Column:
-    """V1: counts of sha1(token) modulo ``dim``, scaled to length 1; all zero without a token."""
+    """V1: counts of sha1(token) modulo ``dim``, scaled to length 1; all zero without a token. A batch of rows
+    at a time; a token that a worker has met of late is not hashed again."""
 
-    def embed(s):
-        out = [0.0] * dim
-        for token, n in Counter((s or "").split()).items():
-            out[int.from_bytes(hashlib.sha1(token.encode()).digest(), "big") % dim] += float(n)
-        norm = sum(x * x for x in out) ** 0.5 or 1.0
-        return [x / norm for x in out]
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        out = np.zeros((len(texts), dim))
+        for row, s in zip(out, texts):
+            found = Counter((s or "").split())
+            np.add.at(row, [_sha1(t) % dim for t in found], list(found.values()))
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return pd.Series(list(out / np.where(norm > 0, norm, 1.0)))
 
-    return F.udf(embed, "array<double>", useArrow=True)(text)
+    return embed(text)
+
+
+@lru_cache(maxsize=1 << 17)
+def _sha1(token: str) -> int:
+    return int.from_bytes(hashlib.sha1(token.encode()).digest(), "big")
 
 
 def dot(a: Column, b: Column) -> Column:
