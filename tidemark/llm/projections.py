@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import discard, ship, written
 from .components import apart, components
 
 WINDOW, KEY_BITS, MISS = 512, 62, 1e-4
@@ -116,9 +116,9 @@ def _pairs(ids: np.ndarray, x: np.ndarray, begin: int, window: int, threshold: f
 _SORTED = "border long, place long, part long, id long, u long, v long, n long"
 
 
-def window_links(heads: DataFrame, passes: range, window: int, threshold: float, seed: int) -> DataFrame:
+def window_links(heads: DataFrame, passes: range, window: int, threshold: float, seed: int, held: list[DataFrame] | None = None) -> DataFrame:
     """(u, v) of a spanning set, per window, of the links at most ``window`` places apart in the order of a pass;
-    ``heads`` has (id, vec)."""
+    ``heads`` has (id, vec). What is written for it goes to ``held``, to be discarded when it has been read."""
     spark = heads.sparkSession
     kind = dict(heads.dtypes)["vec"]
 
@@ -179,6 +179,8 @@ def window_links(heads: DataFrame, passes: range, window: int, threshold: float,
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["part", "key", "id"]
     told = written(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, f"{_SORTED}, vec {kind}"), "windows")
+    if held is not None:
+        held.append(told)
     inside = told.where("u IS NOT NULL").select("u", "v")
     # how many rows each task has sorted, a number a task, gives every row near a border its place in the whole order
     sizes = sorted((r.border, r.n) for r in told.where("n IS NOT NULL").select("border", "n").collect())
@@ -200,7 +202,7 @@ def window_links(heads: DataFrame, passes: range, window: int, threshold: float,
 _NAMES = ["border", "place", "part", "id", "u", "v", "n"]
 
 
-def crowd_links(heads: DataFrame, passes: range, bits: int, window: int, threshold: float, seed: int) -> DataFrame:
+def crowd_links(heads: DataFrame, passes: range, bits: int, window: int, threshold: float, seed: int, held: list[DataFrame] | None = None) -> DataFrame:
     """(u, v) of a spanning set, per block, of the links in groups of one prefix that no window holds."""
 
     def compare(key, table):
@@ -214,6 +216,8 @@ def crowd_links(heads: DataFrame, passes: range, bits: int, window: int, thresho
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     keyed = written(keys(heads, passes, seed, False).select("part", F.shiftrightunsigned("key", KEY_BITS - bits).alias("prefix"), "id"), "keys")
+    if held is not None:
+        held.append(keyed)
     sizes = keyed.groupBy("part", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > window + 1)
     sizes = sizes.select(F.shiftleft("part", 0).alias("p"), F.shiftleft("prefix", 0).alias("q"), F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks"))
     placed = keyed.join(sizes, (F.col("part") == F.col("p")) & (F.col("prefix") == F.col("q"))).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
@@ -227,8 +231,10 @@ def neighbour_links(heads: DataFrame, passes: int, bits: int, window: int, thres
     out = None
     for first in range(0, passes, ROUND):
         some = range(first, min(first + ROUND, passes))
-        links = window_links(heads, some, window, threshold, seed).union(crowd_links(heads, some, bits, window, threshold, seed))
+        held: list[DataFrame] = []
+        links = window_links(heads, some, window, threshold, seed, held).union(crowd_links(heads, some, bits, window, threshold, seed, held))
         links = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        discard(*held)
         out = links if out is None else out.union(links)
     return out
 
