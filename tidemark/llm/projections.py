@@ -245,7 +245,8 @@ def link_counts(heads: DataFrame, labels: DataFrame, threshold: float) -> DataFr
     sizes = apart(member.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component", "k")
     placed = member.join(sizes, F.col("component") == F.col("k")).withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     others = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
-    sent = placed.withColumn("at", others).select("component", "at.i", "at.j", "own", "id", "vec", "rows")
+    # named anew, so that the blocks of a component are dealt apart and not as the join has dealt the component
+    sent = placed.withColumn("at", others).select(F.shiftleft("component", 0).alias("whole"), "at.i", "at.j", "own", "id", "vec", "rows")
 
     def count(key, table):
         i, j = key[1].as_py(), key[2].as_py()
@@ -264,7 +265,7 @@ def link_counts(heads: DataFrame, labels: DataFrame, threshold: float) -> DataFr
             links[asks] += near @ rows[other].astype(np.int64)
         return pa.table({"id": ids, "links": links})
 
-    return sent.groupBy("component", "i", "j").applyInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return sent.groupBy("whole", "i", "j").applyInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, passes: int | None = None, bits: int | None = None, window: int = WINDOW, seed: int = 7) -> DataFrame:
