@@ -13,6 +13,12 @@ def safe_divide(x: Column, y: Column) -> Column:
     return F.try_divide(x, y)
 
 
+def double_ratio(x: Column, y: Column) -> Column:
+    """x / y as doubles divide: infinite over 0, with the sign of x, and NaN for 0 over 0."""
+    endless = F.when((x == 0) | F.isnan(x), F.lit(float("nan"))).when(x.isNotNull(), F.signum(x) * F.lit(float("inf")))
+    return F.when(y == 0, endless).otherwise(F.try_divide(x, y))
+
+
 def to_long(c: Column) -> Column:
     """Commas go, '' and '-' are null, fractions are cut off."""
     return F.replace(F.trim(c.cast("string")), F.lit(","), F.lit("")).try_cast("double").try_cast("long")

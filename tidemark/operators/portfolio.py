@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import business_rank_text, percent_text, rank_percentile
+from ..functions.numbers import business_rank_text, double_ratio, percent_text, rank_percentile
 from ..functions.windows import first_rank, min_max_score, rank_pct
 
 BUY_COST, SELL_COST, FEE = 1.001, 0.999, 0.0015
@@ -60,8 +60,9 @@ def exposures(portfolio: DataFrame, column: str) -> DataFrame:
 
 
 def trade_return(opened: Column, closed: Column) -> Column:
-    """M9: bought and sold with slippage, fees on both legs."""
-    return (closed * SELL_COST) / (opened * BUY_COST) - 1 - FEE * 2
+    """M9: bought and sold with slippage, fees on both legs; what opens at 0 gains without bound, or NaN if it
+    closes at 0 too."""
+    return double_ratio(closed * SELL_COST, opened * BUY_COST) - 1 - FEE * 2
 
 
 def daily_returns(positions: DataFrame) -> DataFrame:
