@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import ivf, portfolio
+from tidemark.plans.streams import _TablePages
+from tidemark.sources import pages
 
 
 def test_trade_returns_over_a_price_of_zero(spark):
@@ -29,3 +31,24 @@ def test_an_index_takes_any_number_of_queries(spark, tmp_path, monkeypatch):
     got = ivf.search_all(spark, path, queries, 5, None)
     assert {(r.query_id, r.vec_id, r.rank) for r in got.collect()} == want
     assert ivf.search_all(spark, path, queries, 5, probes=2).count() == 1203 * 5
+
+
+def test_ordered_tables_have_fewer_ranges_than_slices(spark, tmp_path):
+    path, order = str(tmp_path / "ordered"), [F.desc("k")]
+    pages.write_ordered(spark.range(6000).select((F.col("id") * 7919 % 6000).alias("k")), path, order, 20)
+    counts = spark.read.parquet(f"{path}/counts").collect()
+    assert max(r.n for r in counts) == 20 and len({r.slice >> 20 for r in counts}) <= 6000 / 20 / 50
+    for number in (1, 77, 400, 401):
+        rows, totals = pages.read_page(spark, path, order, number, 15)
+        assert [r.k for r in rows.collect()] == list(range(5999 - (number - 1) * 15, -1, -1))[:15] and totals["total"] == 6000
+
+
+def test_a_paged_service_reads_the_slices_of_a_page(spark, tmp_path):
+    path = str(tmp_path / "served")
+    pages.write_ordered(spark.range(95).select("id", F.col("id").cast("string").alias("v")), path, [F.col("id")], 10)
+    client, read = _TablePages(path, "id", 7), []
+    whole = client._table
+    client._table = lambda name: read.append(name) or whole(name)
+    assert client.pages() == 14
+    assert [r["id"] for p in range(14) if p % 7 != 3 for r in client.fetch(p)] == [i for i in range(95) if i // 7 % 7 != 3]
+    assert len(read) == len(set(read)) == 11  # the counts and each slice once

@@ -8,10 +8,12 @@ the next year that ends all windows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..session import scratch, table
-from ..sources import paged, versions
+from ..sources import paged, pages, versions
 from ..streaming import incremental, state
 from .registry import query
 
@@ -89,38 +91,52 @@ def request_verdicts(spark, sf):
 
 
 class _TablePages:
-    """A service that serves a table's rows, some at a time, in the order of a key; every seventh page fails the
-    first time that a process asks for it."""
+    """A service that serves an ordered table's rows (``pages``), some at a time, in the order of a key; every seventh
+    page fails the first time that a process asks for it. It holds one slice of the table at a time."""
 
-    def __init__(self, path: str, key: str, columns: list[str], size: int, limit: str | None = None) -> None:
-        self.path, self.key, self.columns, self.size, self.limit = path, key, columns, size, limit
+    def __init__(self, path: str, key: str, size: int) -> None:
+        self.path, self.key, self.size = re.sub("^file:/+", "/", path), key, size
         self.asked: set[int] = set()
-        self.rows = None
+        self.counts: list[tuple[int, int]] | None = None
+        self.held: tuple[int | None, object] = (None, None)
 
-    def _all(self) -> list[dict]:
+    def _table(self, name: str):
         import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        return ds.dataset(f"{path}/{name}", filesystem=system, format="parquet").to_table()
+
+    def _slices(self) -> list[tuple[int, int]]:
+        if self.counts is None:
+            t = self._table("counts")
+            self.counts = sorted(zip(t.column("slice").to_pylist(), t.column("n").to_pylist()))
+        return self.counts
 
-        if self.rows is None:
-            self.rows = ds.dataset(self.path).to_table(columns=self.columns).sort_by(self.key).to_pylist()
-        return self.rows
+    def _rows(self, slice_: int):
+        if self.held[0] != slice_:
+            self.held = slice_, self._table(f"rows/slice={slice_}").sort_by(self.key)
+        return self.held[1]
 
     def pages(self) -> int:
-        whole = -(-len(self._all()) // self.size)
-        try:  # a file says how many pages there are so far
-            return min(whole, int(open(self.limit).read())) if self.limit else whole
-        except FileNotFoundError:
-            return whole
+        return -(-sum(n for _, n in self._slices()) // self.size)
 
     def fetch(self, page: int) -> list[dict]:
         if page % 7 == 3 and page not in self.asked:
             self.asked.add(page)
             raise ConnectionError("reset")
-        return self._all()[page * self.size : (page + 1) * self.size]
+        wanted, skip = pages.slices_of(self._slices(), page * self.size, (page + 1) * self.size)
+        rows: list[dict] = []
+        for x in wanted:
+            rows += self._rows(x).slice(skip if x == wanted[0] else 0, self.size - len(rows)).to_pylist()
+        return rows
 
 
 @query("SELECT (row_number() OVER (ORDER BY page_id) - 1) // 20 AS page, page_id, url, length(html) AS n FROM pages")
 def paged_reads(spark, sf):
     """The pages table behind a paged service that sometimes fails."""
-    client = _TablePages(f"{sf}/pages.parquet", "page_id", ["page_id", "url", "html"], 20)
+    path = scratch(spark, "paged")
+    pages.write_ordered(table(spark, sf, "pages").select("page_id", "url", "html"), path, [F.col("page_id")], 500)
+    client = _TablePages(path, "page_id", 20)
     spark.dataSource.register(paged.paged_source("paged_pages", "page_id long, url string, html string", client, paged.Patience(3, 60, 0.01)))
     return spark.read.format("paged_pages").option("pages", 3).load().select("page", "page_id", "url", F.length("html").cast("long").alias("n"))
