@@ -3,11 +3,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.operators import ivf, portfolio
+from tidemark.functions import text as T
+from tidemark.operators import documents, ivf, portfolio
 from tidemark.plans.streams import _TablePages
-from tidemark.sources import pages
+from tidemark.sources import pages, readers
 
 
 def test_trade_returns_over_a_price_of_zero(spark):
@@ -52,3 +54,27 @@ def test_a_paged_service_reads_the_slices_of_a_page(spark, tmp_path):
     assert client.pages() == 14
     assert [r["id"] for p in range(14) if p % 7 != 3 for r in client.fetch(p)] == [i for i in range(95) if i // 7 % 7 != 3]
     assert len(read) == len(set(read)) == 11  # the counts and each slice once
+
+
+def test_text_functions_hold_few_rows_at_once(spark):
+    held = []
+    got = T.by_row(lambda s: held.append(s) or f"{len(held)}", pa.string(), "string")
+    texts = [None, "", "매출액 12\n5.6%", "a\\u0041\\ud83d\\ude00b\nCompliance Notice\nx", "<table><tr><td>a<td>b</tr></table><ul><li><a href=u>c</a></ul>"] * 40
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string").repartition(1)
+    assert max(int(r.n) for r in df.select(got("t").alias("n")).collect()) <= 200
+    lines = df.select("k", "t", T.report_lines(F.col("t")).alias("l"), readers.html_rows(F.col("t")).alias("h"))
+    for r in lines.select("*", T.table_signal(F.col("l"), 100).alias("s")).collect():
+        assert r.l == [[], [], ["매출액 12", "5.6%"], ["aA😀b"], [texts[4]]][r.k % 5]
+        assert r.s == ("매출액 12: 12, 5.6%" if r.k % 5 == 2 else "")
+        assert [(x.cells, x.link) for x in r.h] == ([(["a", "b"], None), (["c"], "u")] if r.k % 5 == 4 else [])
+
+
+def test_short_texts_are_one_chunk():
+    for text in ("", " \n\t", "　x y　", "가" * 400, "a" * 400 + " "):
+        assert documents.chunk_text(text) == ([text.strip()] if text.strip() else [])
+    assert len(documents.chunk_text("가" * 401)) == 2
+
+
+def test_boilerplate_is_cut_from_one_evaluation(spark):
+    plan = spark.range(1).select(T.report_lines(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("_unescape(") == 1
