@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.text import by_row
+
 
 def read_table(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
     """Parquet, CSV, ORC or JSON by suffix."""
@@ -209,9 +211,10 @@ def html_rows(html: Column) -> Column:
         p.feed(s or "")
         p.close()
         p.close_row()
-        return p.rows
+        return [{"cells": cells, "link": link} for cells, link in p.rows]
 
-    return F.udf(parse, "array<struct<cells:array<string>,link:string>>", useArrow=True)(html)
+    kind = pa.list_(pa.struct([("cells", pa.list_(pa.string())), ("link", pa.string())]))
+    return by_row(parse, kind, "array<struct<cells:array<string>,link:string>>")(html)
 
 
 def needs_ocr(pages: Column, text_pages: Column, chars: Column) -> Column:
