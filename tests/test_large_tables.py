@@ -1,6 +1,7 @@
 """Cases that only larger or odder tables have."""
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import documents, ivf, portfolio
+from tidemark.plans import registry, storage
 from tidemark.plans.streams import _TablePages
 from tidemark.sources import pages, readers
 
@@ -78,3 +80,11 @@ def test_short_texts_are_one_chunk():
 def test_boilerplate_is_cut_from_one_evaluation(spark):
     plan = spark.range(1).select(T.report_lines(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("_unescape(") == 1
+
+
+def test_files_to_compact_are_written_by_many_tasks(spark, sf, monkeypatch):
+    found, whole = set(), storage.writers.compact_partitions
+    monkeypatch.setattr(storage.writers, "compact_partitions", lambda s, path, *a: found.update(r.n for r in s.read.parquet(path).select(F.col("_metadata.file_name").alias("n")).distinct().collect()) or whole(s, path, *a))
+    rows = registry.queries()["compacted_table"](spark, sf).collect()
+    assert found and all(re.fullmatch(r"part-[01]-\d+\.parquet", n) for n in found)
+    assert all(r.v == (2 if r.o_orderkey % 2 == 0 else 1) for r in rows)

@@ -294,8 +294,8 @@ def compacted_table(spark, sf):
     path = scratch(spark, "compact")
     o = _orders(spark, sf).select("o_orderkey", F.date_format("o_orderdate", "MM").alias("month"), F.lit(1).alias("v"))
     staged = [scratch(spark, "part"), scratch(spark, "part")]
-    o.coalesce(1).write.partitionBy("month").parquet(staged[0])
-    o.where("o_orderkey % 2 = 0").withColumn("v", F.lit(2)).coalesce(1).write.partitionBy("month").parquet(staged[1])
+    o.hint("rebalance", "month").write.partitionBy("month").parquet(staged[0])
+    o.where("o_orderkey % 2 = 0").withColumn("v", F.lit(2)).hint("rebalance", "month").write.partitionBy("month").parquet(staged[1])
     fs = spark._jvm.org.apache.hadoop.fs
     for i, s in enumerate(staged):  # file names decide, so they are given here
         root = fs.Path(s)
@@ -303,8 +303,8 @@ def compacted_table(spark, sf):
         for folder in system.globStatus(fs.Path(f"{s}/month=*")):
             goal = fs.Path(f"{path}/{folder.getPath().getName()}")
             system.mkdirs(goal)
-            for f in system.globStatus(fs.Path(f"{folder.getPath().toString()}/part-*")):
-                system.rename(f.getPath(), fs.Path(f"{goal.toString()}/part-{i}.parquet"))
+            for n, f in enumerate(system.globStatus(fs.Path(f"{folder.getPath().toString()}/part-*"))):
+                system.rename(f.getPath(), fs.Path(f"{goal.toString()}/part-{i}-{n}.parquet"))
     writers.compact_partitions(spark, path, ["o_orderkey"], ["month"])
     return writers._as_text(spark, path, ["month"]).select("o_orderkey", "month", "v")
 
