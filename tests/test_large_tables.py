@@ -11,7 +11,8 @@ from tidemark.functions import text as T
 from tidemark.operators import documents, ivf, portfolio
 from tidemark.plans import registry, storage
 from tidemark.plans.streams import _TablePages
-from tidemark.sources import pages, readers
+from tidemark.sources import pages, readers, versions
+from tidemark.streaming import incremental, state
 
 
 def test_trade_returns_over_a_price_of_zero(spark):
@@ -88,3 +89,32 @@ def test_files_to_compact_are_written_by_many_tasks(spark, sf, monkeypatch):
     rows = registry.queries()["compacted_table"](spark, sf).collect()
     assert found and all(re.fullmatch(r"part-[01]-\d+\.parquet", n) for n in found)
     assert all(r.v == (2 if r.o_orderkey % 2 == 0 else 1) for r in rows)
+
+
+def test_conversations_end_when_idle_without_python(spark, tmp_path):
+    schema, at = "key long, ts timestamp, turn long, text string", lambda m: F.timestamp_seconds(F.lit(1_704_067_200) + 60 * m)
+    texts = F.when(F.col("id") == 1, None).when(F.col("id") == 2, "x,y").otherwise(F.concat(F.lit("t"), F.col("id").cast("string")))
+    rows = spark.range(10).select((F.col("id") * 0 + 7).alias("key"), at(F.col("id") * 60).alias("ts"), F.col("id").alias("turn"), texts.alias("text"))
+    one = lambda key, minute, turn: spark.range(1).select(F.lit(key).alias("key"), at(F.lit(minute)).alias("ts"), F.lit(turn).alias("turn"), F.lit("z").alias("text"))
+    source, goal, checkpoint = (str(tmp_path / x) for x in ("in", "table", "state"))
+    build = lambda s: state.conversations(s, "1 hour", 6, 180)
+    # the turn at 720 comes exactly as long after the last one as a conversation may be idle, that at 901 a minute later
+    for part in (rows, one(7, 720, 10).union(one(7, 901, 11)), one(-1, 9000, 12)):
+        part.coalesce(1).write.mode("append").parquet(source)
+        with state.stateful(spark):
+            incremental.merge_stream(build(incremental.file_stream(spark, source, spark.createDataFrame([], schema).schema)), goal, ["key", "started"], [], checkpoint).awaitTermination()
+    got = versions.read(spark, goal).orderBy("started").collect()
+    assert [(r.key, r.n_turns, r.turns, r.topics) for r in got] == [(7, 11, ["t5", "t6", "t7", "t8", "t9", "z"], "t0,t3,t4,x,y"), (7, 1, ["z"], "")]
+    assert (got[0].last - got[0].started).total_seconds() == 720 * 60
+    assert "Python" not in build(spark.createDataFrame([], schema))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_batch_is_evaluated_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    batch = spark.range(8).repartition(2).select("id", F.udf(lambda x: (seen.add(1), x)[1], "long")("id").alias("v"))
+    put = incremental.merging(str(tmp_path / "t"), ["id"], [], "s")
+    for number, evaluated in ((0, 8), (0, 16), (1, 24)):  # one that comes again too, as a stream's state goes with it
+        put(batch, number)
+        assert seen.value == evaluated
+    put(batch.where("id < 0"), 2)
+    assert versions.version(spark, str(tmp_path / "t")).batches == {"s": 1}

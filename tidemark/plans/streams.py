@@ -69,7 +69,7 @@ SELECT user_id, min(ts) AS started, max(ts) AS last, count(*) AS n_turns, array_
   coalesce(array_to_string(list_sort(list_distinct(list(event_type) FILTER (WHERE n > 14))), ','), '') AS topics FROM r GROUP BY user_id, g"""
 )
 def idle_conversations(spark, sf):
-    """State per user with a timer: the last 14 turns, what older ones were about, and an end when idle for half a day."""
+    """State per user: the last 14 turns, what older ones were about, and an end when idle for half a day."""
     turns = lambda s: state.conversations(s.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("turn"), F.col("event_type").alias("text")), "1 hour", 14, 720)
     out = _runs(spark, sf, "conversations", turns, ["key", "started"])
     return out.select(F.col("key").alias("user_id"), "started", "last", "n_turns", F.array_join("turns", " ").alias("turns"), "topics")

@@ -235,16 +235,16 @@ def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: list[str
 
     Source rows replace rows of equal key and are added otherwise; where the column ``gone`` is true the key
     is removed instead. With ``order`` the first of the two under it stays, so what comes late replaces
-    nothing newer. ``batch`` names a stream and the number of its batch: one that the table has seen
-    changes nothing. With ``expect`` the merge is made on that version only and raises ``Conflict`` if the table
+    nothing newer. ``batch`` names a stream and the number of its batch: one that the table has seen, or that
+    has no rows, changes nothing, but is evaluated, whole and once, as a stream's state goes with it. With ``expect`` the merge is made on that version only and raises ``Conflict`` if the table
     has moved on; without, it begins anew on the new version.
     """
     staged = f"{path}/_staged-{uuid.uuid4().hex}"
-    if batch and version(spark, path).batches.get(batch[0], -1) >= batch[1]:
-        return version(spark, path).number
     source.write.parquet(staged)
     rows = spark.read.schema(source.schema).parquet(staged)
     try:
+        if batch and rows.isEmpty():
+            return version(spark, path).number
         for _ in range(attempts):
             before = version(spark, path)
             if batch and before.batches.get(batch[0], -1) >= batch[1]:
