@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import documents, ivf, portfolio
+from tidemark.operators import documents, ivf, panel, portfolio
 from tidemark.plans import registry, storage
 from tidemark.plans.streams import _TablePages
 from tidemark.sources import pages, readers, versions
@@ -118,3 +118,19 @@ def test_a_batch_is_evaluated_once(spark, tmp_path):
         assert seen.value == evaluated
     put(batch.where("id < 0"), 2)
     assert versions.version(spark, str(tmp_path / "t")).batches == {"s": 1}
+
+
+def test_ranks_of_a_date_without_its_whole_bars(spark):
+    rows = [("d1", "a", 1.0, 2.0, "x"), ("d1", "b", 1.0, None, None), ("d1", "c", 3.0, None, "z"), ("d1", "c", 0.5, math.nan, "w"), ("d2", "a", None, None, "v")]
+    df = spark.createDataFrame(rows, "date string, ticker string, rsi14 double, atr_percent double, note string")
+    ranked = panel.rank_features(df)
+    assert ranked.columns == [*df.columns, "atr_rank_pct", "rsi_rank_pct"]
+    got = sorted(ranked.collect(), key=lambda r: (r.date, r.ticker, r.rsi14 or 0))
+    assert [(r.note, r.rsi_rank_pct, r.atr_rank_pct) for r in got] == [("x", 0.625, 0.5), (None, 0.625, None), ("w", 0.25, 1.0), ("z", 1.0, None), ("v", None, None)]
+    bars = spark.createDataFrame([("d1", "a", "s", 1.0, 2.0), ("d1", "b", None, 3.0, 4.0), ("d1", "c", "s", None, 8.0)], "date string, ticker string, sector string, return_5d double, return_20d double")
+    momentum = panel.momentum_features(bars)
+    assert [(r.relative_return_5d_vs_market, round(r.relative_return_20d_vs_market, 6), r.relative_return_20d_vs_sector) for r in momentum.orderBy("ticker").collect()] == [(-1.0, -2.666667, -3.0), (1.0, -0.666667, None), (None, 3.333333, 3.0)]
+    # no window holds whole bars of a date, only sums of its sectors
+    for plan in (ranked, momentum):
+        windows = re.findall(r"^[ :+-]*Window (\[.*\]), \[date#\d+(?:, sector#\d+)?\]", plan._jdf.queryExecution().optimizedPlan().toString(), re.M)
+        assert all(w.startswith("[sum(_sum5") for w in windows)

@@ -1,7 +1,7 @@
 """Feature library over a daily panel (section 2.19), targets, and exact-key joins.
 
-Two exchanges in all: time-series expressions share one window per ticker, cross-section ranks one
-partitioning per date.
+Time-series expressions share one window per ticker. Means of a date are broadcast, and ranks are taken of the
+values of one column and date, so no step needs a date's whole bars in one task.
 """
 
 from __future__ import annotations
@@ -50,14 +50,20 @@ def momentum_features(df: DataFrame) -> DataFrame:
     w = series()
     df = _with(df, {"momentum_5d": F.col("return_5d"), "momentum_20d": F.col("return_20d"), "momentum_diff": F.col("return_5d") - F.col("return_20d")})
     df = df.withColumn("momentum_accel", F.col("momentum_5d") - F.lag("momentum_5d", 1).over(w))
+    group = ["date", "sector"] if "sector" in df.columns else ["date"]
     day = Window.partitionBy("date")
-    out = {f"relative_return_{n}d_vs_market": F.col(f"return_{n}d") - F.avg(f"return_{n}d").over(day) for n in (5, 20)}
+    mean = lambda sums, counts: sums / F.nullif(counts, F.lit(0))
+    sums = df.groupBy(*group).agg(*[x for n in (5, 20) for x in (F.sum(f"return_{n}d").alias(f"_sum{n}"), F.count(f"return_{n}d").alias(f"_count{n}"))])
+    means = {f"_market{n}": mean(F.sum(f"_sum{n}").over(day), F.sum(f"_count{n}").over(day)) for n in (5, 20)} | {"_sector20": mean(F.col("_sum20"), F.col("_count20"))}
+    means = sums.select(*[F.col(c).alias(f"_{c}") for c in group], *[x.alias(n) for n, x in means.items()])
+    # a row per date and sector, so that a date's rows need not meet
+    df = df.join(F.broadcast(means), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group], "left")
+    out = {f"relative_return_{n}d_vs_market": F.col(f"return_{n}d") - F.col(f"_market{n}") for n in (5, 20)}
     if "sector" in df.columns:
-        group = Window.partitionBy("date", "sector")
-        out["relative_return_20d_vs_sector"] = F.when(F.col("sector").isNotNull(), F.col("return_20d") - F.avg("return_20d").over(group))
+        out["relative_return_20d_vs_sector"] = F.when(F.col("sector").isNotNull(), F.col("return_20d") - F.col("_sector20"))
     else:
         out["relative_return_20d_vs_sector"] = out["relative_return_20d_vs_market"]
-    return _with(df, out)
+    return _with(df, out).drop(*[f"_{c}" for c in group], "_market5", "_market20", "_sector20")
 
 
 def volume_features(df: DataFrame) -> DataFrame:
@@ -128,8 +134,20 @@ def macro_features(df: DataFrame) -> DataFrame:
 
 
 def rank_features(df: DataFrame) -> DataFrame:
-    """The 14 ranks of the date, and those of the technical group."""
-    return _with(df, {out: rank_pct(F.col(c)) for out, c in RANKS.items() if c in df.columns})
+    """The 14 ranks of the date, and those of the technical group. Each value goes as a row of its own to those
+    of its column and date, and the ranks of a bar come together again, so no task sorts a date's whole bars."""
+    ranks = {out: c for out, c in RANKS.items() if c in df.columns}
+    values = list(dict.fromkeys(ranks.values()))
+    if not values:
+        return df
+    id_, rest = ["date", "ticker", "_row"], [c for c in df.columns if c not in ("date", "ticker", *ranks)]
+    bar = F.struct(F.lit(-1).alias("i"), F.lit(None).cast("double").alias("v"))  # stands for the bar itself
+    entries = F.array(bar, *[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(values)])
+    rows = df.withColumn("_row", F.row_number().over(series())).select(*id_, *rest, F.inline(F.filter(entries, lambda e: (e["i"] < 0) | e["v"].isNotNull())))
+    # what is not ranked goes with the bar's own entry
+    ranked = rows.select(*id_, *[F.when(F.col("i") < 0, F.col(c)).alias(c) for c in rest], "i", rank_pct(F.col("v"), ["date", "i"]).alias("r"))
+    whole = ranked.repartition(*id_).groupBy(*id_).agg(*[F.first(c, ignorenulls=True).alias(c) for c in rest], *[F.max(F.when(F.col("i") == values.index(c), F.col("r"))).alias(out) for out, c in ranks.items()])
+    return whole.select(*[c for c in df.columns if c not in ranks], *ranks)
 
 
 def identity_features(df: DataFrame) -> DataFrame:
