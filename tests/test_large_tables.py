@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import documents, ivf, panel, portfolio
-from tidemark.plans import registry, storage
+from tidemark.plans import filings, registry, storage
 from tidemark.plans.streams import _TablePages
 from tidemark.sources import pages, readers, versions
 from tidemark.streaming import incremental, state
@@ -134,3 +134,14 @@ def test_ranks_of_a_date_without_its_whole_bars(spark):
     for plan in (ranked, momentum):
         windows = re.findall(r"^[ :+-]*Window (\[.*\]), \[date#\d+(?:, sector#\d+)?\]", plan._jdf.queryExecution().optimizedPlan().toString(), re.M)
         assert all(w.startswith("[sum(_sum5") for w in windows)
+
+
+def test_filings_gather_plain_lines_by_many_tasks(spark, sf, monkeypatch):
+    monkeypatch.setattr(filings, "FEW_LINES", 100)
+    monkeypatch.setattr(filings, "TASKS", 50)
+    assert filings._tasks(spark.range(1)) == 1 and filings._tasks(spark.range(6000)) == 50
+    monkeypatch.setattr(filings, "MOST_LINES", 75)
+    assert filings._tasks(spark.range(6000)) == 80
+    tree = registry.queries()["filing_financials"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    gathered = [x for x in tree.splitlines() if "collect_list" in x]
+    assert len(gathered) == 1 and "map(" not in gathered[0] and tree.count("RepartitionByExpression") == 2

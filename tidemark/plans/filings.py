@@ -8,16 +8,27 @@ from ..operators import documents, merge
 from ..session import table
 from .registry import query
 
+#: Lines of orders that one task gathers into filings: few as long as there are at most ``TASKS`` tasks, so many as which
+#: Spark writes to without holding rows, and never more than ``MOST_LINES``.
+FEW_LINES, MOST_LINES, TASKS = 50_000, 1_250_000, 200
+
+
+def _tasks(lines) -> int:
+    n = lines.count()
+    return max(1, -(-n // MOST_LINES), min(TASKS, -(-n // FEW_LINES)))
+
 
 def reports(spark, sf):
     """One filing per order; its lines are its structured, event and ownership records."""
-    record = F.create_map(
-        F.lit("nm"), F.col("l_returnflag"), F.lit("account_nm"), F.concat(F.lit("계정"), F.col("l_linenumber").cast("string")), F.lit("account_id"), F.concat(F.lit("a"), F.col("l_partkey").cast("string")),
-        F.lit("thstrm_amount"), F.format_number("l_extendedprice", 0), F.lit("ord"), F.col("l_linenumber").cast("string"), F.lit("sj_div"), F.lit("BS"), F.lit("repror"), F.concat(F.lit("h"), (F.col("l_suppkey") % 3).cast("string")),
-    )
     li = table(spark, sf, "lineitem")
-    lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", record.alias("r"))), lambda a, b: F.when(F.struct(a["l_linenumber"], a["l_partkey"], a["l_suppkey"]) < F.struct(b["l_linenumber"], b["l_partkey"], b["l_suppkey"]), -1).otherwise(1)).alias("x"))
-    records = F.transform("x", lambda s: s["r"])
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_extendedprice")
+    # only plain columns are dealt and gathered; records are made after
+    lines = li.repartition(_tasks(li), "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("x"))
+    record = lambda s: F.create_map(
+        F.lit("nm"), s["l_returnflag"], F.lit("account_nm"), F.concat(F.lit("계정"), s["l_linenumber"].cast("string")), F.lit("account_id"), F.concat(F.lit("a"), s["l_partkey"].cast("string")),
+        F.lit("thstrm_amount"), F.format_number(s["l_extendedprice"], 0), F.lit("ord"), s["l_linenumber"].cast("string"), F.lit("sj_div"), F.lit("BS"), F.lit("repror"), F.concat(F.lit("h"), (s["l_suppkey"] % 3).cast("string")),
+    )
+    records = F.transform("x", record)
     meta = F.struct(
         F.lpad((F.col("o_custkey") % 50).cast("string"), 8, "0").alias("corp_code"), F.concat(F.lit("회사"), (F.col("o_custkey") % 50).cast("string")).alias("corp_name"), F.lpad((F.col("o_custkey") % 50).cast("string"), 6, "0").alias("stock_code"),
         F.lpad(F.col("o_orderkey").cast("string"), 14, "0").alias("rcept_no"), F.date_format("o_orderdate", "yyyyMMdd").alias("rcept_dt"), F.col("o_orderpriority").alias("report_nm"), F.when(F.col("o_orderstatus") == "F", "REGULAR").otherwise("005x").alias("report_type"), F.lit(True).alias("is_latest"),
@@ -43,7 +54,9 @@ def filing_registry(spark, sf):
 @query(f"SELECT {_NO} || ':CFS:BS:' || l_linenumber || ':a' || l_partkey AS fact_id, '계정' || l_linenumber AS account_nm, count(*) AS n FROM {_J} GROUP BY 1, 2")
 def filing_financials(spark, sf):
     """D3."""
-    return documents.financial_rows(reports(spark, sf)).groupBy("fact_id", "account_nm").agg(F.count(F.lit(1)).alias("n"))
+    keys = ["fact_id", "account_nm"]
+    rows = documents.financial_rows(reports(spark, sf)).select(*keys)
+    return rows.repartition(_tasks(table(spark, sf, "lineitem")), *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT {_NO} || ':merger:' || (row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1) AS event_id, 'merger' AS event_type, strftime(o_orderdate, '%Y') AS rcept_year FROM {_J}")
