@@ -3,6 +3,7 @@
 import math
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -22,6 +23,18 @@ def test_trade_returns_over_a_price_of_zero(spark):
     assert got[2] == math.inf and math.isnan(got[3]) and got[4] is None and got[5] is None
 
 
+def test_returns_round_as_their_sql_does(spark, tmp_path):
+    bars = [(236.8, 730.73), (864.0, 510.51), (1.28, 670.67), (172.8, 530.53), (518.4, 390.39), (0.96, 16.64), (1.61, 1.28), (19.97, 20.07), (0.0, 5.0), (0.0, 0.0), (-0.0, 5.0), (-0.0, -5.0), (10.0, -1e306), (None, 1.0), (9.0, math.nan)]
+    rows = [(3 * i + j, i, f"2024-01-0{day} 0{j}:00:00", bar[j % 2]) for i, bar in enumerate(bars) for j, day in enumerate((2, 2, 3))]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name, column in (("trade_returns", "trade_return"), ("raw_returns", "raw_return")):
+        got = {(r.date, r.ticker): repr(r[column]) for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+        want = duck.execute(f"select date, ticker, {column} from ({registry.oracle_sql()[name]})").fetchall()
+        assert got == {(d, t): repr(x) for d, t, x in want}
+
+
 def test_an_index_takes_any_number_of_queries(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((1500, 8))

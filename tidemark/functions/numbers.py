@@ -14,9 +14,15 @@ def safe_divide(x: Column, y: Column) -> Column:
 
 
 def double_ratio(x: Column, y: Column) -> Column:
-    """x / y as doubles divide: infinite over 0, with the sign of x, and NaN for 0 over 0."""
-    endless = F.when((x == 0) | F.isnan(x), F.lit(float("nan"))).when(x.isNotNull(), F.signum(x) * F.lit(float("inf")))
-    return F.when(y == 0, endless).otherwise(F.try_divide(x, y))
+    """x / y as doubles divide: infinite over 0, with the signs of both, and NaN for 0 over 0."""
+    return F.when(y == 0, x * F.pow(y, F.lit(-1.0))).otherwise(F.try_divide(x, y))
+
+
+def double_round(x: Column, digits: int) -> Column:
+    """x rounded as doubles round: scaled, then half away from zero, where ``F.round`` takes the half of the decimal
+    text; what becomes 0 keeps its sign."""
+    scaled = F.abs(x) * 10.0**digits
+    return F.when(scaled == float("inf"), x).otherwise(F.signum(x) * F.round(scaled) / 10.0**digits)
 
 
 def to_long(c: Column) -> Column:

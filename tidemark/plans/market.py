@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..functions.numbers import double_round
 from ..operators import asof, filters, learn, merge, panel, portfolio, rolling, stats
 from ..session import table
 from .registry import query, sql_of
@@ -61,7 +62,8 @@ def _rank(c: str, by: str = "date") -> str:
 
 
 def shown(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ("date", "ticker")) -> DataFrame:
-    return df.select(*keys, *[F.round(c, DIGITS).alias(c) for c in columns])
+    doubles = {c for c, kind in df.dtypes if kind == "double"}
+    return df.select(*keys, *[(double_round if c in doubles else F.round)(F.col(c), DIGITS).alias(c) for c in columns])
 
 
 RET = {p: f"({_l('close', 1)}) / nullif({_l('close', p + 1)}, 0) - 1" for p in (1, 3, 5, 20, 60)}
@@ -224,7 +226,8 @@ def features_all(spark, sf):
     """All feature groups in order, as one frame, raw columns and ranks left out."""
     df = panel.build_features(panel.attach_macro(bars(spark, sf), macro(spark, sf)))
     kept = filters.without(df, {"open", "high", "low", "close", "volume", *_SERIES, *panel.RANKS})
-    return kept.select("date", "ticker", "sector", "market_type", *[F.round(c, DIGITS).alias(c) for c in kept.columns if c not in ("date", "ticker", "sector", "market_type")])
+    keys = ("date", "ticker", "sector", "market_type")
+    return shown(kept, [c for c in kept.columns if c not in keys], keys)
 
 
 @query(
